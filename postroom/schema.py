@@ -1,0 +1,64 @@
+"""Table schemas."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+_S, _I, _L, _B, _TS = (
+    T.StringType(), T.IntegerType(), T.LongType(), T.BooleanType(), T.TimestampType(),
+)
+STRINGS = T.ArrayType(_S)
+VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
+
+
+def _table(*fields: tuple) -> T.StructType:
+    return T.StructType([T.StructField(n, t, null) for n, t, null in fields])
+
+
+ACCOUNTS = _table(
+    ("id", _I, False), ("email_address", _S, False), ("display_name", _S, True),
+    ("oauth_token_encrypted", T.BinaryType(), False), ("is_active", _B, False),
+    ("last_sync_at", _TS, True), ("last_history_id", _L, True), ("created_at", _TS, False),
+)
+ACCOUNT_LABELS = _table(
+    ("account_id", _I, False), ("label_id", _S, False), ("label_name", _S, False)
+)
+EMAILS = _table(
+    ("id", _L, False), ("account_id", _I, False), ("gmail_id", _S, False),
+    ("gmail_thread_id", _S, False), ("history_id", _L, True), ("subject", _S, True),
+    ("from_email", _S, False), ("from_name", _S, True), ("to_emails", STRINGS, True),
+    ("cc_emails", STRINGS, True), ("bcc_emails", STRINGS, True), ("reply_to", _S, True),
+    ("sent_at", _TS, False), ("received_at", _TS, False), ("labels", STRINGS, True),
+    ("is_read", _B, False), ("is_starred", _B, False), ("is_draft", _B, False),
+    ("body_text", _S, True), ("body_html", _S, True), ("snippet", _S, True),
+    ("snippet_redacted", _S, True), ("body_redacted", _S, True), ("privacy_tier", _I, True),
+    ("transform_completed_at", _TS, True), ("has_attachments", _B, False),
+    ("attachment_count", _I, False), ("subject_embedding", VECTOR, True),
+    ("body_embedding", VECTOR, True), ("body_pooled_embedding", VECTOR, True),
+    ("deleted_at", _TS, True), ("created_at", _TS, False), ("updated_at", _TS, False),
+)
+CHUNKS = _table(
+    ("email_id", _L, False), ("chunk_embedding", VECTOR, True), ("chunk_text", _S, False),
+    ("chunk_position", _I, False), ("chunk_weight", T.DoubleType(), False),
+)
+ATTACHMENTS = _table(
+    ("email_id", _L, False), ("gmail_attachment_id", _S, False), ("filename", _S, False),
+    ("mime_type", _S, False), ("size_bytes", _I, False), ("extracted_text", _S, True),
+    ("extracted_embedding", VECTOR, True), ("is_inline", _B, False), ("created_at", _TS, False),
+)
+THREADS = _table(
+    ("account_id", _I, False), ("gmail_thread_id", _S, False), ("subject", _S, True),
+    ("participants", STRINGS, True), ("labels", STRINGS, True), ("message_count", _L, False),
+    ("last_message_at", _TS, True), ("summary", _S, True), ("summary_updated_at", _TS, True),
+    ("created_at", _TS, False),
+)
+SYNC_EVENTS = _table(
+    ("account_id", _I, False), ("event_type", _S, False), ("status", _S, False),
+    ("emails_processed", _L, False), ("error_message", _S, True), ("started_at", _TS, False),
+    ("completed_at", _TS, True),
+)
+# Columns that the transform fills and a reset clears.
+DERIVED = (
+    "privacy_tier", "body_redacted", "snippet_redacted", "subject_embedding", "body_embedding",
+    "body_pooled_embedding", "transform_completed_at",
+)
