@@ -180,14 +180,6 @@ def snippet_by_tier(spark, sf):
     )
 
 
-_NAMED_SQL = """
-named as (
-  select e.id, string_agg(coalesce(n.n_name, x.label), ',' order by x.pos) as label_list
-  from emails_v e, (select id, unnest(labels) as label, unnest(generate_series(1, len(labels))) as pos
-                    from emails_v) x
-  left join nation n on n.n_nationkey % 3 + 1 = x_account and 'L' || n.n_nationkey = x.label
-  where e.id = x.id group by e.id
-)"""
 _NAMED_SQL = """
 exploded as (
   select id, account_id, unnest(labels) as label, unnest(generate_series(1, len(labels))) as pos
@@ -533,7 +525,7 @@ _TEXT_OF_HTML_SQL = r"""
       chr(57344), 'g'), chr(57344)),
     lambda r: trim(replace(replace(replace(replace(replace(replace(replace(r, '&nbsp;', chr(160)),
       '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)),
-      '&amp;', '&'), e' \t\n\r\f\v' || chr(160))), lambda r: r <> ''), 'string_agg', ' ')"""
+      '&amp;', '&'), e' \t\n\r' || chr(11) || chr(12) || chr(160))), lambda r: r <> ''), 'string_agg', ' ')"""
 
 
 @query(

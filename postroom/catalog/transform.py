@@ -1 +1,328 @@
+"""Chunking, pooling, embedding, validation, and the whole transform."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postroom.catalog.registry import EMAILS_SQL, SENDER_SQL, query
+from postroom.catalog.text import _TIER_SQL, _language_sql, _sql_pii, _sql_secrets, _sql_strip
+from postroom.functions import chunking, vectors
+from postroom.functions.embedding import embedding_udf
+from postroom.operators import aggregates, changes
+from postroom.operators.labels import with_label_names
+from postroom.plans import transform as plan
+from postroom.plans.config import EngineConfig, Limits
+from postroom.providers import CharTokenizer, HashEmbedder
+from postroom.session import spread
+from postroom.sources import given
+
+_WITH = f"with {EMAILS_SQL}"
+_MAX, _TARGET, _DIM = 512, 400, 64
+
+
+def _chunks_sql(source: str, key: str, body: str) -> str:
+    """Greedy packing as a recursive query over numbered pieces."""
+    return rf"""
+long_docs as (
+  select {key} as k, {body} as body from {source} where ceil(length({body}) / 4.0) > {_MAX}
+),
+blocks as (
+  select k, unnest(parts) as block, unnest(generate_series(1, len(parts))) as b
+  from (select k, string_split_regex(regexp_replace(body, '\r\n?', chr(10), 'g'), '\n\s*\n') as parts from long_docs)
+),
+trimmed as (select k, b, {_sql_strip("block")} as block from blocks),
+split as (
+  select k, b, case when ceil(length(block) / 4.0) > {_TARGET}
+    then string_split(regexp_replace(block, '([.!?])[\s\x85\p{{Z}}]+', '\1' || chr(57344), 'g'), chr(57344))
+    else [block] end as parts
+  from trimmed where block <> ''
+),
+sentences as (
+  select k, b, unnest(parts) as s, unnest(generate_series(1, len(parts))) as i from split
+),
+pieces as (
+  select k, s, cast(ceil(length(s) / 4.0) as bigint) as t, row_number() over (partition by k order by b, i) as n
+  from (select k, b, i, {_sql_strip("s")} as s from sentences) where s <> ''
+),
+fold as (
+  select k, n, t as used, cast(0 as bigint) as chunk from pieces where n = 1
+  union all
+  select f.k, p.n, case when f.used + p.t > {_TARGET} then p.t else f.used + p.t end,
+    case when f.used + p.t > {_TARGET} then f.chunk + 1 else f.chunk end
+  from fold f join pieces p on p.k = f.k and p.n = f.n + 1
+),
+chunks as (
+  select f.k, f.chunk, string_agg(p.s, e'\n\n' order by p.n) as txt
+  from fold f join pieces p on p.k = f.k and p.n = f.n group by f.k, f.chunk
+)"""
+
+
+@query(
+    "chunk_rows",
+    f"""with recursive {_chunks_sql("documents", "doc_id", "text")}
+select k as doc_id, cast(chunk as integer) as position, txt as chunk_text,
+  cast(case when chunk = 0 then 2.0 else 1.0 end as double) as weight from chunks""",
+)
+def chunk_rows(spark, sf):
+    d = spread(given.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    made = chunking.chunk_body(F.col("text"), CharTokenizer(), _MAX, _TARGET)
+    return d.select("doc_id", F.explode(made).alias("c")).select(
+        "doc_id", "c.position", F.col("c.text").alias("chunk_text"), "c.weight"
+    )
+
+
+@query(
+    "chunk_pool",
+    """
+with dims as (
+  select label, case when vec_id % 4 = 0 then 2.0 else 1.0 end as w,
+    unnest(generate_series(1, 64)) as pos, unnest(cast(embedding as double[])) as x
+  from embeddings
+)
+select cast(label as integer) as label, cast(pos as integer) as pos, round(sum(w * x) / sum(w), 6) as x
+from dims group by label, pos""",
+)
+def chunk_pool(spark, sf):
+    """Weighted mean per group with groups of any size."""
+    e = given.table(spark, sf, "embeddings").withColumn(
+        "w", F.when(F.col("vec_id") % 4 == 0, F.lit(2.0)).otherwise(F.lit(1.0))
+    )
+    pooled = aggregates.pooled_by_group(e, "label", "embedding", "w", _DIM)
+    return pooled.select("label", F.posexplode("pooled").alias("pos", "x")).select(
+        "label", (F.col("pos") + 1).cast("int").alias("pos"), F.round("x", 6).alias("x")
+    )
+
+
+@query(
+    "embedding_validate",
+    """
+with v as (
+  select vec_id, case when vec_id % 10 = 0 then embedding[1:32]
+    when vec_id % 10 = 1 then list_transform(embedding, lambda x: cast(0 as float))
+    when vec_id % 10 = 2 then null else embedding end as e, vec_id % 3 <> 0 as expected
+  from embeddings
+)
+select vec_id, case when e is null then case when expected then 'body_embedding is missing but content was expected' end
+  when len(e) <> 64 then 'body_embedding has wrong dim ' || len(e) || ' (expected 64)'
+  when expected and not list_bool_or(list_transform(e, lambda x: x <> 0))
+    then 'body_embedding is all zeros; embedding likely failed' end as problem
+from v""",
+)
+def embedding_validate(spark, sf):
+    i = F.col("vec_id") % 10
+    e = given.table(spark, sf, "embeddings").withColumn(
+        "e",
+        F.when(i == 0, F.slice("embedding", 1, 32))
+        .when(i == 1, F.transform("embedding", lambda x: F.lit(0.0).cast("float")))
+        .when(i != 2, F.col("embedding")),
+    )
+    problem = vectors.vector_problem(F.col("e"), "body_embedding", F.col("vec_id") % 3 != 0, _DIM)
+    return e.select("vec_id", problem.alias("problem"))
+
+
+_HASHED_SQL = f"""
+tokens as (
+  select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as w from documents
+),
+hashed as (
+  select doc_id, cast('0x' || substr(md5(w), 1, 8) as ubigint) % {_DIM} as slot,
+    case when cast('0x' || substr(md5(w), 9, 2) as ubigint) % 2 = 0 then 1.0 else -1.0 end as sign
+  from tokens
+),
+summed as (select doc_id, slot, sum(sign) as s from hashed group by doc_id, slot),
+normed as (
+  select doc_id, slot, s / sqrt(sum(s * s) over (partition by doc_id)) as x from summed
+)"""
+
+
+@query(
+    "embed_text",
+    f"""with {_HASHED_SQL}
+select doc_id, cast(slot as integer) as slot, round(cast(x as double), 5) as x from normed where abs(x) > 0""",
+)
+def embed_text(spark, sf):
+    """Offline embedder over whole texts; non-zero coordinates as rows."""
+    d = spread(given.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    vector = embedding_udf(HashEmbedder(_DIM))(F.array("text"))
+    return (
+        d.select("doc_id", F.element_at(vector, 1).alias("v"))
+        .select("doc_id", F.posexplode("v").alias("slot", "x"))
+        .where(F.col("x") != 0)
+        .select("doc_id", "slot", F.round(F.col("x").cast("double"), 5).alias("x"))
+    )
+
+
+@query(
+    "transform_worklist",
+    f"""{_WITH}
+select id from emails_v where deleted_at is null and body_text is not null
+  and transform_completed_at is null""",
+)
+def transform_worklist(spark, sf):
+    rows = given.emails(spark, sf, "id", "body_text", "deleted_at", "transform_completed_at")
+    return plan.worklist(rows).select("id")
+
+
+def _config() -> EngineConfig:
+    return EngineConfig(
+        limits=Limits(embed_max_tokens=_MAX, chunk_target_tokens=_TARGET), dim=_DIM
+    )
+
+
+_INPUT = (
+    "id", "account_id", "subject", "from_email", "from_name", "labels", "body_text", "snippet",
+    "has_attachments", "deleted_at", "transform_completed_at",
+)
+
+
+def _results(spark, sf, force=True):
+    rows = given.emails(spark, sf, *_INPUT)
+    todo = with_label_names(plan.worklist(rows, force=force), given.account_labels(spark, sf))
+    return plan.transform(spread(todo, "id"), _config())
+
+
+_LANG_CTE = _language_sql().strip().removeprefix("with ").rsplit("select doc_id, labelled", 1)
+_TRANSFORM_SQL = f"""with recursive {EMAILS_SQL},
+todo as (
+  select *, {_sql_strip("body_text")} as clean from emails_v where deleted_at is null
+),
+{_chunks_sql("todo", "id", "clean")},
+tiers as (select id, {_TIER_SQL.replace("body_text", _sql_strip("body_text"))} as tier from todo),
+pii as (
+  select id, {_sql_pii("clean")} as p, {_sql_pii(_sql_strip("coalesce(snippet, '')"))} as sp from todo
+),
+{_LANG_CTE[0]},
+languages as (select doc_id, labelled{_LANG_CTE[1]}),
+results as (
+  select t.id, case tier when 'SENSITIVE' then 1 when 'PERSONAL' then 2 else 3 end as privacy_tier,
+    {_sql_secrets("p")} as body_redacted,
+    nullif(case when tier in ('SENSITIVE', 'PERSONAL') then 'Content redacted' else {_sql_secrets("sp")} end, '')
+      as snippet_redacted,
+    case when clean = '' then 'none' when ceil(length(clean) / 4.0) <= {_MAX} then 'full' else 'chunked' end
+      as body_kind,
+    (select count(*) from chunks c where c.k = t.id) as n_chunks, l.detected as lang,
+    case when length({_sql_strip("coalesce(subject, '')")}) > 1000 then 'subject is too long'
+         when ceil((1000 + length(clean)) / 4.0) > 999999 then 'x' end as problem
+  from todo t join tiers using (id) join pii using (id) join languages l on l.doc_id = t.id
+)"""
+
+
+@query(
+    "transform_run",
+    f"{_TRANSFORM_SQL} select * from results",
+)
+def transform_run(spark, sf):
+    """The whole transform over every live mail of the stand-in."""
+    return _results(spark, sf).select(
+        "id", "privacy_tier", "body_redacted", "snippet_redacted", "body_kind",
+        F.size("chunks").cast("long").alias("n_chunks"), "lang", "problem",
+    )
+
+
+@query(
+    "transform_counters",
+    f"""{_TRANSFORM_SQL}
+select count(*) filter (problem is null) as transformed, count(*) filter (problem is not null) as failed,
+  count(*) filter (problem is null and privacy_tier = 1) as sensitive,
+  count(*) filter (problem is null and privacy_tier = 2) as personal,
+  count(*) filter (problem is null and privacy_tier = 3) as public,
+  count(*) filter (problem is null and body_kind = 'full') as body_full,
+  count(*) filter (problem is null and body_kind = 'chunked') as body_chunked
+from results""",
+)
+def transform_counters(spark, sf):
+    return aggregates.transform_counters(_results(spark, sf))
+
+
+@query("transform_vectors")
+def transform_vectors(spark, sf):
+    """Which vectors every mail ends up with (model step, checked against Python in tests)."""
+    return _results(spark, sf).select(
+        "id",
+        F.col("subject_embedding").isNotNull().alias("has_subject"),
+        F.col("body_embedding").isNotNull().alias("has_body"),
+        F.col("body_pooled_embedding").isNotNull().alias("has_pooled"),
+        F.round(F.aggregate("body_pooled_embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("s"),
+    )
+
+
+# ---- derived-state maintenance ---------------------------------------------------------
+
+
+@query(
+    "reset_scope",
+    f"""{_WITH}
+select id, case when deleted_at is null and body_text is not null and account_id = 2 then null
+  else privacy_tier end as privacy_tier,
+  case when deleted_at is null and body_text is not null and account_id = 2 then null
+  else snippet_redacted end as snippet_redacted,
+  transform_completed_at is not null
+    and not (deleted_at is null and body_text is not null and account_id = 2) as completed
+from emails_v""",
+)
+def reset_scope(spark, sf):
+    rows = given.emails(
+        spark, sf, "id", "account_id", "body_text", "deleted_at", "privacy_tier",
+        "snippet_redacted", "transform_completed_at",
+    )
+    return changes.reset_emails(rows, account_id=2).select(
+        "id",
+        "privacy_tier",
+        "snippet_redacted",
+        F.col("transform_completed_at").isNotNull().alias("completed"),
+    )
+
+
+@query(
+    "reset_chunks",
+    f"""{_WITH}
+select l_orderkey as email_id, l_linenumber as position from lineitem
+where l_orderkey not in (select id from emails_v where deleted_at is null and account_id = 2)""",
+)
+def reset_chunks(spark, sf):
+    """Order lines stand in for chunks of the mail with the same number."""
+    chunks = given.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("email_id"), F.col("l_linenumber").alias("position")
+    )
+    rows = given.emails(spark, sf, "id", "account_id", "body_text", "deleted_at")
+    return changes.reset_chunks(chunks, rows, account_id=2)
+
+
+@query(
+    "chunk_replace",
+    """
+select l_orderkey as email_id, cast(l_linenumber as integer) as position, 'old' as origin from lineitem
+where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')
+union all
+select o_orderkey, 0, 'new' from orders where o_orderstatus = 'F' and o_totalprice > 200000""",
+)
+def chunk_replace(spark, sf):
+    """Rewritten mails lose all old chunks, also those that get no new one."""
+    old = given.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("email_id"),
+        F.col("l_linenumber").alias("position"),
+        F.lit("old").alias("origin"),
+    )
+    redone = given.table(spark, sf, "orders").where("o_orderstatus = 'F'")
+    fresh = redone.where("o_totalprice > 200000").select(
+        F.col("o_orderkey").alias("email_id"),
+        F.lit(0).alias("position"),
+        F.lit("new").alias("origin"),
+    )
+    return changes.replace_by_key(
+        old, fresh, redone.select(F.col("o_orderkey").alias("email_id")), "email_id"
+    )
+
+
+@query(
+    "backfill_completed",
+    f"""{_WITH}
+select id, strftime(case when subject_embedding is not null then updated_at else transform_completed_at end,
+  '%Y-%m-%d %H:%M:%S') as completed from emails_v""",
+)
+def backfill_completed(spark, sf):
+    rows = given.emails(spark, sf, "id", "subject_embedding", "updated_at", "transform_completed_at")
+    done = changes.backfill_completed(rows)
+    return done.select(
+        "id", F.date_format("transform_completed_at", "yyyy-MM-dd HH:mm:ss").alias("completed")
+    )
