@@ -1 +1,415 @@
+"""Message parsing, change feeds, table maintenance, streams."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from postroom.catalog.registry import EMAILS_SQL, query
+from postroom.functions import headers, mime
+from postroom.operators import changes, labels, threads
+from postroom.plans import ingest
+from postroom.session import new_work_dir
+from postroom.sources import given, notices
+from postroom.sources.store import MailStore
+from postroom.streaming import feeds
+
+_WITH = f"with {EMAILS_SQL}"
+
+
+@query(
+    "message_parse",
+    """
+select 'm' || doc_id as gmail_id, 't' || cast(floor(doc_id / 4) as bigint) as gmail_thread_id,
+  doc_id + 1000 as history_id, split_part(text, chr(10), 1) as subject,
+  case doc_id % 3 when 0 then source || '@x.example' when 1 then source || '@y.example'
+    else 'Just ' || source end as from_email,
+  case doc_id % 3 when 0 then 'Doe, ' || source when 2 then 'Just ' || source end as from_name,
+  'a@x.example|' || lang || '@z.example|c@x.example' as recipients,
+  strftime(make_timestamp(2023, 2, doc_id % 28 + 1, doc_id % 10, 15, 30.0) - interval 90 minute,
+    '%Y-%m-%d %H:%M:%S') as sent,
+  text as body_text, doc_id % 4 = 0 as has_attachments,
+  case when doc_id % 4 = 0 then 1 else 0 end as attachment_count
+from documents""",
+)
+def message_parse(spark, sf):
+    """Message JSON (headers, MIME parts, base64url bodies) back to rows; bodies whole."""
+    parsed = ingest.parse_messages(given.message_json(spark, sf))
+    return parsed.select(
+        "gmail_id", "gmail_thread_id", "history_id", "subject", "from_email", "from_name",
+        F.array_join("to_emails", "|").alias("recipients"),
+        F.date_format("sent_at", "yyyy-MM-dd HH:mm:ss").alias("sent"),
+        "body_text", "has_attachments", "attachment_count",
+    )
+
+
+@query(
+    "attachment_rows",
+    """
+select 'm' || doc_id as gmail_id, 'att' || doc_id as gmail_attachment_id, 'file' || doc_id || '.pdf' as filename,
+  'application/pdf' as mime_type, cast(doc_id * 10 as integer) as size_bytes, doc_id % 8 = 0 as is_inline
+from documents where doc_id % 4 = 0""",
+)
+def attachment_rows(spark, sf):
+    return ingest.attachment_rows(ingest.parse_messages(given.message_json(spark, sf)))
+
+
+def _html_sql() -> str:
+    from postroom.catalog.text import _STRIP_TAGS_SQL, _TEXT_OF_HTML_SQL
+
+    return f"select page_id, {_TEXT_OF_HTML_SQL.replace('HTML', _STRIP_TAGS_SQL)} as body from pages"
+
+
+@query("html_message_body", _html_sql())
+def html_message_body(spark, sf):
+    """HTML mail nested two multiparts deep."""
+    rows = given.html_message_json(spark, sf)
+    return rows.select("page_id", mime.body_text(F.col("payload")).alias("body"))
+
+
+@query(
+    "header_dates",
+    """
+select o_orderkey, strftime(o_orderdate + interval 10 hour, '%Y-%m-%d %H:%M:%S') as parsed
+from orders""",
+)
+def header_dates(spark, sf):
+    """RFC dates written from order dates and read back."""
+    o = given.table(spark, sf, "orders")
+    raw = F.concat(
+        F.date_format("o_orderdate", "E, d MMM yyyy"), F.lit(" 12:00:00 +0200 (CEST)")
+    )
+    parsed = headers.parse_date(raw)
+    return o.select("o_orderkey", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+@query(
+    "header_addresses",
+    """
+select c_custkey, case c_custkey % 3 when 0 then 'x' || c_custkey || '@a.example'
+    when 1 then 'y' || c_custkey || '@b.example' else '' end as email,
+  case c_custkey % 3 when 0 then c_name when 1 then '' else c_name end as "name"
+from customer""",
+)
+def header_addresses(spark, sf):
+    c = given.table(spark, sf, "customer")
+    i, n = F.col("c_custkey") % 3, F.col("c_custkey").cast("string")
+    raw = (
+        F.when(i == 0, F.concat(F.lit('"'), "c_name", F.lit('"  < x'), n, F.lit("@a.example>")))
+        .when(i == 1, F.concat(F.lit(" y"), n, F.lit("@b.example ")))
+        .otherwise(F.col("c_name"))
+    )
+    return c.select("c_custkey", headers.parse_address(raw).alias("a")).select(
+        "c_custkey", "a.email", "a.name"
+    )
+
+
+# ---- change feed -----------------------------------------------------------------------
+
+_FEED_SQL = """
+feed as (
+  select 'm' || user_id || '-' || json_extract_string(props, '$.k') as gmail_id,
+    case when event_type = 'error' then 'delete' else 'add' end as op, event_id as seq, ts as at,
+    cast(user_id % 3 + 1 as integer) as account_id, 't' || user_id as gmail_thread_id
+  from events
+)"""
+_STATE_SQL = f"""
+with {_FEED_SQL},
+folded as (
+  select gmail_id, min(case when op = 'add' then seq end) as first_add, arg_max(op, seq) as last_op,
+    max(case when op = 'delete' then seq end) as last_delete
+  from feed group by gmail_id
+)
+select f.gmail_id, f.first_add, case when last_op = 'delete' then strftime(d.at, '%Y-%m-%d %H:%M:%S.%f') end as deleted_at
+from folded f left join feed d on d.gmail_id = f.gmail_id and d.seq = f.last_delete
+where first_add is not null"""
+
+
+def _net(state):
+    return state.where("first_add is not null").select(
+        "gmail_id",
+        "first_add",
+        F.when(
+            F.col("last_op") == "delete", F.date_format("last_delete_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        ).alias("deleted_at"),
+    )
+
+
+@query("incremental_state", _STATE_SQL)
+def incremental_state(spark, sf):
+    """Net state of the whole feed: stored ids, first add, delete time."""
+    return _net(changes.change_state(given.change_feed(spark, sf)))
+
+
+@query(
+    "ingest_dedupe",
+    f"""{_WITH}, {_FEED_SQL},
+incoming as (
+  select case when seq % 2 = 0 then 'm' || (seq // 3) else gmail_id end as gmail_id, seq from feed where op = 'add'
+),
+firsts as (select gmail_id, min(seq) as seq from incoming group by gmail_id)
+select gmail_id, seq from firsts
+where gmail_id not in (select gmail_id from emails_v where deleted_at is null)""",
+)
+def ingest_dedupe(spark, sf):
+    """Incoming copies against the live mails: earliest copy of every new id."""
+    feed = given.change_feed(spark, sf).where("op = 'add'")
+    mixed = F.when(
+        F.col("seq") % 2 == 0, F.concat(F.lit("m"), F.floor(F.col("seq") / 3).cast("string"))
+    ).otherwise(F.col("gmail_id"))
+    incoming = feed.withColumn("gmail_id", mixed)
+    stored = given.emails(spark, sf, "gmail_id", "deleted_at")
+    return changes.new_messages(incoming, stored).select("gmail_id", "seq")
+
+
+@query(
+    "soft_delete_apply",
+    f"""{_WITH},
+deletes as (select 'm' || (event_id // 7) as gmail_id, max(ts) as at from events where event_type = 'error' group by 1)
+select e.id, strftime(coalesce(d.at, e.deleted_at), '%Y-%m-%d %H:%M:%S') as deleted_at
+from emails_v e left join deletes d using (gmail_id)""",
+)
+def soft_delete_apply(spark, sf):
+    deletes = (
+        given.change_feed(spark, sf)
+        .where("op = 'delete'")
+        .withColumn("gmail_id", F.concat(F.lit("m"), F.floor(F.col("seq") / 7).cast("string")))
+    )
+    stored = given.emails(spark, sf, "id", "gmail_id", "deleted_at")
+    applied = changes.apply_state(stored, changes.change_state(deletes))
+    return applied.select(
+        "id", F.date_format("deleted_at", "yyyy-MM-dd HH:mm:ss").alias("deleted_at")
+    )
+
+
+@query(
+    "thread_upsert",
+    f"""with {_FEED_SQL},
+firsts as (
+  select * from (select *, row_number() over (partition by gmail_id order by seq) as rn from feed where op = 'add')
+  where rn = 1
+),
+fresh as (
+  select account_id, gmail_thread_id, count(*) as n, max("at") as last_at from firsts group by account_id, gmail_thread_id
+),
+stored as (
+  select distinct cast(user_id % 3 + 1 as integer) as account_id, 't' || user_id as gmail_thread_id
+  from events where user_id % 2 = 0
+)
+select coalesce(s.account_id, f.account_id) as account_id, coalesce(s.gmail_thread_id, f.gmail_thread_id) as gmail_thread_id,
+  case when s.gmail_thread_id is not null then 5 else 0 end + coalesce(f.n, 0) as message_count,
+  strftime(f.last_at, '%Y-%m-%d %H:%M:%S') as last_message_at
+from stored s full join fresh f on s.account_id = f.account_id and s.gmail_thread_id = f.gmail_thread_id""",
+)
+def thread_upsert(spark, sf):
+    feed = given.change_feed(spark, sf)
+    inserted = changes.first_copies(feed.where("op = 'add'")).withColumnRenamed("at", "sent_at")
+    stored = (
+        given.table(spark, sf, "events")
+        .where("user_id % 2 = 0")
+        .select(
+            (F.col("user_id") % 3 + 1).cast("int").alias("account_id"),
+            F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("gmail_thread_id"),
+            F.lit("old").alias("subject"),
+            F.lit(5).cast("long").alias("message_count"),
+            F.lit(None).cast("timestamp_ntz").alias("last_message_at"),
+        )
+        .distinct()
+    )
+    merged = threads.upsert_threads(stored, inserted)
+    return merged.select(
+        "account_id",
+        "gmail_thread_id",
+        "message_count",
+        F.date_format("last_message_at", "yyyy-MM-dd HH:mm:ss").alias("last_message_at"),
+    )
+
+
+@query(
+    "label_refresh",
+    """
+select cast(n_regionkey + 1 as integer) as account_id, 'L' || n_nationkey as label_id, 'old' as label_name
+from nation where n_regionkey not in (1, 2)
+union all
+select cast(n_regionkey + 1 as integer), 'L' || n_nationkey,
+  case when n_nationkey % 3 = 0 then 'L' || n_nationkey else n_name end
+from nation where n_regionkey in (1, 2) and n_nationkey % 4 <> 0""",
+)
+def label_refresh(spark, sf):
+    n = given.table(spark, sf, "nation")
+    key = F.concat(F.lit("L"), F.col("n_nationkey").cast("string"))
+    account = (F.col("n_regionkey") + 1).cast("int").alias("account_id")
+    current = n.select(account, key.alias("label_id"), F.lit("old").alias("label_name"))
+    incoming = n.where("n_regionkey in (1, 2)").select(
+        account,
+        F.when(F.col("n_nationkey") % 4 != 0, key).alias("label_id"),
+        F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("label_name"),
+    )
+    return labels.refresh_labels(current, incoming)
+
+
+@query(
+    "account_upsert",
+    """
+with stored as (select 'user' || c_custkey || '@example.com' as email_address, 'old' as token, c_name as display_name from customer),
+fresh as (select 'user' || (s_suppkey * 20) || '@example.com' as email_address, 'new' as token from supplier)
+select coalesce(s.email_address, f.email_address) as email_address, coalesce(f.token, s.token) as token, display_name
+from stored s full join fresh f on s.email_address = f.email_address""",
+)
+def account_upsert(spark, sf):
+    def address(c):
+        return F.concat(F.lit("user"), c.cast("string"), F.lit("@example.com"))
+
+    stored = given.table(spark, sf, "customer").select(
+        address(F.col("c_custkey")).alias("email_address"),
+        F.lit("old").alias("oauth_token_encrypted"),
+        F.col("c_name").alias("display_name"),
+    )
+    fresh = given.table(spark, sf, "supplier").select(
+        address(F.col("s_suppkey") * 20).alias("email_address"),
+        F.lit("new").alias("oauth_token_encrypted"),
+    )
+    return changes.upsert_accounts(stored, fresh).withColumnRenamed("oauth_token_encrypted", "token")
+
+
+@query(
+    "orphan_rows",
+    "select l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus <> 'P')",
+)
+def orphan_rows(spark, sf):
+    """Rows without a parent: the check that stands in for a foreign key."""
+    lines = given.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    parents = given.table(spark, sf, "orders").where("o_orderstatus <> 'P'")
+    return changes.orphans(lines, parents, "l_orderkey", "o_orderkey").select(
+        "l_orderkey", "l_linenumber"
+    )
+
+
+# ---- notifications ----------------------------------------------------------------------
+
+_NOTICES_SQL = """
+notices as (
+  select event_id as message_id, event_id % 50 = 7 as bad,
+    case when event_id % 50 <> 7 then 'user' || user_id || '@example.com' end as email_address,
+    case when event_id % 50 <> 7 and event_id % 10 <> 0 then event_id end as history_id
+  from events
+),
+routed as (
+  select n.message_id, n.email_address, n.history_id, cast(c.c_custkey as integer) as account_id,
+    case when bad then 'bad' when c.c_custkey is null then 'ignored' else 'ok' end as status,
+    case when c.c_custkey is not null then coalesce(nullif(case when c.c_acctbal > 0 then c.c_custkey * 3 end, 0), n.history_id) end
+      as start_history_id
+  from notices n left join customer c on n.email_address = 'user' || c.c_custkey || '@example.com'
+)"""
+
+
+@query("notification_route", f"with {_NOTICES_SQL} select * from routed")
+def notification_route(spark, sf):
+    decoded = notices.decode(given.notifications(spark, sf))
+    return notices.route(decoded, given.accounts(spark, sf))
+
+
+@query(
+    "accounts_to_sync",
+    f"""with {_NOTICES_SQL}
+select account_id, min(start_history_id) as start_history_id, count(*) as notices
+from routed where status = 'ok' group by account_id""",
+)
+def accounts_to_sync(spark, sf):
+    decoded = notices.decode(given.notifications(spark, sf))
+    return notices.accounts_to_sync(notices.route(decoded, given.accounts(spark, sf)))
+
+
+# ---- streams ------------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf):
+    schema = given.table(spark, sf, "events").schema
+    return feeds.parquet_stream(spark, sf, schema, glob="events.parquet")
+
+
+@query("stream_incremental_sync", _STATE_SQL)
+def stream_incremental_sync(spark, sf):
+    """The feed as a stream into the change log; the state equals the batch form."""
+    root = new_work_dir(spark, "sync")
+    store = MailStore(spark, root)
+    feed = given.change_feed(spark, sf, _event_stream(spark, sf)).withColumn(
+        "at", F.col("at").cast("timestamp")
+    )
+    feeds.run_to_end(feeds.follow_changes(feed, store, f"{root}/checkpoint"))
+    return _net(changes.change_state(store.changes()))
+
+
+@query("stream_distinct", f"with {_FEED_SQL} select distinct gmail_id from feed")
+def stream_distinct(spark, sf):
+    """In-stream removal of repeated ids (bounded by a watermark longer than the data)."""
+    root = new_work_dir(spark, "distinct")
+    feed = given.change_feed(spark, sf, _event_stream(spark, sf)).select("gmail_id", "at")
+    once = feeds.distinct_messages(feed, lateness="60 days")
+    query_ = (
+        once.writeStream.format("parquet")
+        .option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    feeds.run_to_end(query_)
+    return spark.read.parquet(f"{root}/out").select("gmail_id")
+
+
+@query("stream_notifications", f"with {_NOTICES_SQL} select * from routed")
+def stream_notifications(spark, sf):
+    root = new_work_dir(spark, "notices")
+    store = MailStore(spark, root)
+    raw = given.notifications(spark, sf, _event_stream(spark, sf))
+    run = feeds.follow_notices(
+        raw,
+        given.accounts(spark, sf),
+        lambda batch, number: store.append("routed", batch, "batch", number),
+        f"{root}/checkpoint",
+    )
+    feeds.run_to_end(run)
+    return spark.read.parquet(store.path("routed")).drop("batch")
+
+
+@query(
+    "stored_mail_state",
+    f"""with {_FEED_SQL},
+folded as (
+  select gmail_id, min(case when op = 'add' then seq end) as first_add, arg_max(op, seq) as last_op from feed group by gmail_id
+)
+select f.gmail_id, a.gmail_thread_id, a.account_id, f.last_op = 'delete' as deleted
+from folded f join feed a on a.gmail_id = f.gmail_id and a.seq = f.first_add""",
+)
+def stored_mail_state(spark, sf):
+    """Feed to store and back: messages appended, log applied, state joined on read."""
+    root = new_work_dir(spark, "store")
+    store = MailStore(spark, root)
+    stream = given.change_feed(spark, sf, _event_stream(spark, sf)).withColumn(
+        "at", F.col("at").cast("timestamp")
+    )
+    full = given.change_feed(spark, sf)
+
+    def messages_of(ids):
+        # Stands in for fetching: the message of an id comes with its first add.
+        found = full.join(ids, ["gmail_id", "seq"])
+        empty = F.array().cast("array<string>")
+        return found.select(
+            F.xxhash64("gmail_id").alias("id"), "account_id", "gmail_id", "gmail_thread_id",
+            F.col("seq").alias("history_id"), "subject", F.lit("a@b.example").alias("from_email"),
+            F.lit(None).cast("string").alias("from_name"), empty.alias("to_emails"),
+            empty.alias("cc_emails"), empty.alias("bcc_emails"),
+            F.lit(None).cast("string").alias("reply_to"), F.col("at").cast("timestamp").alias("sent_at"),
+            empty.alias("labels"), F.col("subject").alias("body_text"), F.lit("").alias("snippet"),
+            F.lit(False).alias("has_attachments"), F.lit(0).alias("attachment_count"), "seq",
+            F.array().cast(
+                "array<struct<gmail_attachment_id:string,filename:string,mime_type:string,size_bytes:int,is_inline:boolean>>"
+            ).alias("attachments"),
+        )
+
+    feeds.run_to_end(feeds.follow_changes(stream, store, f"{root}/checkpoint", messages_of))
+    return store.emails().select(
+        "gmail_id",
+        "gmail_thread_id",
+        "account_id",
+        F.col("deleted_at").isNotNull().alias("deleted"),
+    )

@@ -125,11 +125,9 @@ tokens as (
   select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as w from documents
 ),
 hashed as (
-  select doc_id, cast('0x' || substr(md5(w), 1, 8) as ubigint) % {_DIM} as slot,
-    case when cast('0x' || substr(md5(w), 9, 2) as ubigint) % 2 = 0 then 1.0 else -1.0 end as sign
-  from tokens
+  select doc_id, cast('0x' || substr(md5(w), 1, 8) as ubigint) % {_DIM} as slot from tokens
 ),
-summed as (select doc_id, slot, sum(sign) as s from hashed group by doc_id, slot),
+summed as (select doc_id, slot, cast(count(*) as double) as s from hashed group by doc_id, slot),
 normed as (
   select doc_id, slot, s / sqrt(sum(s * s) over (partition by doc_id)) as x from summed
 )"""
@@ -138,7 +136,7 @@ normed as (
 @query(
     "embed_text",
     f"""with {_HASHED_SQL}
-select doc_id, cast(slot as integer) as slot, round(cast(x as double), 5) as x from normed where abs(x) > 0""",
+select doc_id, cast(slot as integer) as slot, round(cast(cast(x as float) as double), 5) as x from normed""",
 )
 def embed_text(spark, sf):
     """Offline embedder over whole texts; non-zero coordinates as rows."""

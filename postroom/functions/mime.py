@@ -43,7 +43,9 @@ SHALLOW_PAYLOAD = T.StructType(
         T.StructField("parts", T.ArrayType(PART)),
     ]
 )
-CANDIDATES_TYPE = "array<struct<html:boolean,data:string>>"
+_CANDIDATES = T.ArrayType(
+    T.StructType([T.StructField("html", T.BooleanType()), T.StructField("data", T.StringType())])
+)
 
 
 def base64url_decode(c: Column) -> Column:
@@ -76,7 +78,7 @@ def body_candidates(payload: dict) -> list[dict]:
     return found
 
 
-@F.arrow_udf(CANDIDATES_TYPE)
+@F.arrow_udf(_CANDIDATES)
 def _candidates(payloads: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("html", pa.bool_()), ("data", pa.string())]))
     return pa.array(

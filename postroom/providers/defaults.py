@@ -38,14 +38,12 @@ class CharTokenizer:
 
 
 @lru_cache(maxsize=200_000)
-def _slot(token: str, dim: int) -> tuple[int, float]:
-    digest = hashlib.md5(token.encode()).digest()
-    sign = 1.0 if digest[4] & 1 == 0 else -1.0
-    return int.from_bytes(digest[:4], "big") % dim, sign
+def _slot(token: str, dim: int) -> int:
+    return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % dim
 
 
 class HashEmbedder:
-    """Signed feature hashing of lower-cased tokens, L2-normalised.
+    """Feature hashing of lower-cased tokens, L2-normalised.
 
     MD5 keeps the vectors equal across processes, machines and engines.
     """
@@ -63,12 +61,8 @@ class HashEmbedder:
 
     def _one(self, text: str) -> np.ndarray:
         slots = [_slot(t, self.dim) for t in self._token.findall(text.lower())]
-        if not slots:
-            return np.zeros(self.dim)
-        at, sign = zip(*slots)
-        vector = np.bincount(at, weights=sign, minlength=self.dim)
-        norm = np.linalg.norm(vector)
-        return vector / norm if norm else vector
+        vector = np.bincount(slots, minlength=self.dim).astype(np.float64)
+        return vector / np.linalg.norm(vector) if slots else vector
 
 
 def read_entities(answer) -> list[dict]:
