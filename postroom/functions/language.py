@@ -30,22 +30,32 @@ def resolve_language(text: Column, language: Column, confidence: Column) -> Colu
     return F.when(usable, base).otherwise(F.lit("en"))
 
 
-def stop_word_counts(text: Column) -> dict[str, Column]:
-    low = F.lower(text)
-    return {
-        lang: F.regexp_count(low, F.lit(rf"(?U)\b(?:{'|'.join(words)})\b"))
-        for lang, words in STOP_WORDS.items()
-    }
+def words_of(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}_]+")
+
+
+def stop_word_counts(words: Column) -> dict[str, Column]:
+    """Hits per language in one word list (split once, looked up four times)."""
+
+    def count(stops: tuple[str, ...]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*stops)))
+
+    return {lang: count(stops) for lang, stops in STOP_WORDS.items()}
 
 
 def predict_by_stop_words(text: Column) -> Column:
     """``struct<language, confidence>``: most hits wins, ties by language code."""
-    hits = F.array(
-        *[
-            F.struct((-n).alias("order"), F.lit(lang).alias("language"), n.alias("hits"))
-            for lang, n in stop_word_counts(text).items()
-        ]
-    )
+
+    def hits(words: Column) -> Column:
+        return F.transform(
+            F.array(
+                *[
+                    F.struct(F.lit(lang).alias("language"), n.alias("hits"))
+                    for lang, n in stop_word_counts(words).items()
+                ]
+            ),
+            lambda h: F.struct((-h["hits"]).alias("order"), h["language"], h["hits"]),
+        )
 
     def best(found: Column) -> Column:
         top = F.array_min(found)
@@ -58,7 +68,7 @@ def predict_by_stop_words(text: Column) -> Column:
             ),
         )
 
-    return let(hits, best)
+    return let(let(words_of(text), hits), best)
 
 
 def detect_language(text: Column, predict=predict_by_stop_words) -> Column:

@@ -9,21 +9,56 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postroom import fixed_values as fv
-from postroom.functions.text import has_text, strip
+from postroom.functions.text import fold_case, has_text, let, mentions, strip
+
+
+# What a text must hold before a rule can match it at all, by position in the fixed lists.
+_DIGIT = r"\p{Nd}"
+_PII_NEEDS = (
+    lambda t: t.contains("@"),
+    lambda t: t.rlike(_DIGIT),
+    lambda t: t.rlike(_DIGIT),
+    lambda t: t.rlike(_DIGIT),
+    lambda t: t.rlike(_DIGIT),
+)
+_LONG_RUN = "[A-Za-z0-9+/]{20}"
+_SECRET_NEEDS = (
+    lambda t: t.contains("://"),
+    lambda t: t.contains("-----"),
+    lambda t: mentions(fold_case(t), "bearer"),
+    lambda t: mentions(fold_case(t), "access_token"),
+    lambda t: mentions(fold_case(t), "api", "secret_key", "auth"),
+    lambda t: mentions(fold_case(t), "passw", "pwd", "token"),
+    lambda t: t.contains("-"),
+    lambda t: t.contains("-"),
+    lambda t: t.rlike(_LONG_RUN),
+    lambda t: t.rlike(_LONG_RUN),
+    lambda t: mentions(fold_case(t), "license", "product", "serial", "activation"),
+)
+
+
+def _apply(c: Column, rules, needs) -> Column:
+    """Ordered replacements; each runs only on texts that pass its cheap gate."""
+
+    def gated(pattern: str, token: str, flags: str, need):
+        return lambda t: F.when(
+            need(t), F.regexp_replace(t, f"(?{flags}){pattern}", token)
+        ).otherwise(t)
+
+    for rule, need in zip(rules, needs, strict=True):
+        c = let(c, gated(*rule, need))
+    return c
 
 
 def redact_pii(c: Column) -> Column:
     """E-mail, phone, card, SSN and nine-digit ids; the order decides the outcome."""
-    for pattern, token in fv.PII:
-        c = F.regexp_replace(c, f"(?U){pattern}", token)
-    return c
+    return _apply(c, [(p, k, "U") for p, k in fv.PII], _PII_NEEDS)
 
 
 def redact_secrets(c: Column) -> Column:
     """Links first (so reset links stay readable as [LINK]), then keys and tokens."""
-    for pattern, token, ignore_case in (fv.LINK, *fv.SECRETS):
-        c = F.regexp_replace(c, f"(?{'Ui' if ignore_case else 'U'}){pattern}", token)
-    return c
+    rules = [(p, k, "Ui" if i else "U") for p, k, i in (fv.LINK, *fv.SECRETS)]
+    return _apply(c, rules, _SECRET_NEEDS)
 
 
 def replace_entities(text: str, entities: Iterable[dict]) -> str:

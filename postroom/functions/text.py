@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from postroom import fixed_values as fv
 
 # White space as the mail contract sees it: Unicode White_Space plus U+001C..U+001F.
-WS = r"[\s\x1c-\x1f]"
 NON_WS = r"[^\s\x1c-\x1f]"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,11 +36,25 @@ def has_text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{WS}+|{WS}+\z", "")
+    """Trim a fixed character set: looks at the two ends only, no regex over the text."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){WS}+\z", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
+
+
+def fold_case(c: Column) -> Column:
+    """Lower case in which everything a case-insensitive regex equates is equal."""
+    return F.lower(F.upper(c))
+
+
+def mentions(folded: Column, *words: str) -> Column:
+    """Plain substring tests: a gate that keeps regexes off texts that cannot match."""
+    cond = folded.contains(words[0])
+    for w in words[1:]:
+        cond = cond | folded.contains(w)
+    return cond
 
 
 def any_of(patterns: Sequence[str]) -> str:
@@ -45,12 +62,21 @@ def any_of(patterns: Sequence[str]) -> str:
 
 
 def cut_at_first(c: Column, patterns: Sequence[str]) -> Column:
-    """Drop everything from the first match on, with the white space before it.
+    """Drop everything from the first match on.
 
-    The match itself is extended to the end of the text, so one linear regex pass
-    does the search, the cut and the right-strip.
+    The match is extended to the end of the text, so one regex pass does both the search
+    and the cut.  All patterns start with a line feed; testing that once per character
+    spares trying every alternative there.
     """
-    return F.regexp_replace(c, rf"(?Uisd){WS}*(?:{any_of(patterns)}).*\z", "")
+    return F.regexp_replace(c, rf"(?Uisd)(?=\n)(?:{any_of(patterns)}).*\z", "")
+
+
+def _cut_stripped(text: Column, patterns: Sequence[str], otherwise) -> Column:
+    """The cut text without trailing white space, or ``otherwise`` where nothing matched."""
+    return let(
+        cut_at_first(text, patterns),
+        lambda k: F.when(F.length(k) < F.length(text), rstrip(k)).otherwise(otherwise),
+    )
 
 
 def strip_tracking_pixels(html: Column) -> Column:
@@ -61,7 +87,12 @@ def strip_tracking_pixels(html: Column) -> Column:
 
 
 def strip_tracking_urls(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?Ui){fv.TRACKING_URL}", "[LINK]")
+    def replace(text: Column) -> Column:
+        return F.when(
+            text.contains("://"), F.regexp_replace(text, f"(?Ui){fv.TRACKING_URL}", "[LINK]")
+        ).otherwise(text)
+
+    return let(c, replace)
 
 
 def strip_invisible(c: Column) -> Column:
@@ -73,17 +104,17 @@ def strip_quoted_replies(c: Column) -> Column:
     """Cut at the first quoted reply; a text without one is stripped on both sides."""
 
     def decide(text: Column) -> Column:
-        cut = cut_at_first(text, fv.QUOTE_STARTS)
         whole = F.when(has_text(text), strip(text)).otherwise(text)
-        return let(cut, lambda k: F.when(F.length(k) < F.length(text), k).otherwise(whole))
+        return _cut_stripped(text, fv.QUOTE_STARTS, whole)
 
     return let(c, decide)
 
 
 def strip_signatures(c: Column) -> Column:
     def decide(text: Column) -> Column:
-        cut = cut_at_first(cut_at_first(text, fv.SIGNATURES), fv.DISCLAIMERS)
-        return F.when(has_text(text), strip(cut)).otherwise(text)
+        once = _cut_stripped(text, fv.SIGNATURES, text)
+        twice = let(once, lambda t: _cut_stripped(t, fv.DISCLAIMERS, t))
+        return F.when(has_text(text), strip(twice)).otherwise(text)
 
     return let(c, decide)
 

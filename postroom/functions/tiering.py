@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postroom import fixed_values as fv
-from postroom.functions.text import any_of, has_text, let, strip
+from postroom.functions.text import any_of, has_text, let, mentions, strip
 from postroom.functions.tokens import token_count
 
 # ---- input -------------------------------------------------------------------
@@ -239,23 +239,38 @@ _SECRET_VALUE = any_of(
         r"\baccount (?:number|no)[.:\s]+\d{6,}",
     ]
 )
+_SECRET_WORDS = (
+    "private key", "bearer", "api", "secret_key", "access_token", "auth", "password", "passwd",
+    "pwd", "token", "account",
+)
 _BULK_SENDER = r"(?:^|[<\s])(?:no-?reply|newsletter|notifications?|marketing|updates)@"
 _BULK_BODY = r"\bunsubscribe\b|\border confirmation\b|\bhas shipped\b|\bspecial offer\b"
+_BULK_WORDS = ("unsubscribe", "order confirmation", "has shipped", "special offer")
 _EXPECTS_REPLY = r"\?|\blet me know\b|\bcan you\b|\bcould you\b|\bmeeting\b|\binvit(?:e|ation)\b"
+_REPLY_WORDS = ("?", "let me know", "can you", "could you", "meeting", "invit")
 
 
 def rule_based_answer(sender: Column, subject: Column, body: Column) -> Column:
-    """Offline stand-in for the classifier model: one word by ordered rules."""
+    """Offline stand-in for the classifier model: one word by ordered rules.
+
+    Plain substring tests decide whether a rule's regex needs to run at all.
+    """
     text = F.concat_ws("\n", F.coalesce(subject, F.lit("")), F.coalesce(body, F.lit("")))
-    return (
-        F.when(text.rlike(f"(?i){_SECRET_VALUE}"), F.lit("SENSITIVE"))
-        .when(sender.rlike(f"(?i){_BULK_SENDER}"), F.lit("PUBLIC"))
-        .when(text.rlike(f"(?i){_BULK_BODY}"), F.lit("PUBLIC"))
-        .when(
-            sender.contains("@") & text.rlike(f"(?i){_EXPECTS_REPLY}"), F.lit("PERSONAL")
+
+    def decide(pair: Column) -> Column:
+        t, low = pair["text"], pair["low"]
+        digits = t.rlike("[0-9]{3}-[0-9]{2}-|[0-9]{16}")
+        secret = (mentions(low, *_SECRET_WORDS) | digits) & t.rlike(f"(?i){_SECRET_VALUE}")
+        bulk = mentions(low, *_BULK_WORDS) & t.rlike(f"(?i){_BULK_BODY}")
+        reply = mentions(low, *_REPLY_WORDS) & t.rlike(f"(?i){_EXPECTS_REPLY}")
+        return (
+            F.when(secret, F.lit("SENSITIVE"))
+            .when(sender.rlike(f"(?i){_BULK_SENDER}") | bulk, F.lit("PUBLIC"))
+            .when(sender.contains("@") & reply, F.lit("PERSONAL"))
+            .otherwise(F.lit("PUBLIC"))
         )
-        .otherwise(F.lit("PUBLIC"))
-    )
+
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), decide)
 
 
 def prompt_over_budget(prompt: Column, tokenizer, max_prompt_tokens: int) -> Column:

@@ -78,7 +78,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A small file is often one row group, hence one task.  Its shuffle is cheap; above
     256 MB the scan splits by itself and the plan stays free of the extra shuffle.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_INPUT_BYTES:
+    # Sizes of the scanned relations; a join's own estimate is their product.
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if sum(sizes) > SMALL_INPUT_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
