@@ -45,8 +45,11 @@ def rstrip(c: Column) -> Column:
 
 
 def fold_case(c: Column) -> Column:
-    """Lower case in which everything a case-insensitive regex equates is equal."""
-    return F.lower(F.upper(c))
+    """Lower case in which everything a case-insensitive regex equates is equal.
+
+    Besides the Kelvin sign, which lower() maps, that is only the long s.
+    """
+    return F.replace(F.lower(c), F.lit("\u017f"), F.lit("s"))
 
 
 def mentions(folded: Column, *words: str) -> Column:

@@ -13,17 +13,19 @@ from postroom.session import build_session, ship_package  # noqa: E402
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+# Column expressions at module level need a running session.
+_SPARK = build_session(
+    "tests",
+    "local[8]",
+    **{"spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8"},
+)
+_SPARK.sparkContext.setLogLevel("ERROR")
+ship_package(_SPARK)
+
+
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session(
-        "tests",
-        "local[8]",
-        **{"spark.driver.memory": "8g", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8"},
-    )
-    s.sparkContext.setLogLevel("ERROR")
-    ship_package(s)
-    yield s
-    s.stop()
+    return _SPARK
 
 
 @pytest.fixture(scope="session")
