@@ -144,7 +144,8 @@ def embed_text(spark, sf):
     vector = embedding_udf(HashEmbedder(_DIM))(F.array("text"))
     return (
         d.select("doc_id", F.element_at(vector, 1).alias("v"))
-        .select("doc_id", F.posexplode("v").alias("slot", "x"))
+        # The outer form infers no filter on "v", which would run the model twice.
+        .select("doc_id", F.posexplode_outer("v").alias("slot", "x"))
         .where(F.col("x") != 0)
         .select("doc_id", "slot", F.round(F.col("x").cast("double"), 5).alias("x"))
     )

@@ -219,10 +219,15 @@ def transform(emails: DataFrame, config: EngineConfig) -> DataFrame:
 
 
 def chunk_rows(results: DataFrame) -> DataFrame:
-    """Chunk table rows of the successful results."""
+    """Chunk table rows of the successful results.
+
+    The outer explode keeps the optimizer from inferring a filter over ``chunks``, which
+    would evaluate the embedding twice on results that are not written yet.
+    """
     return (
         results.where(F.col("problem").isNull())
-        .select(F.col("id").alias("email_id"), F.explode("chunks").alias("c"))
+        .select(F.col("id").alias("email_id"), F.explode_outer("chunks").alias("c"))
+        .where(F.col("c").isNotNull())
         .select(
             "email_id",
             F.col("c.embedding").alias("chunk_embedding"),

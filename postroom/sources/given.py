@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom import fixed_values as fv
+from postroom.session import spread
 
 TIMES = ("sent_at", "deleted_at", "transform_completed_at", "updated_at")
 VECTORS = ("body_embedding", "body_pooled_embedding", "subject_embedding")
@@ -46,47 +47,64 @@ def emails(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     if set(wanted) & set(VECTORS):
         v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
         df = df.join(v, "doc_id", "left")
-    first_line = F.split_part("text", F.lit("\n"), F.lit(1))
-    snippet = F.split_part("text", F.lit("\n"), F.lit(2))
-    address = F.concat("source", F.lit("@"), "lang", F.lit(".example.com"))
-    tier = (
-        F.when(F.col("toxic") == 1, F.lit(1)).when(F.col("quality") == 0, F.lit(2)).otherwise(F.lit(3))
-        if set(wanted) & set(TIER)
-        else None
-    )
+    has_time, has_tier = "ts" in df.columns, "toxic" in df.columns
+
+    def tier():
+        return (
+            F.when(F.col("toxic") == 1, F.lit(1))
+            .when(F.col("quality") == 0, F.lit(2))
+            .otherwise(F.lit(3))
+        )
+
+    def first_line():
+        return F.substring_index("text", "\n", 1)
+
+    def second_line():
+        two = F.substring_index("text", "\n", 2)
+        return F.when(F.col("text").contains("\n"), F.substring_index(two, "\n", -1)).otherwise(
+            F.lit("")
+        )
+
+    def shown_snippet():
+        return F.when(tier() != 3, F.lit(fv.SNIPPET_PLACEHOLDER)).otherwise(
+            F.nullif(masked(second_line()), F.lit(""))
+        )
+
+    # Only the asked columns are built.
     expr = {
-        "id": i,
-        "account_id": (i % 3 + 1).cast("int"),
-        "gmail_id": F.concat(F.lit("m"), i.cast("string")),
-        "gmail_thread_id": F.concat(F.lit("t"), F.floor(i / 4).cast("string")),
-        "subject": F.when(i % 11 != 0, F.split_part(first_line, F.lit("."), F.lit(1))),
-        "from_email": address,
-        "from_name": F.when(i % 5 != 0, F.concat(F.lit("Sender "), "source")),
-        "to_emails": F.array(
+        "id": lambda: i,
+        "account_id": lambda: (i % 3 + 1).cast("int"),
+        "gmail_id": lambda: F.concat(F.lit("m"), i.cast("string")),
+        "gmail_thread_id": lambda: F.concat(F.lit("t"), F.floor(i / 4).cast("string")),
+        "subject": lambda: F.when(i % 11 != 0, F.substring_index(first_line(), ".", 1)),
+        "from_email": lambda: F.concat("source", F.lit("@"), "lang", F.lit(".example.com")),
+        "from_name": lambda: F.when(i % 5 != 0, F.concat(F.lit("Sender "), "source")),
+        "to_emails": lambda: F.array(
             F.concat(F.lit("team@"), "lang", F.lit(".example.com")),
             F.when(i % 4 == 0, F.concat("source", F.lit("@list.example.com"))),
         ),
-        "labels": F.array("lang", "source", F.concat(F.lit("L"), (i % 25).cast("string"))),
-        "body_text": F.col("text"),
-        "snippet": snippet,
-        "body_redacted": F.when(i % 19 != 0, masked(F.col("text"))),
-        "has_attachments": i % 7 == 0,
-        "sent_at": F.col("ts") if "ts" in df.columns else None,
-        "deleted_at": F.when(i % 13 == 0, F.col("ts")) if "ts" in df.columns else None,
-        "transform_completed_at": F.when(i % 17 != 0, F.col("ts")) if "ts" in df.columns else None,
-        "updated_at": F.col("ts") if "ts" in df.columns else None,
-        "privacy_tier": tier,
-        "snippet_redacted": None
-        if tier is None
-        else F.when(tier != 3, F.lit(fv.SNIPPET_PLACEHOLDER)).otherwise(
-            F.nullif(masked(snippet), F.lit(""))
-        ),
+        "labels": lambda: F.array("lang", "source", F.concat(F.lit("L"), (i % 25).cast("string"))),
+        "body_text": lambda: F.col("text"),
+        "snippet": second_line,
+        "body_redacted": lambda: F.when(i % 19 != 0, masked(F.col("text"))),
+        "has_attachments": lambda: i % 7 == 0,
     }
+    if has_time:
+        expr |= {
+            "sent_at": lambda: F.col("ts"),
+            "deleted_at": lambda: F.when(i % 13 == 0, F.col("ts")),
+            "transform_completed_at": lambda: F.when(i % 17 != 0, F.col("ts")),
+            "updated_at": lambda: F.col("ts"),
+        }
+    if has_tier:
+        expr |= {"privacy_tier": tier, "snippet_redacted": shown_snippet}
     if "embedding" in df.columns:
-        expr["body_embedding"] = F.when(i % 3 == 0, F.col("embedding"))
-        expr["body_pooled_embedding"] = F.when(i % 3 < 2, F.col("embedding"))
-        expr["subject_embedding"] = F.col("embedding")
-    return df.select(*[expr[c].alias(c) for c in wanted])
+        expr |= {
+            "body_embedding": lambda: F.when(i % 3 == 0, F.col("embedding")),
+            "body_pooled_embedding": lambda: F.when(i % 3 < 2, F.col("embedding")),
+            "subject_embedding": lambda: F.col("embedding"),
+        }
+    return df.select(*[expr[c]().alias(c) for c in wanted])
 
 
 def account_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +193,7 @@ def message_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("body"),
         )
 
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     i = F.col("doc_id")
     name = F.concat(F.lit("file"), i.cast("string"), F.lit(".pdf"))
     attached = part(
@@ -235,7 +253,7 @@ def message_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_message_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as HTML mail: a nested multipart inside a mixed one."""
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     data = F.translate(F.base64(F.encode("html", "UTF-8")), "+/", "-_")
     inner = F.struct(
         F.lit("multipart/alternative").alias("mimeType"),
