@@ -13,52 +13,69 @@ from postroom.functions.text import fold_case, has_text, let, mentions, strip
 
 
 # What a text must hold before a rule can match it at all, by position in the fixed lists.
-_DIGIT = r"\p{Nd}"
-_PII_NEEDS = (
-    lambda t: t.contains("@"),
-    lambda t: t.rlike(_DIGIT),
-    lambda t: t.rlike(_DIGIT),
-    lambda t: t.rlike(_DIGIT),
-    lambda t: t.rlike(_DIGIT),
-)
-_LONG_RUN = "[A-Za-z0-9+/]{20}"
+# Gates look at the text as it comes in: the inserted tokens stand in brackets, so no
+# replacement can complete a word, a link or a digit run that was not there before.
+_KEY_WORDS = (
+    "api_key", "api-key", "apikey", "api_secret", "secret_key", "auth_token", "auth-token",
+    "authtoken",
+)
+_PII_NEEDS = ("at", "digit", "digit", "digit", "digit")
+_PII_GATES = {
+    "at": lambda t, low: t.contains("@"),
+    "digit": lambda t, low: t.rlike(r"\p{Nd}"),
+}
 _SECRET_NEEDS = (
-    lambda t: t.contains("://"),
-    lambda t: t.contains("-----"),
-    lambda t: mentions(fold_case(t), "bearer"),
-    lambda t: mentions(fold_case(t), "access_token"),
-    lambda t: mentions(fold_case(t), "api", "secret_key", "auth"),
-    lambda t: mentions(fold_case(t), "passw", "pwd", "token"),
-    lambda t: t.contains("-"),
-    lambda t: t.contains("-"),
-    lambda t: t.rlike(_LONG_RUN),
-    lambda t: t.rlike(_LONG_RUN),
-    lambda t: mentions(fold_case(t), "license", "product", "serial", "activation"),
-)
-
-
-def _apply(c: Column, rules, needs) -> Column:
+    "link", "block", "bearer", "access", "key", "password", "fours", "fives", "run", "run", "license",
+)
+_SECRET_GATES = {
+    "link": lambda t, low: t.contains("://"),
+    "block": lambda t, low: t.contains("-----"),
+    "bearer": lambda t, low: mentions(low, "bearer"),
+    "access": lambda t, low: mentions(low, "access_token"),
+    "key": lambda t, low: mentions(low, *_KEY_WORDS),
+    "password": lambda t, low: mentions(low, "passw", "pwd", "token"),
+    "fours": lambda t, low: t.rlike("-[^-]{4}-[^-]{4}-"),
+    "fives": lambda t, low: t.rlike("-[^-]{5}-[^-]{5}-"),
+    "run": lambda t, low: t.rlike("[A-Za-z0-9+/]{20}"),
+    "license": lambda t, low: mentions(low, "license", "product", "serial", "activation"),
+}
+
+
+def _apply(c: Column, rules, needs, gates) -> Column:
     """Ordered replacements; each runs only on texts that pass its cheap gate."""
 
-    def gated(pattern: str, token: str, flags: str, need):
+    def gated(gate: Column, pattern: str, token: str, flags: str):
         return lambda t: F.when(
-            need(t), F.regexp_replace(t, f"(?{flags}){pattern}", token)
+            gate, F.regexp_replace(t, f"(?{flags}){pattern}", token)
         ).otherwise(t)
 
-    for rule, need in zip(rules, needs, strict=True):
-        c = let(c, gated(*rule, need))
-    return c
+    def tested(pair: Column) -> Column:
+        return F.struct(
+            pair["text"].alias("text"),
+            *[test(pair["text"], pair["low"]).alias(name) for name, test in gates.items()],
+        )
+
+    def replaced(known: Column) -> Column:
+        text = known["text"]
+        for rule, need in zip(rules, needs, strict=True):
+            text = let(text, gated(known[need], *rule))
+        return text
+
+    low = fold_case(c) if gates is _SECRET_GATES else c
+    # The folded copy and every gate are computed once per text.
+    return let(let(F.struct(c.alias("text"), low.alias("low")), tested), replaced)
 
 
 def redact_pii(c: Column) -> Column:
     """E-mail, phone, card, SSN and nine-digit ids; the order decides the outcome."""
-    return _apply(c, [(p, k, "U") for p, k in fv.PII], _PII_NEEDS)
+    return _apply(c, [(p, k, "U") for p, k in fv.PII], _PII_NEEDS, _PII_GATES)
 
 
 def redact_secrets(c: Column) -> Column:
     """Links first (so reset links stay readable as [LINK]), then keys and tokens."""
     rules = [(p, k, "Ui" if i else "U") for p, k, i in (fv.LINK, *fv.SECRETS)]
-    return _apply(c, rules, _SECRET_NEEDS)
+    # ``c`` is often a long chain itself: bind it before it is read twice.
+    return let(c, lambda t: _apply(t, rules, _SECRET_NEEDS, _SECRET_GATES))
 
 
 def replace_entities(text: str, entities: Iterable[dict]) -> str:

@@ -240,8 +240,8 @@ _SECRET_VALUE = any_of(
     ]
 )
 _SECRET_WORDS = (
-    "private key", "bearer", "api", "secret_key", "access_token", "auth", "password", "passwd",
-    "pwd", "token", "account",
+    "private key", "bearer", "api_key", "api-key", "apikey", "api_secret", "secret_key", "password",
+    "passwd", "pwd", "token", "account n",
 )
 _BULK_SENDER = r"(?:^|[<\s])(?:no-?reply|newsletter|notifications?|marketing|updates)@"
 _BULK_BODY = r"\bunsubscribe\b|\border confirmation\b|\bhas shipped\b|\bspecial offer\b"
