@@ -18,6 +18,8 @@ def query(name: str, oracle: str | None = None):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
+            # The contract's times are UTC; the given timestamps carry no zone.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

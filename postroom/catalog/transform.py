@@ -233,6 +233,21 @@ def transform_counters(spark, sf):
     return aggregates.transform_counters(_results(spark, sf))
 
 
+@query(
+    "embed_items",
+    f"""{_TRANSFORM_SQL}
+select min(r.id) as first_id, max(r.id) as last_id,
+  count(*) filter ({_sql_strip("coalesce(subject, '')")} <> '') as subjects,
+  count(*) filter (body_kind = 'full') as bodies, cast(sum(n_chunks) as bigint) as chunks
+from results r join todo using (id)""",
+)
+def embed_items(spark, sf):
+    """What a run over every live mail would send to the embedder."""
+    rows = given.emails(spark, sf, *_INPUT)
+    todo = plan.worklist(rows, force=True)
+    return aggregates.embed_items(plan.prepare(spread(todo, "id"), _config()))
+
+
 @query("transform_vectors")
 def transform_vectors(spark, sf):
     """Which vectors every mail ends up with (model step, checked against Python in tests)."""

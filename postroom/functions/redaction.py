@@ -44,26 +44,29 @@ _SECRET_GATES = {
 def _apply(c: Column, rules, needs, gates) -> Column:
     """Ordered replacements; each runs only on texts that pass its cheap gate."""
 
-    def gated(gate: Column, pattern: str, token: str, flags: str):
-        return lambda t: F.when(
-            gate, F.regexp_replace(t, f"(?{flags}){pattern}", token)
-        ).otherwise(t)
-
     def tested(pair: Column) -> Column:
         return F.struct(
             pair["text"].alias("text"),
             *[test(pair["text"], pair["low"]).alias(name) for name, test in gates.items()],
         )
 
-    def replaced(known: Column) -> Column:
-        text = known["text"]
-        for rule, need in zip(rules, needs, strict=True):
-            text = let(text, gated(known[need], *rule))
-        return text
+    def gated(pattern: str, token: str, flags: str, need: str):
+        def step(known: Column) -> Column:
+            text = known["text"]
+            changed = F.regexp_replace(text, f"(?{flags}){pattern}", token)
+            return F.struct(
+                F.when(known[need], changed).otherwise(text).alias("text"),
+                *[known[name].alias(name) for name in gates],
+            )
+
+        return step
 
     low = fold_case(c) if gates is _SECRET_GATES else c
-    # The folded copy and every gate are computed once per text.
-    return let(let(F.struct(c.alias("text"), low.alias("low")), tested), replaced)
+    # The folded copy and every gate are computed once per text and travel along with it.
+    state = let(F.struct(c.alias("text"), low.alias("low")), tested)
+    for rule, need in zip(rules, needs, strict=True):
+        state = let(state, gated(*rule, need))
+    return state["text"]
 
 
 def redact_pii(c: Column) -> Column:

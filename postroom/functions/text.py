@@ -25,7 +25,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``.
 
     Catalyst inlines column expressions, so an expensive value that is used twice
-    would be computed twice; binding it to a lambda variable prevents that.
+    would be computed twice; binding it to a lambda variable prevents that.  A body must
+    not refer to another let's variable from within a nested lambda: such expressions
+    cannot be the input of a Python step.  Bind a struct instead.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -74,11 +76,14 @@ def cut_at_first(c: Column, patterns: Sequence[str]) -> Column:
     return F.regexp_replace(c, rf"(?Uisd)(?=\n)(?:{any_of(patterns)}).*\z", "")
 
 
-def _cut_stripped(text: Column, patterns: Sequence[str], otherwise) -> Column:
-    """The cut text without trailing white space, or ``otherwise`` where nothing matched."""
+def _cut_stripped(text: Column, patterns: Sequence[str], otherwise: Callable) -> Column:
+    """The cut text without trailing white space, or ``otherwise(text)`` without a match."""
+    pair = F.struct(text.alias("text"), cut_at_first(text, patterns).alias("cut"))
     return let(
-        cut_at_first(text, patterns),
-        lambda k: F.when(F.length(k) < F.length(text), rstrip(k)).otherwise(otherwise),
+        pair,
+        lambda p: F.when(F.length(p["cut"]) < F.length(p["text"]), rstrip(p["cut"])).otherwise(
+            otherwise(p["text"])
+        ),
     )
 
 
@@ -106,17 +111,19 @@ def strip_invisible(c: Column) -> Column:
 def strip_quoted_replies(c: Column) -> Column:
     """Cut at the first quoted reply; a text without one is stripped on both sides."""
 
-    def decide(text: Column) -> Column:
-        whole = F.when(has_text(text), strip(text)).otherwise(text)
-        return _cut_stripped(text, fv.QUOTE_STARTS, whole)
+    def whole(text: Column) -> Column:
+        return F.when(has_text(text), strip(text)).otherwise(text)
 
-    return let(c, decide)
+    return let(c, lambda text: _cut_stripped(text, fv.QUOTE_STARTS, whole))
 
 
 def strip_signatures(c: Column) -> Column:
+    def same(text: Column) -> Column:
+        return text
+
     def decide(text: Column) -> Column:
-        once = _cut_stripped(text, fv.SIGNATURES, text)
-        twice = let(once, lambda t: _cut_stripped(t, fv.DISCLAIMERS, t))
+        once = _cut_stripped(text, fv.SIGNATURES, same)
+        twice = let(once, lambda t: _cut_stripped(t, fv.DISCLAIMERS, same))
         return F.when(has_text(text), strip(twice)).otherwise(text)
 
     return let(c, decide)
@@ -146,13 +153,8 @@ def clean_body(
     if signatures:
         text = strip_signatures(text)
     if extract_main is not None:
-        text = let(
-            text,
-            lambda t: F.coalesce(
-                F.nullif(
-                    extract_main(F.when((F.length(t) > 0) & (F.length(t) <= 12000), t)), F.lit("")
-                ),
-                t,
-            ),
-        )
+        # A model step cannot sit inside a lambda, so the text is named twice here.
+        size = F.length(text)
+        eligible = F.when((size > 0) & (size <= 12000), text)
+        text = F.coalesce(F.nullif(extract_main(eligible), F.lit("")), text)
     return strip(text)

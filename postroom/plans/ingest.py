@@ -123,4 +123,5 @@ def sync_event(
         F.lit(error).cast("string").alias("error_message"),
         now.alias("at"),
     )
-    store.append(f"sync_events/status={status}", row, "batch", batch)
+    # Started and finished rows of a batch are separate folders, so both are kept.
+    store.append(f"sync_events/phase={status}", row, "batch", batch)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_SALTS = 16
+
 
 def decode(raw: DataFrame, data: str = "data") -> DataFrame:
     """Adds email_address, history_id and ``status`` (``bad`` when the shape is wrong).
@@ -29,12 +31,18 @@ def decode(raw: DataFrame, data: str = "data") -> DataFrame:
 def route(decoded: DataFrame, accounts: DataFrame) -> DataFrame:
     """Attach the account and the cursor to start from; unknown addresses are ignored.
 
-    The stored cursor wins over the notification's own history id.
+    The stored cursor wins over the notification's own history id.  One busy account may
+    send a third of all notices, so notices are salted and the accounts (one row per
+    address) copied per salt; micro-batches have no adaptive skew handling to rely on.
     """
     known = accounts.select(
-        F.col("email_address"), F.col("id").alias("account_id"), "last_history_id"
+        F.col("email_address"),
+        F.col("id").alias("account_id"),
+        "last_history_id",
+        F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"),
     )
-    joined = decoded.join(known, "email_address", "left")
+    spread_out = F.pmod(F.xxhash64("history_id", *decoded.columns[:1]), F.lit(_SALTS)).cast("int")
+    joined = decoded.withColumn("salt", spread_out).join(known, ["email_address", "salt"], "left")
     return joined.select(
         *[c for c in decoded.columns if c != "status"],
         "account_id",

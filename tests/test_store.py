@@ -90,6 +90,10 @@ def test_messages_and_attachments(store):
     assert rows["m4"]["sent_at"] is not None
     a = store.attachments().collect()
     assert [(x["gmail_id"], x["size_bytes"], x["is_inline"]) for x in a] == [("m1", 12, True)]
+    audit = store.spark.read.parquet(store.path("sync_events")).collect()
+    assert sorted((x["batch"], x["status"], x["emails_processed"]) for x in audit) == [
+        (1, "completed", 4), (1, "started", 0), (2, "completed", 0), (2, "started", 0),
+    ]
     heads = {r["gmail_thread_id"]: r["message_count"] for r in store.threads().collect()}
     assert heads == {"t1": 2, "t2": 1, "t3": 1}
 
