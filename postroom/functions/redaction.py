@@ -45,18 +45,16 @@ def _apply(c: Column, rules, needs, gates) -> Column:
     """Ordered replacements; each runs only on texts that pass its cheap gate."""
 
     def tested(pair: Column) -> Column:
-        return F.struct(
-            pair["text"].alias("text"),
-            *[test(pair["text"], pair["low"]).alias(name) for name, test in gates.items()],
-        )
+        passed = [test(pair["text"], pair["low"]).alias(name) for name, test in gates.items()]
+        return F.struct(pair["text"].alias("text"), F.struct(*passed).alias("gates"))
 
     def gated(pattern: str, token: str, flags: str, need: str):
         def step(known: Column) -> Column:
             text = known["text"]
             changed = F.regexp_replace(text, f"(?{flags}){pattern}", token)
             return F.struct(
-                F.when(known[need], changed).otherwise(text).alias("text"),
-                *[known[name].alias(name) for name in gates],
+                F.when(known["gates"][need], changed).otherwise(text).alias("text"),
+                known["gates"].alias("gates"),
             )
 
         return step
@@ -71,13 +69,14 @@ def _apply(c: Column, rules, needs, gates) -> Column:
 
 def redact_pii(c: Column) -> Column:
     """E-mail, phone, card, SSN and nine-digit ids; the order decides the outcome."""
-    return _apply(c, [(p, k, "U") for p, k in fv.PII], _PII_NEEDS, _PII_GATES)
+    rules = [(p, k, "U") for p, k in fv.PII]
+    # ``c`` is often a long chain itself: bind it before it is read twice.
+    return let(c, lambda t: _apply(t, rules, _PII_NEEDS, _PII_GATES))
 
 
 def redact_secrets(c: Column) -> Column:
     """Links first (so reset links stay readable as [LINK]), then keys and tokens."""
     rules = [(p, k, "Ui" if i else "U") for p, k, i in (fv.LINK, *fv.SECRETS)]
-    # ``c`` is often a long chain itself: bind it before it is read twice.
     return let(c, lambda t: _apply(t, rules, _SECRET_NEEDS, _SECRET_GATES))
 
 
