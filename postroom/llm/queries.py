@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postroom.llm import packing
+from postroom.llm import packing, simhash
 from postroom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "packing"]
+__all__ = ["ORACLES", "QUERIES", "packing", "simhash"]
