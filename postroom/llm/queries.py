@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postroom.llm import packing, secrets, simhash
+from postroom.llm import decontaminate, language, packing, secrets, simhash
 from postroom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "packing", "secrets", "simhash"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "language", "packing", "secrets", "simhash"]

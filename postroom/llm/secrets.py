@@ -151,8 +151,17 @@ def mask(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
 
 
+def _ascii_cases(pattern: str) -> str:
+    """The same pattern for an engine whose ``(?i)`` folds beyond ASCII (long s, Kelvin sign)."""
+    head, mark, rest = pattern.partition("(?i:")
+    if not mark:
+        return pattern
+    keys, close, rest = rest.partition("))")
+    return head + "(?:" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in keys) + close + rest
+
+
 def _sql_rule(number: int, rule: Rule) -> str:
-    pattern = rule.pattern.replace("'", "''")
+    pattern = _ascii_cases(rule.pattern).replace("'", "''")
     whole = f"regexp_extract_all(text, '{pattern}')"
     held = f"regexp_extract_all(text, '{pattern}', {rule.group})"
     return f"""
