@@ -9,7 +9,9 @@ every piece finds its slot by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +25,7 @@ from postroom.llm.registry import prepare, query, table, written
 CAPACITY = 1024
 END_ID = 2
 #: Pre-tokens whose ids a Python worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint, ids binary"
 _MEMORY: dict[str, tuple] = {}
@@ -43,6 +45,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are kept in native order, which must be little-endian")
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -57,16 +61,15 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         parts, known = self.split(text), self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({p for p in parts if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in parts])
+        new = set(parts).difference(known)
+        if new:
+            if len(known) > REMEMBERED:
+                known.clear()
+                new = set(parts)
+            new = list(new)
+            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known[p] = array("I", e.ids).tobytes()
+        return b"".join(map(known.__getitem__, parts))
 
 
 def _encoder(path: str) -> Encoder:
