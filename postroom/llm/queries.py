@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postroom.llm import decontaminate, language, packing, quality, secrets, simhash
+from postroom.llm import decontaminate, language, licenses, packing, quality, secrets, simhash
 from postroom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "language", "packing", "quality", "secrets", "simhash"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "language", "licenses", "packing", "quality", "secrets", "simhash"]
