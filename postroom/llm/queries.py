@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postroom.llm import decontaminate, language, licenses, packing, quality, secrets, simhash, tokencounts, topk
+from postroom.llm import decontaminate, language, licenses, packing, quality, secrets, simhash, tokencounts, topk, warc
 from postroom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "language", "licenses", "packing", "quality", "secrets", "simhash", "tokencounts", "topk"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "language", "licenses", "packing", "quality", "secrets", "simhash", "tokencounts", "topk", "warc"]

@@ -12,14 +12,15 @@ from postroom.session import new_work_dir, ship_package
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Rows of whole texts in one Arrow batch: with long texts the default of 10,000 is too much for a worker.
-BATCH_ROWS = "1000"
+#: Rows and bytes of whole texts in one Arrow batch: the default of 10,000 rows is too much for a worker.
+BATCH_ROWS, BATCH_BYTES = "1000", "32m"
 
 
 def prepare(spark: SparkSession) -> None:
     """What every job of this subpackage needs of the session."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def query(name: str, oracle: str | None = None):
