@@ -18,6 +18,8 @@ from postroom.llm.registry import query, table, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Sketch hashes in one broadcast (about 100 MB); more take further passes over the texts.
+BROADCAST_HASHES = 2_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -60,20 +62,31 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shing
     known = written(sketches(items, threshold, shingle), "sketches")
     # Per partition: the largest hash a text may have to offer, and the fewest shingles it needs.
     bounds = known.groupBy("partition").agg(F.max(F.element_at("sketch", -1)).alias("top"), F.min("needed").alias("needed")).collect()
-    text = docs.where("doc_id is not null").select("doc_id", words_of(F.col("text")).alias("words"))
-    offered = text.where("size(words) > 0").select("doc_id", shingle_hashes("words", shingle).alias("hashes"))
+    text = docs.where("doc_id is not null").select("doc_id", "text", words_of(F.col("text")).alias("words"))
+    # A text without words offers one hash of nothing, which no sketch holds.
+    offered = text.select("doc_id", "text", shingle_hashes("words", shingle).alias("hashes"))
     top = F.greatest(*[F.when(F.size("hashes") >= b.needed, F.lit(b.top)) for b in bounds], F.lit(-(1 << 63)), F.lit(-(1 << 63)))
-    offered = offered.select("doc_id", "hashes", top.alias("top"))
-    offered = offered.select("doc_id", F.explode(F.expr("filter(hashes, h -> h <= top)")).alias("hash"))
-    keys = known.select("item_id", F.explode("sketch").alias("hash"))
-    candidates = written(offered.join(keys, "hash").select("doc_id", "item_id").distinct(), "candidates")
+    offered = offered.select("doc_id", "text", "hashes", top.alias("top"))
+    offered = offered.select("doc_id", "text", F.explode(F.expr("filter(hashes, h -> h <= top)")).alias("hash"))
 
-    of_doc = candidates.groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids"))
-    held = docs.select("doc_id", "text").join(of_doc, "doc_id").select("doc_id", "item_ids", words_of(F.col("text")).alias("words"))
-    held = held.select("doc_id", "item_ids", shingle_texts("words", shingle).alias("own"))
+    # Sketch hashes are broadcast in parts of bounded size, so a text moves only if it is a candidate.
+    total = known.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0]
+    parts = max(1, -(-total // BROADCAST_HASHES))
+    keys = known.select("item_id", F.explode("sketch").alias("hash"))
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
     wanted = known.select("item_id", "needed", shingle_texts("words", shingle).alias("wanted"))
-    pairs = held.select("doc_id", "own", F.explode("item_ids").alias("item_id")).join(wanted, "item_id")
-    shared = pairs.select("doc_id", "item_id", "needed", F.size("wanted").alias("n"), F.size(F.array_intersect("own", "wanted")).alias("k"))
+    own = shingle_texts("words", shingle).alias("own")
+    found = None
+    for k in range(parts):
+        hits = offered.join(F.broadcast(keys.where(part == k)), "hash")
+        # Hits of a text lie in one task, where the partial aggregate merges them.
+        pair = hits.groupBy("doc_id", "item_id", F.xxhash64("text").alias("_same"), F.length("text").alias("_length"))
+        held = pair.agg(F.any_value("text").alias("text")).select("doc_id", "item_id", words_of(F.col("text")).alias("words"))
+        held = held.select("doc_id", "item_id", own)
+        found = held if found is None else found.union(held)
+    shared = found.join(wanted, "item_id").select(
+        "doc_id", "item_id", "needed", F.size("wanted").alias("n"), F.size(F.array_intersect("own", "wanted")).alias("k")
+    )
     best = shared.where("k >= needed").groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("k") / F.col("n"), "k", "n")).alias("b"))
     count = [F.col("b.n").cast("long").alias("n_shingles"), F.col("b.k").cast("long").alias("n_shared")]
     return best.select("doc_id", "item_id", *count, (F.col("b.k") / F.col("b.n")).alias("containment"))
