@@ -324,7 +324,7 @@ def accounts_to_sync(spark, sf):
 
 def _event_stream(spark, sf):
     schema = given.table(spark, sf, "events").schema
-    return feeds.parquet_stream(spark, sf, schema, glob="events.parquet")
+    return feeds.parquet_stream(spark, f"{sf}/events.parquet", schema)
 
 
 @query("stream_incremental_sync", _STATE_SQL)

@@ -8,7 +8,6 @@ from postroom.catalog.registry import BODY_SQL, EMAILS_SQL, ISO_SQL, SENDER_SQL,
 from postroom.functions.formatting import result_record
 from postroom.operators import aggregates, search
 from postroom.operators.filters import compile_filters
-from postroom.session import spread
 from postroom.sources import given
 
 _WITH = f"with {EMAILS_SQL}"
@@ -22,7 +21,7 @@ _RANKING = ("deleted_at", "transform_completed_at", "sent_at", "account_id")
 def _matching(spark, sf, filters=None, *columns, account_id=None):
     need = dict.fromkeys((*_RANKING, "id", *columns))
     rows = given.emails(spark, sf, *need).where(compile_filters(filters, account_id))
-    return spread(rows, "id") if "body_text" in need else rows
+    return rows
 
 
 def _flat(result, *more):
@@ -384,9 +383,7 @@ def lexeme_postings(spark, sf):
     """The stored full-text column: lexemes with counts and first positions per email."""
     from postroom.operators.postings import postings
 
-    rows = spread(
-        given.emails(spark, sf, "id", *_TEXT_COLUMNS).where("body_text is not null"), "id"
-    )
+    rows = given.emails(spark, sf, "id", *_TEXT_COLUMNS).where("body_text is not null")
     return (
         postings(rows)
         .groupBy("id", "lexeme")

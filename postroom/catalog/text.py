@@ -10,7 +10,6 @@ from postroom.functions import html, language, redaction, text, tiering, tokens
 from postroom.functions.formatting import console_record, external_record
 from postroom.operators.labels import with_label_names
 from postroom.providers import CharTokenizer, Prompts
-from postroom.session import spread
 from postroom.sources import given
 
 _WITH = f"with {EMAILS_SQL}"
@@ -87,7 +86,7 @@ cleaned as (select *, {_sql_strip(_sql_cut("c4", fv.DISCLAIMERS))} as clean from
 
 
 def _bodies(spark, sf):
-    return spread(given.mail_bodies(spark, sf), "id")
+    return given.mail_bodies(spark, sf)
 
 
 @query(
@@ -265,9 +264,7 @@ from emails_v""",
 def tier_rules(spark, sf):
     from postroom.functions.headers import display_sender
 
-    rows = spread(
-        given.emails(spark, sf, "id", "subject", "from_email", "from_name", "body_text"), "id"
-    )
+    rows = given.emails(spark, sf, "id", "subject", "from_email", "from_name", "body_text")
     sender = display_sender(F.col("from_name"), F.col("from_email"))
     answer = tiering.rule_based_answer(sender, F.col("subject"), F.col("body_text"))
     return rows.select("id", tiering.parse_tier(answer).alias("tier")).withColumn(
@@ -401,8 +398,7 @@ def classification_prompt(spark, sf):
     prompts, tokenizer = Prompts.load(), CharTokenizer()
     frame = tiering.full_prompt(prompts, _prompt_values(F.lit("")))
     return (
-        spread(rows, "id")
-        .withColumn("body", text.strip(F.col("body_text")))
+        rows.withColumn("body", text.strip(F.col("body_text")))
         .withColumn("frame", frame)
         .withColumn("preview", tiering.fit_body(F.col("body"), F.col("frame"), tokenizer, _BUDGET))
         .withColumn("prompt", tiering.full_prompt(prompts, _prompt_values(F.col("preview"))))
@@ -462,7 +458,7 @@ from counted"""
 
 @query("language_detect", _language_sql())
 def language_detect(spark, sf):
-    d = spread(given.table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    d = given.table(spark, sf, "documents").select("doc_id", "lang", "text")
     return d.select(
         "doc_id",
         F.col("lang").alias("labelled"),
@@ -514,7 +510,7 @@ _STRIP_TAGS_SQL = _sql_replace("html", fv.ACTIVE_TAGS, "", "i")
 @query("html_strip_tags", f"select page_id, {_STRIP_TAGS_SQL} as html from pages")
 def html_strip_tags(spark, sf):
     """Script-like tags and tracking images; the given pages hold no image."""
-    p = spread(given.table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    p = given.table(spark, sf, "pages").select("page_id", "html")
     return p.select("page_id", text.strip_tracking_pixels(F.col("html")).alias("html"))
 
 
@@ -533,7 +529,7 @@ _TEXT_OF_HTML_SQL = r"""
     f"""select page_id, {_TEXT_OF_HTML_SQL.replace("HTML", _STRIP_TAGS_SQL)} as body from pages""",
 )
 def html_text(spark, sf):
-    p = spread(given.table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    p = given.table(spark, sf, "pages").select("page_id", "html")
     return p.select(
         "page_id", html.html_to_text(text.strip_tracking_pixels(F.col("html"))).alias("body")
     )

@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from postroom.catalog.registry import EMAILS_SQL, SENDER_SQL, query
 from postroom.catalog.text import _TIER_SQL, _language_sql, _sql_pii, _sql_secrets, _sql_strip
-from postroom.functions import chunking, vectors
+from postroom.functions import chunking, tiering, vectors
 from postroom.functions.embedding import embedding_udf
 from postroom.operators import aggregates, changes
 from postroom.operators.labels import with_label_names
 from postroom.plans import transform as plan
 from postroom.plans.config import EngineConfig, Limits
 from postroom.providers import CharTokenizer, HashEmbedder
-from postroom.session import spread
 from postroom.sources import given
 
 _WITH = f"with {EMAILS_SQL}"
@@ -64,7 +63,7 @@ select k as doc_id, cast(chunk as integer) as position, txt as chunk_text,
   cast(case when chunk = 0 then 2.0 else 1.0 end as double) as weight from chunks""",
 )
 def chunk_rows(spark, sf):
-    d = spread(given.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    d = given.table(spark, sf, "documents").select("doc_id", "text")
     made = chunking.chunk_body(F.col("text"), CharTokenizer(), _MAX, _TARGET)
     return d.select("doc_id", F.explode(made).alias("c")).select(
         "doc_id", "c.position", F.col("c.text").alias("chunk_text"), "c.weight"
@@ -140,8 +139,8 @@ select doc_id, cast(slot as integer) as slot, round(cast(cast(x as float) as dou
 )
 def embed_text(spark, sf):
     """Offline embedder over whole texts; non-zero coordinates as rows."""
-    d = spread(given.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    vector = embedding_udf(HashEmbedder(_DIM))(F.array("text"))
+    d = given.table(spark, sf, "documents").select("doc_id", "text")
+    vector = embedding_udf(HashEmbedder(_DIM))(F.array("text"))["vectors"]
     return (
         d.select("doc_id", F.element_at(vector, 1).alias("v"))
         # The outer form infers no filter on "v", which would run the model twice.
@@ -164,7 +163,7 @@ def transform_worklist(spark, sf):
 
 def _config() -> EngineConfig:
     return EngineConfig(
-        limits=Limits(embed_max_tokens=_MAX, chunk_target_tokens=_TARGET), dim=_DIM
+        limits=Limits(embed_max_tokens=_MAX, chunk_target_tokens=_TARGET, input_most=tiering.CONTRACT_INPUT), dim=_DIM
     )
 
 
@@ -177,7 +176,7 @@ _INPUT = (
 def _results(spark, sf, force=True):
     rows = given.emails(spark, sf, *_INPUT)
     todo = with_label_names(plan.worklist(rows, force=force), given.account_labels(spark, sf))
-    return plan.transform(spread(todo, "id"), _config())
+    return plan.transform(todo, _config())
 
 
 _LANG_CTE = _language_sql().strip().removeprefix("with ").rsplit("select doc_id, labelled", 1)
@@ -200,8 +199,7 @@ results as (
     case when clean = '' then 'none' when ceil(length(clean) / 4.0) <= {_MAX} then 'full' else 'chunked' end
       as body_kind,
     (select count(*) from chunks c where c.k = t.id) as n_chunks, l.detected as lang,
-    case when length({_sql_strip("coalesce(subject, '')")}) > 1000 then 'subject is too long'
-         when ceil((1000 + length(clean)) / 4.0) > 999999 then 'x' end as problem
+    case when length({_sql_strip("coalesce(subject, '')")}) > 1000 then 'subject is too long' end as problem
   from todo t join tiers using (id) join pii using (id) join languages l on l.doc_id = t.id
 )"""
 
@@ -245,18 +243,42 @@ def embed_items(spark, sf):
     """What a run over every live mail would send to the embedder."""
     rows = given.emails(spark, sf, *_INPUT)
     todo = plan.worklist(rows, force=True)
-    return aggregates.embed_items(plan.prepare(spread(todo, "id"), _config()))
+    return aggregates.embed_items(plan.prepare(todo, _config()))
 
 
-@query("transform_vectors")
+# A chunk of one over-long sentence is embedded by as much of it as fits the token limit.
+_VECTORS_SQL = f"""{_TRANSFORM_SQL},
+fitted as (
+  select k, chunk, case when ceil(length(txt) / 4.0) > {_MAX}
+    then substr(txt, 1, cast(floor(length(txt) * {_MAX}.0 / ceil(length(txt) / 4.0)) as bigint)) else txt end as txt
+  from chunks
+),
+slots as (
+  select k, chunk, slot, cast(count(*) as double) as s from (
+    select k, chunk, cast('0x' || substr(md5(w), 1, 8) as ubigint) % {_DIM} as slot
+    from (select k, chunk, unnest(regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}]+')) as w from fitted)
+  ) group by all
+),
+totals as (select k, chunk, sum(s) / sqrt(sum(s * s)) as total from slots group by k, chunk),
+pooled as (
+  select k, sum(coalesce(total, 0) * case when chunk = 0 then 2 else 1 end) / sum(case when chunk = 0 then 2 else 1 end) as s
+  from fitted left join totals using (k, chunk) group by k
+)
+select r.id, problem is null and {_sql_strip("coalesce(subject, '')")} <> '' as has_subject,
+  problem is null and body_kind = 'full' as has_body, problem is null and body_kind = 'chunked' as has_pooled,
+  case when problem is null and body_kind = 'chunked' then round(s, 2) end as s
+from results r join todo using (id) left join pooled on pooled.k = r.id"""
+
+
+@query("transform_vectors", _VECTORS_SQL)
 def transform_vectors(spark, sf):
-    """Which vectors every mail ends up with (model step, checked against Python in tests)."""
+    """Which vectors every mail ends up with, and the sum of its pooled vector."""
     return _results(spark, sf).select(
         "id",
         F.col("subject_embedding").isNotNull().alias("has_subject"),
         F.col("body_embedding").isNotNull().alias("has_body"),
         F.col("body_pooled_embedding").isNotNull().alias("has_pooled"),
-        F.round(F.aggregate("body_pooled_embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("s"),
+        F.round(F.aggregate("body_pooled_embedding", F.lit(0.0), lambda a, x: a + x), 2).alias("s"),
     )
 
 

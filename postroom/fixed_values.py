@@ -149,3 +149,33 @@ BLANK_LINE = r"\n\s*\n"
 SENTENCE_END = r"(?<=[.!?])\s+"
 ADDRESS_IN_BRACKETS = r"<([^>]+)>"
 COMMA_OUTSIDE_QUOTES = r",\s*(?=(?:[^\"']*[\"'][^\"']*[\"'])*[^\"']*$)"
+
+# --- search descriptor: names, types, operators and limits that callers rely on ------
+SEARCH_CAPABILITIES = {
+    "schema_version": "1.2",
+    "source_name": "email",
+    "source_class": "personal",
+    "display_label": "Email",
+    "alias_hints": ["gmail", "inbox"],
+    "freshness_window_days": 1,
+    "latency_tier": "low",
+    "quality_tier": "high",
+    "cost_tier": "low",
+    "supported_methods": ["structured", "fulltext", "vector"],
+    "supported_filters": [
+        {"name": "from_email", "type": "string", "operators": ["contains"]},
+        {"name": "from_name", "type": "string", "operators": ["contains"]},
+        {"name": "to_email", "type": "string", "operators": ["eq", "contains"]},
+        {"name": "labels", "type": "string[]", "operators": ["in"]},
+        {"name": "has_attachments", "type": "boolean", "operators": ["eq"]},
+        {"name": "date_after", "type": "date", "operators": ["gte"]},
+        {"name": "date_before", "type": "date", "operators": ["lte"]},
+        {"name": "account_id", "type": "integer", "operators": ["eq"]},
+    ],
+    "max_limit": 100,
+    "default_limit": 10,
+    "sort_fields": ["sent_at", "relevance"],
+    "default_ranking": "vector",
+    "supported_modes": ["search", "count", "aggregate"],
+    "supported_group_by_fields": ["from_email", "from_name"],
+}

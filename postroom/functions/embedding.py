@@ -21,41 +21,72 @@ class PayloadTooLarge(Exception):
 MIN_CHARS_TO_HALVE = 256
 
 
+RESULT = "struct<vectors:array<array<float>>,problem:string>"
+
+
 def embed_texts(embed, texts: list[str]) -> list:
-    """One request; when it is too large, one text at a time, halving a long text once."""
+    """One request; when it is too large, one text at a time, a long text in halves.
+
+    The halves' vectors are averaged by their lengths, so no part of a text is left out.
+    """
     try:
-        return list(embed(texts))
+        answer = list(embed(texts))
     except PayloadTooLarge:
-        return [v for t in texts for v in _embed_one(embed, t)]
+        return [_embed_one(embed, t) for t in texts]
+    if len(answer) != len(texts):
+        raise ValueError(f"{len(answer)} vectors for {len(texts)} texts")
+    return [np.asarray(v, dtype=np.float32) for v in answer]
 
 
-def _embed_one(embed, text: str) -> list:
+def _embed_one(embed, text: str) -> np.ndarray:
     try:
-        return list(embed([text]))
+        (vector,) = embed([text])
+        return np.asarray(vector, dtype=np.float32)
     except PayloadTooLarge:
         if len(text) <= MIN_CHARS_TO_HALVE:
             raise
-        return list(embed([text[: len(text) // 2]]))
+    middle = len(text) // 2
+    parts = (text[:middle], text[middle:])
+    return np.average([_embed_one(embed, p) for p in parts], axis=0, weights=[len(p) for p in parts]).astype(np.float32)
 
 
-def embedding_udf(embedder, batch_size: int = 64):
-    """``array<string> -> array<array<float>>``; the client opens once per task."""
-
-    @F.arrow_udf("array<array<float>>")
+def embed_mails(embed, mails: list[list[str]], batch_size: int) -> list[dict]:
+    """Vectors per mail.  A request over several mails that fails is asked again mail by mail."""
+    flat = [t for texts in mails for t in texts]
+    try:
+        found = [v for at in range(0, len(flat), batch_size) for v in embed_texts(embed, flat[at : at + batch_size])]
+    except Exception as e:  # the service's own errors: the row carries them
+        if len(mails) == 1:
+            return [{"vectors": [], "problem": f"Embedding failed: {type(e).__name__}: {e}"}]
+        return [r for texts in mails for r in embed_mails(embed, [texts], batch_size)]
+    results, at = [], 0
+    for texts in mails:
+        results.append({"vectors": found[at : at + len(texts)], "problem": None})
+        at += len(texts)
+    return results
+
+
+def embedding_udf(embedder, batch_size: int = 64, fit=None):
+    """``array<string> -> struct<vectors, problem>``; the client opens once per task.
+
+    ``fit()`` gives a function that cuts a text to the model's token limit, where the
+    tokenizer needs the text itself.  A mail whose texts fail leaves the others alone.
+    """
+
+    @F.arrow_udf(RESULT)
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embed = embedder.open()
+        cut = fit() if fit is not None else None
         for texts in batches:
-            flat = texts.flatten().to_pylist()
-            found: list = []
-            for at in range(0, len(flat), batch_size):
-                part = flat[at : at + batch_size]
-                answer = embed_texts(embed, part)
-                if len(answer) != len(part):
-                    raise ValueError(f"{len(answer)} vectors for {len(part)} texts")
-                found.extend(np.asarray(v, dtype=np.float32) for v in answer)
-            counts = [0 if n is None else n for n in pa.compute.list_value_length(texts).to_pylist()]
-            inner = pa.array(found, pa.list_(pa.float32()))
-            offsets = pa.array(np.cumsum([0, *counts]), pa.int32())
-            yield pa.ListArray.from_arrays(offsets, inner)
+            mails = [m or [] for m in texts.to_pylist()]
+            if cut is not None:
+                mails = [[cut(t) for t in m] for m in mails]
+            made: list[dict] = []
+            for at in range(0, len(mails), batch_size):
+                made.extend(embed_mails(embed, mails[at : at + batch_size], batch_size))
+            flat = pa.array([v for m in made for v in m["vectors"]], pa.list_(pa.float32()))
+            ends = pa.array(np.cumsum([0, *(len(m["vectors"]) for m in made)]), pa.int32())
+            columns = [pa.ListArray.from_arrays(ends, flat), pa.array([m["problem"] for m in made], pa.string())]
+            yield pa.StructArray.from_arrays(columns, ["vectors", "problem"])
 
     return vectors

@@ -13,7 +13,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postroom.functions.text import strip
+from postroom.functions.text import from_windows_1252, strip
 
 # U+E000 is a private-use character; any that the text holds itself is dropped first.
 _GAP = "\ue000"
@@ -64,14 +64,16 @@ def _unescape_any(c: Column) -> Column:
     table = _named_references()
 
     def resolve(p: Column, i: Column) -> Column:
-        decimal = F.regexp_extract(p, r"^#([0-9]{1,7});?", 1)
-        hexa = F.regexp_extract(p, r"^#[xX]([0-9A-Fa-f]{1,6});?", 1)
+        # Leading zeros do not count; more digits than any code point has are out of range.
+        decimal = F.regexp_extract(p, r"^#0*([0-9]+)", 1)
+        hexa = F.regexp_extract(p, r"^#[xX]0*([0-9A-Fa-f]+)", 1)
         name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*);?", 1)
         rest = F.regexp_replace(p, r"^(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);?", "")
         known = F.element_at(table, name)
+        beyond = F.lit(0x110000)
         code = F.coalesce(
-            F.nullif(decimal, F.lit("")).cast("int"),
-            F.conv(F.nullif(hexa, F.lit("")), 16, 10).cast("int"),
+            F.when(F.length(decimal) > 7, beyond).when(decimal != "", decimal.cast("int")),
+            F.when(F.length(hexa) > 6, beyond).when(hexa != "", F.conv(hexa, 16, 10).cast("int")),
         )
         return (
             F.when(i == 0, p)
@@ -85,10 +87,10 @@ def _unescape_any(c: Column) -> Column:
 
 
 def _code_point(code: Column) -> Column:
-    """Character of a code point, through its UTF-32 bytes."""
+    """Character of a code point, through its UTF-32 bytes; 128 to 159 are read as windows-1252."""
     valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
     utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
-    return F.when(valid, F.decode(utf32, "UTF-32")).otherwise(F.lit("\ufffd"))
+    return F.when(valid, from_windows_1252(F.decode(utf32, "UTF-32"))).otherwise(F.lit("\ufffd"))
 
 
 def html_to_text(html: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postroom.functions.html import html_to_text
-from postroom.functions.text import strip_tracking_pixels
+from postroom.functions.text import from_windows_1252, strip_tracking_pixels
 
 HEADER = T.StructType(
     [T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]
@@ -49,8 +49,14 @@ _CANDIDATES = T.ArrayType(
 
 
 def base64url_decode(c: Column) -> Column:
-    """URL-safe base64 to binary (a plain ``unbase64`` would drop '-' and '_')."""
-    return F.unbase64(F.translate(c, "-_", "+/"))
+    """URL-safe base64 to binary (a plain ``unbase64`` would drop '-' and '_'); null when it is broken."""
+    return F.try_to_binary(F.translate(c, "-_", "+/"), F.lit("base64"))
+
+
+def utf8_text(data: Column) -> Column:
+    """Text of UTF-8 bytes; other bytes are read as windows-1252, the usual charset of old mail."""
+    plain = data.cast("string")
+    return F.when(F.is_valid_utf8(plain), plain).otherwise(from_windows_1252(F.decode(data, "ISO-8859-1")))
 
 
 def body_candidates(payload: dict) -> list[dict]:
@@ -90,7 +96,7 @@ def body_text(payload_json: Column) -> Column:
     """Plain body of a payload; '' when no part has any."""
 
     def decode(part: Column) -> Column:
-        text = F.decode(base64url_decode(part["data"]), "UTF-8")
+        text = F.coalesce(utf8_text(base64url_decode(part["data"])), F.lit(""))
         return F.when(part["html"], html_to_text(strip_tracking_pixels(text))).otherwise(text)
 
     texts = F.filter(F.transform(_candidates(payload_json), decode), lambda t: t != "")

@@ -80,22 +80,25 @@ def redact_secrets(c: Column) -> Column:
     return let(c, lambda t: _apply(t, rules, _SECRET_NEEDS, _SECRET_GATES))
 
 
+_CONTRACTIONS = frozenset(w.upper() for w in fv.PERSON_CONTRACTIONS)
+
+
+def _is_name(text: str, span: dict) -> bool:
+    """A span of a redacted kind within the text; persons must be long enough and no contraction."""
+    if span["label"] not in fv.ENTITY_LABELS or not 0 <= span["start"] <= span["end"] <= len(text):
+        return False
+    name = text[span["start"] : span["end"]]
+    return span["label"] != "PERSON" or (len(name) >= fv.PERSON_MIN_LENGTH and name.upper().strip() not in _CONTRACTIONS)
+
+
 def replace_entities(text: str, entities: Iterable[dict]) -> str:
-    """Replace entity spans from right to left so earlier offsets stay valid."""
-    spans = [e for e in entities if e["label"] in fv.ENTITY_LABELS]
-    spans.sort(key=lambda e: e["start"], reverse=True)
-    contractions = {w.upper() for w in fv.PERSON_CONTRACTIONS}
-    for e in spans:
-        start, end, label = e["start"], e["end"], e["label"]
-        if start < 0 or end > len(text):
-            continue
-        found = text[start:end]
-        if label == "PERSON" and (
-            len(found) < fv.PERSON_MIN_LENGTH or found.upper().strip() in contractions
-        ):
-            continue
-        text = f"{text[:start]}[{label}]{text[end:]}"
-    return text
+    """The text between the names, and a label for each name; a span that begins inside an earlier one is part of it."""
+    pieces, at = [], 0
+    for span in sorted((e for e in entities if _is_name(text, e)), key=lambda e: (e["start"], -e["end"])):
+        if span["start"] >= at:
+            pieces.append(f"{text[at : span['start']]}[{span['label']}]")
+            at = span["end"]
+    return "".join(pieces) + text[at:]
 
 
 def entity_redactor(ner):
@@ -126,12 +129,6 @@ def redact_for_display(c: Column, lang: Column | None = None, ner=None) -> Colum
     return redact_secrets(text)
 
 
-def sanitize(c: Column, lang: Column | None = None, ner=None) -> Column:
-    """Personal data and named entities only."""
-    text = redact_pii(F.coalesce(c, F.lit("")))
-    return text if ner is None else entity_redactor(ner)(text, lang or F.lit("en"))
-
-
 def snippet_for_tier(snippet: Column, tier: Column, lang: Column | None = None, ner=None) -> Column:
     """Placeholder for the two private tiers, redacted snippet otherwise, '' as null."""
     private = tier.isin(fv.SENSITIVE, fv.PERSONAL)

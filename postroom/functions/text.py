@@ -47,11 +47,21 @@ def rstrip(c: Column) -> Column:
 
 
 def fold_case(c: Column) -> Column:
-    """Lower case in which everything a case-insensitive regex equates is equal.
+    """Lower case in which every character that a case-insensitive regex equates with a Latin letter is that letter.
 
-    Besides the Kelvin sign, which lower() maps, that is only the long s.
+    Those are the dotted capital and the dotless small i, the long s and the Kelvin sign.
     """
-    return F.replace(F.lower(c), F.lit("\u017f"), F.lit("s"))
+    return F.lower(F.translate(c, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+# The bytes that windows-1252 assigns to characters and ISO 8859-1 to controls.
+_OLD_BYTES = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+
+
+def from_windows_1252(latin: Column) -> Column:
+    """Text that was decoded as ISO 8859-1, with the characters of windows-1252 in their places."""
+    characters = bytes(_OLD_BYTES).decode("cp1252")
+    return F.translate(latin, "".join(map(chr, _OLD_BYTES)), characters)
 
 
 def mentions(folded: Column, *words: str) -> Column:
@@ -137,11 +147,13 @@ def clean_body(
     tracking: bool = True,
     invisible: bool = True,
     extract_main=None,
+    extract_most: int | None = 12_000,
 ) -> Column:
     """The full cleaning chain that precedes redaction, chunking and embedding.
 
-    ``extract_main`` is an optional Column -> Column model step; it sees null for
-    texts above 12,000 characters, and a null or empty answer keeps the input.
+    ``extract_main`` is an optional Column -> Column model step; it sees null for texts of
+    more than ``extract_most`` characters (None: no bound), and a null or empty answer keeps
+    the input.
     """
     text = strip(F.coalesce(c, F.lit("")))
     if invisible:
@@ -155,6 +167,6 @@ def clean_body(
     if extract_main is not None:
         # A model step cannot sit inside a lambda, so the text is named twice here.
         size = F.length(text)
-        eligible = F.when((size > 0) & (size <= 12000), text)
+        eligible = F.when((size > 0) & (F.lit(True) if extract_most is None else size <= extract_most), text)
         text = F.coalesce(F.nullif(extract_main(eligible), F.lit("")), text)
     return strip(text)

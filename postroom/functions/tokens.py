@@ -7,6 +7,9 @@ factory that is called once per Arrow batch inside the worker.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,14 +77,15 @@ def _truncate_udf(tokenizer, cap: int):
     return cut
 
 
+def cut_lengths(length: int, tokens: int, cap: int) -> Iterator[int]:
+    """Lengths to try: in proportion to the cap first, then each a tenth shorter, fifteen times."""
+    return accumulate(range(15), lambda size, _: int(size * 0.9), initial=int(length * cap / tokens))
+
+
 def fit_to_tokens(text: str, encode, cap: int) -> str:
-    """Proportional cut, then up to 15 tries each a tenth shorter."""
-    n = len(encode(text))
-    if n <= cap:
+    """The text, or its first prefix of the lengths to try that fits; the shortest one if none does."""
+    tokens = len(encode(text))
+    if tokens <= cap:
         return text
-    size = int(len(text) * cap / n)
-    for _ in range(15):
-        if size <= 0 or len(encode(text[:size])) <= cap:
-            break
-        size = int(size * 0.9)
-    return text[: max(size, 0)]
+    prefixes = [text[:size] for size in cut_lengths(len(text), tokens, cap)]
+    return next((p for p in prefixes if len(encode(p)) <= cap), prefixes[-1])

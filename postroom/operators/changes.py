@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postroom.operators.filters import is_live
-from postroom.schema import DERIVED
 
+# Columns that the transform fills and a reset clears.
+DERIVED = (
+    "privacy_tier", "body_redacted", "snippet_redacted", "subject_embedding", "body_embedding",
+    "body_pooled_embedding", "transform_completed_at",
+)
 
 def first_copies(incoming: DataFrame, key: str = "gmail_id", order: str = "seq") -> DataFrame:
     """The earliest row per key.  An aggregate, so copies are merged before the shuffle."""
@@ -33,16 +37,21 @@ def change_state(feed: DataFrame) -> DataFrame:
     """Net effect of a feed per message, from fixed-size aggregates only.
 
     A delete before the first add has no effect on an empty store; the last delete
-    sets the time; an add after a delete brings the row back.
+    sets the time; an add after a delete brings the row back.  Of changes with one ``seq``
+    (a history record) adds come before deletes.  All buffers are numbers, so this is a
+    hash aggregate.
     """
     add, delete = F.col("op") == "add", F.col("op") == "delete"
-    return feed.groupBy("gmail_id").agg(
+    nth = F.col("seq") * 2 + delete.cast("int")
+    folded = feed.groupBy("gmail_id").agg(
         F.min(F.when(add, F.col("seq"))).alias("first_add"),
         F.count_if(add).alias("adds"),
         F.count_if(delete).alias("deletes"),
-        F.max_by("op", "seq").alias("last_op"),
+        F.max(F.when(add | delete, nth)).alias("last"),
         F.max_by(F.when(delete, F.col("at")), F.when(delete, F.col("seq"))).alias("last_delete_at"),
     )
+    last_op = F.when(F.col("last") % 2 == 0, F.lit("add")).when(F.col("last") % 2 != 0, F.lit("delete"))
+    return folded.withColumn("last", last_op).withColumnRenamed("last", "last_op")
 
 
 def apply_state(stored: DataFrame, state: DataFrame) -> DataFrame:

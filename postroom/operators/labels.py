@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many label rows the dimension travels as per-account maps (a few MB).
-MAP_ROWS = 50_000
-_SALTS = 32
-
-
 def refresh_labels(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Replace the labels of every account that ``incoming`` mentions.
 
@@ -24,39 +19,16 @@ def refresh_labels(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return kept.unionByName(named)
 
 
-def with_label_names(emails: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
+def with_label_names(emails: DataFrame, labels: DataFrame) -> DataFrame:
     """Replace label ids by display names per account; unmapped ids stay.
 
-    The dimension is counted first (never more than MAP_ROWS + 1 rows).  A small one is
-    broadcast as maps and the emails are not shuffled; a larger one is joined row by row.
+    The dimension is folded to one map per account (the service bounds an account's labels)
+    and joined by account.  The optimizer picks the join from the sizes it sees; a dominant
+    account's mails are split by adaptive execution, as both sides are plain shuffles.
     """
     dimension = labels.groupBy("account_id", "label_id").agg(F.max("label_name").alias("label_name"))
-    if labels.limit(MAP_ROWS + 1).count() <= MAP_ROWS:
-        maps = dimension.groupBy("account_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("label_id", "label_name"))).alias("names")
-        )
-        return (
-            emails.join(F.broadcast(maps), "account_id", "left")
-            .withColumn(
-                "labels",
-                F.transform("labels", lambda x: F.coalesce(F.element_at("names", x), x)),
-            )
-            .drop("names")
-        )
-    # Popular labels (INBOX) may hold a third of all rows: salt them, copy the dimension.
-    exploded = emails.select(
-        key, "account_id", F.posexplode("labels").alias("pos", "label_id")
-    ).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(_SALTS)).cast("int"))
-    salted = dimension.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    named = (
-        exploded.join(salted, ["account_id", "label_id", "salt"], "left")
-        .groupBy(key)
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("pos", F.coalesce("label_name", "label_id").alias("name")))
-            ).alias("named")
-        )
+    maps = dimension.groupBy("account_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("label_id", "label_name"))).alias("names")
     )
-    joined = emails.join(named, key, "left")
-    resolved = F.coalesce(F.transform("named", lambda s: s["name"]), F.col("labels"))
-    return joined.withColumn("labels", resolved).drop("named")
+    named = F.transform("labels", lambda x: F.coalesce(F.element_at("names", x), x))
+    return emails.join(maps, "account_id", "left").withColumn("labels", named).select(emails.columns)

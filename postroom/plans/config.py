@@ -20,6 +20,9 @@ class Limits:
     classify_max_tokens: int = 8192
     classify_max_chars: int = fv.CLASSIFY_MAX_CHARS
     chunk_target_tokens: int = fv.CHUNK_TARGET_TOKENS
+    #: Largest body, subject and sender (characters) and label list that are classified at all.
+    #: No limit by default: the classifier sees a bounded preview anyway, and no mail is left out.
+    input_most: tuple[int | None, int | None, int | None, int | None] = (None, None, None, None)
 
     @property
     def prompt_tokens(self) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from postroom.functions import headers, mime
 from postroom.operators.changes import first_copies
-from postroom.sources.store import MailStore
+from postroom.sources.store import MailStore, batch_key
 
 _MESSAGE = T.StructType(
     [
@@ -89,13 +89,13 @@ def attachment_rows(parsed: DataFrame) -> DataFrame:
     return parsed.select("gmail_id", F.explode("attachments").alias("a")).select("gmail_id", "a.*")
 
 
-def insert_messages(store: MailStore, parsed: DataFrame, batch: int) -> DataFrame:
-    """Append messages that are not stored yet; returns the rows of this batch.
+def insert_messages(store: MailStore, parsed: DataFrame, batch: str) -> DataFrame:
+    """Append messages that are not stored yet; returns the rows of this batch (see ``batch_key``).
 
     A stored id is never inserted twice, not even after a delete: a re-add brings the
     stored row back through the change log.
     """
-    known = store.read("messages", "gmail_id string", "batch").where(F.col("batch") != batch)
+    known = store.read("messages", "gmail_id string", "batch").where(F.col("batch") != F.lit(batch))
     fresh = first_copies(parsed).join(known.select("gmail_id"), "gmail_id", "left_anti")
     columns = [f.name for f in store.messages().schema]
     # Both tables come from one written copy, so payloads are parsed once.
@@ -106,12 +106,12 @@ def insert_messages(store: MailStore, parsed: DataFrame, batch: int) -> DataFram
     return staged
 
 
-def record_changes(store: MailStore, feed: DataFrame, batch: int) -> None:
+def record_changes(store: MailStore, feed: DataFrame, batch: str) -> None:
     store.append("changes", feed.select("gmail_id", "op", "seq", "at"), "batch", batch)
 
 
 def sync_event(
-    store: MailStore, account_id: int, kind: str, status: str, processed: int, batch: int, error=None
+    store: MailStore, account_id: int, kind: str, status: str, processed: int, batch: int, error=None, run: str = "0"
 ) -> None:
     """Audit row: started, completed or failed."""
     now = F.current_timestamp()
@@ -121,7 +121,8 @@ def sync_event(
         F.lit(status).alias("status"),
         F.lit(processed).cast("long").alias("emails_processed"),
         F.lit(error).cast("string").alias("error_message"),
+        F.lit(batch).cast("long").alias("batch"),
         now.alias("at"),
     )
     # Started and finished rows of a batch are separate folders, so both are kept.
-    store.append(f"sync_events/phase={status}", row, "batch", batch)
+    store.append(f"sync_events/phase={status}", row, "writer", batch_key(account_id, kind, batch, run))

@@ -13,25 +13,29 @@ from postroom.plans import ingest
 from postroom.plans import transform as plan
 from postroom.plans.config import EngineConfig
 from postroom.session import ship_package
-from postroom.sources.store import TRANSFORMED, MailStore
+from postroom.sources.store import TRANSFORMED, MailStore, batch_key
 
 LABELS = "account_id int, label_id string, label_name string"
 
 
-def full_sync(store: MailStore, raw: DataFrame, account_id: int, batch: int) -> int:
+def full_sync(store: MailStore, raw: DataFrame, account_id: int, batch: int, limit: int | None = None) -> int:
     """Store the messages of a full listing (column ``json``); returns the new rows' number.
 
+    ``limit`` takes only so many rows of the listing.
     Started, completed and failed are recorded like any other sync.
     """
     ship_package(store.spark)
     ingest.sync_event(store, account_id, "full_sync", "started", 0, batch)
     try:
-        rows = raw.where(F.col("json").isNotNull()).select(
+        listed = raw if limit is None else raw.limit(limit)
+        rows = listed.where(F.col("json").isNotNull()).select(
             "json",
             F.lit(account_id).cast("int").alias("account_id"),
-            F.xxhash64("json").alias("seq"),
+            # Copies of a message go by its place in the mailbox's history.
+            F.coalesce(F.expr("try_cast(get_json_object(json, '$.historyId') as bigint)"), F.lit(0)).alias("seq"),
         )
-        new = ingest.insert_messages(store, ingest.parse_messages(rows), batch).count()
+        key = batch_key(account_id, "full_sync", batch)
+        new = ingest.insert_messages(store, ingest.parse_messages(rows), key).count()
     except Exception as e:
         ingest.sync_event(store, account_id, "full_sync", "failed", 0, batch, str(e)[:1000])
         raise

@@ -92,6 +92,7 @@ def prepare(emails: DataFrame, config: EngineConfig) -> DataFrame:
                     F.coalesce(body, F.lit("")),
                     F.col("sender"),
                     F.coalesce("labels", F.array().cast("array<string>")),
+                    lim.input_most,
                 ),
                 tiering.prompt_over_budget(F.col("prompt"), tok, lim.prompt_tokens),
             ),
@@ -137,9 +138,17 @@ def embed(prepared: DataFrame, config: EngineConfig) -> DataFrame:
         )
     else:
         texts = F.transform(texts, lambda t: F.substring(t, 1, lim.embed_max_chars))
-    embedded = prepared.withColumn("texts", texts).withColumn(
-        "vectors", embedding_udf(config.embedder)(F.col("texts"))
-    )
+    fit = None
+    if not tok.length_based and lim.embed_max_tokens:
+        cap = min(lim.embed_max_tokens, fv.EMBED_MAX_TOKENS)
+
+        def fit():
+            encode = tok.open()
+            return lambda t: tokens.fit_to_tokens(t, encode, cap)
+
+    answer = embedding_udf(config.embedder, fit=fit)(F.col("texts"))
+    embedded = prepared.withColumn("texts", texts).withColumn("answer", answer)
+    embedded = embedded.withColumns({"vectors": F.col("answer.vectors"), "embed_problem": F.col("answer.problem")})
     lead = has_subject.cast("int")
     chunk_vectors = F.slice(
         "vectors", lead + 1, F.greatest(F.lit(0), F.size("vectors") - lead)
@@ -192,6 +201,7 @@ def embed(prepared: DataFrame, config: EngineConfig) -> DataFrame:
     )
     problem = F.coalesce(
         "prepare_problem",
+        "embed_problem",
         vectors.vector_problem(
             F.col("subject_embedding"), "subject_embedding", expect_subject, config.dim
         ),

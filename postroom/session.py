@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "postroom", master: str | None = None, **conf: str) -> SparkSession:
@@ -63,31 +63,6 @@ def new_work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared_dir(spark)}/postroom-{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core for CPU-heavy work on a small input.
-
-    A small file is often one row group, hence one task.  Its shuffle is cheap; above
-    256 MB the scan splits by itself and the plan stays free of the extra shuffle.
-    """
-    # Sizes of the scanned relations; a join's own estimate is their product.
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    if sum(sizes) > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers, wherever the driver was started.
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom import fixed_values as fv
-from postroom.session import spread
 
 TIMES = ("sent_at", "deleted_at", "transform_completed_at", "updated_at")
 VECTORS = ("body_embedding", "body_pooled_embedding", "subject_embedding")
@@ -193,7 +192,7 @@ def message_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("body"),
         )
 
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     name = F.concat(F.lit("file"), i.cast("string"), F.lit(".pdf"))
     attached = part(
@@ -253,7 +252,7 @@ def message_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_message_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as HTML mail: a nested multipart inside a mixed one."""
-    p = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
     data = F.translate(F.base64(F.encode("html", "UTF-8")), "+/", "-_")
     inner = F.struct(
         F.lit("multipart/alternative").alias("mimeType"),

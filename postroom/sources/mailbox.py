@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 from typing import Any
 
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql.datasource import (
     InputPartition,
 )
 
-HISTORY_SCHEMA = "gmail_id string, op string, seq long"
+HISTORY_SCHEMA = "gmail_id string, op string, seq long, at timestamp"
 
 
 def pages(fetch: Callable[[str | None], dict]) -> Iterator[dict]:
@@ -36,15 +37,19 @@ def pages(fetch: Callable[[str | None], dict]) -> Iterator[dict]:
             return
 
 
-def history_changes(page: dict) -> Iterator[tuple[str, str, int]]:
-    """(message id, op, history id) of one history page, in the order of the feed."""
+def history_changes(page: dict, at: datetime | None = None) -> Iterator[tuple[str, str, int, datetime]]:
+    """(message id, op, history id, time of reading) of one history page, in the order of the feed.
+
+    The feed itself carries no times.
+    """
+    at = at or datetime.now(UTC).replace(tzinfo=None)
     for change in page.get("history") or []:
         seq = int(change.get("id") or page.get("historyId") or 0)
         for field, op in (("messagesAdded", "add"), ("messagesDeleted", "delete")):
             for entry in change.get(field) or []:
                 message = entry.get("message") or {}
                 if message.get("id"):
-                    yield message["id"], op, seq
+                    yield message["id"], op, seq, at
 
 
 class _Range(InputPartition):
@@ -129,23 +134,34 @@ def fetch_messages(ids: DataFrame, open_client: Callable[[], Any]) -> DataFrame:
 
 
 def fetch_attachments(attachments: DataFrame, open_client: Callable[[], Any]) -> DataFrame:
-    """(gmail_id, gmail_attachment_id, content) with the bytes decoded in the JVM."""
+    """(gmail_id, gmail_attachment_id, content, problem); bytes are decoded in the JVM.
+
+    A failing attachment has no content and a problem, and does not stop the others.
+    """
     from postroom.functions.mime import base64url_decode
 
     def fetch(batches):
         client = open_client()
         for batch in batches:
-            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            data = [client.get_attachment(m, a).get("data", "") for m, a in keys]
+            data, problems = [], []
+            for m, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    data.append(client.get_attachment(m, a).get("data", ""))
+                    problems.append(None)
+                except Exception as e:
+                    data.append(None)
+                    problems.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(data, pa.string())],
-                names=["gmail_id", "gmail_attachment_id", "data"],
+                [batch.column(0), batch.column(1), pa.array(data, pa.string()), pa.array(problems, pa.string())],
+                names=["gmail_id", "gmail_attachment_id", "data", "problem"],
             )
 
     raw = attachments.select("gmail_id", "gmail_attachment_id").mapInArrow(
-        fetch, "gmail_id string, gmail_attachment_id string, data string"
+        fetch, "gmail_id string, gmail_attachment_id string, data string, problem string"
     )
-    return raw.withColumn("content", base64url_decode(F.col("data"))).drop("data")
+    content = base64url_decode(F.col("data"))
+    broken = F.when(F.col("data").isNotNull() & content.isNull(), F.lit("the content is not base64"))
+    return raw.select("gmail_id", "gmail_attachment_id", content.alias("content"), F.coalesce("problem", broken).alias("problem"))
 
 
 def labels(spark: SparkSession, account_id: int, client: Any) -> DataFrame:

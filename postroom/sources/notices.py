@@ -11,18 +11,21 @@ _SALTS = 16
 def decode(raw: DataFrame, data: str = "data") -> DataFrame:
     """Adds email_address, history_id and ``status`` (``bad`` when the shape is wrong).
 
+    Broken base64, bytes that are not UTF-8, and JSON that is no object are bad and stop nothing.
     A history id that is a number or a digit string counts, anything else is null.
     """
-    body = F.from_json(
-        F.decode(F.unbase64(F.col(data)), "UTF-8"), "emailAddress string, historyId string"
+    text = F.try_validate_utf8(F.try_to_binary(F.col(data), F.lit("base64")).cast("string"))
+    parsed = F.from_json(
+        F.when(text.rlike(r"^\s*\{"), text), "emailAddress string, historyId string, _corrupt_record string"
     )
-    with_body = raw.withColumn("body", body)
+    with_body = raw.withColumn("body", parsed)
+    broken = F.col("body").isNull() | F.col("body._corrupt_record").isNotNull()
     digits = F.col("body.historyId").rlike(r"^[0-9]+$")
     return with_body.select(
         *[c for c in raw.columns if c != data],
         F.col("body.emailAddress").alias("email_address"),
         F.when(digits, F.expr("try_cast(body.historyId as bigint)")).alias("history_id"),
-        F.when(F.col(data).isNull() | F.col("body").isNull(), F.lit("bad"))
+        F.when(F.col(data).isNull() | broken, F.lit("bad"))
         .otherwise(F.lit("ok"))
         .alias("status"),
     )

@@ -2,12 +2,14 @@
 
 Nothing large is rewritten when mail arrives, is deleted, or is transformed:
 
-* ``messages/batch=N``     parsed messages, one row per message id
-* ``attachments/batch=N``  attachment rows
-* ``changes/batch=N``      the add / delete log
+* ``messages/batch=K``     parsed messages, one row per message id
+* ``attachments/batch=K``  attachment rows
+* ``changes/batch=K``      the add / delete log
 * ``transformed/run=N``    transform results and reset marks, the latest run per id counts
 
-A batch folder is overwritten as a whole, so a replayed micro-batch gives the same state.
+K names the writer and its batch (``batch_key``): two accounts, a sync and a stream, or two
+streams never share a folder, whatever they call their batches.  A batch folder is overwritten
+as a whole, so a replayed micro-batch gives the same state.
 ``publish`` writes the joined view as the table that searches read.
 """
 
@@ -45,6 +47,11 @@ THREADS = (
 )
 
 
+def batch_key(account: int | str, source: str, number: int, run: str = "0") -> str:
+    """Folder of one writer's batch: account, kind of source, run (a stream's id) and number."""
+    return f"{account}-{source}-{run}-{number}"
+
+
 class MailStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -68,17 +75,18 @@ class MailStore:
         done = [n for n in found if self.exists(f"{self.path(name)}/{n}/_SUCCESS")]
         return sorted(int(n.split("=")[1]) for n in done)
 
-    def append(self, name: str, df: DataFrame, key: str, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path(name)}/{key}={number}")
+    def append(self, name: str, df: DataFrame, key: str, value: str | int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path(name)}/{key}={value}")
 
     def replace(self, name: str, df: DataFrame) -> None:
         number = max([int(time.time() * 1000), *[v + 1 for v in self.versions(name)]])
         df.write.mode("errorifexists").parquet(f"{self.path(name)}/version={number}")
 
     def read(self, name: str, schema: str, key: str) -> DataFrame:
+        kind = "long" if key == "run" else "string"
         if not self.exists(self.path(name)):
-            return self.spark.createDataFrame([], f"{schema}, {key} long")
-        return self.spark.read.schema(f"{schema}, {key} long").parquet(self.path(name))
+            return self.spark.createDataFrame([], f"{schema}, {key} {kind}")
+        return self.spark.read.schema(f"{schema}, {key} {kind}").parquet(self.path(name))
 
     def newest(self, name: str, schema: str | None = None) -> DataFrame | None:
         versions = self.versions(name)

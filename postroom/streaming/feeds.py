@@ -15,16 +15,23 @@ from pyspark.sql.streaming import StreamingQuery
 from postroom.operators.changes import change_state
 from postroom.plans import ingest
 from postroom.sources import notices
-from postroom.sources.store import MailStore
+from postroom.sources.store import MailStore, batch_key
 
 
-def parquet_stream(
-    spark: SparkSession, folder: str, schema, glob: str | None = None, files_per_batch: int = 1000
-) -> DataFrame:
+def parquet_stream(spark: SparkSession, table: str, schema, files_per_batch: int = 1000) -> DataFrame:
+    """The files of a table, be it a folder of part files or a single file.
+
+    A plain path would have to be a folder; a pattern that only the path itself matches may be either.
+    """
+    path = table.rstrip("/")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(folder)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def stream_run(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the stream that owns a checkpoint: equal after a restart, another for a fresh checkpoint."""
+    found = spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()
+    return found[0].replace("-", "")
 
 
 def _start(df: DataFrame, checkpoint: str, each: Callable, trigger: dict) -> StreamingQuery:
@@ -46,8 +53,9 @@ def follow_changes(
     messages_of: Callable[[DataFrame], DataFrame] | None = None,
     after: Callable[[int], None] | None = None,
     trigger: dict | None = None,
+    account: int | str = "all",
 ) -> StreamingQuery:
-    """Apply a change feed (gmail_id, op, seq, at) to the store.
+    """Apply a change feed (gmail_id, op, seq, at) of one account, or of all, to the store.
 
     ``messages_of`` turns the batch's net additions into parsed message rows (fetching
     them, or joining an export); ``after`` runs once the batch is stored, typically the
@@ -57,12 +65,13 @@ def follow_changes(
     def each(batch: DataFrame, number: int) -> None:
         # The batch is written first and read back: fetches and joins below never
         # recompute the source.
-        ingest.record_changes(store, batch, number)
+        key = batch_key(account, "changes", number, stream_run(batch.sparkSession, checkpoint))
+        ingest.record_changes(store, batch, key)
         if messages_of is not None:
-            written = batch.sparkSession.read.parquet(f"{store.path('changes')}/batch={number}")
+            written = batch.sparkSession.read.parquet(f"{store.path('changes')}/batch={key}")
             added = change_state(written).where("first_add is not null")
             ids = added.select("gmail_id", F.col("first_add").alias("seq"))
-            ingest.insert_messages(store, messages_of(ids), number)
+            ingest.insert_messages(store, messages_of(ids), key)
         if after is not None:
             after(number)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import re
 import sys
 import unicodedata
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from postroom import fixed_values as fv
 from postroom.functions import chunking, headers, html, language, mime, redaction, text, tiering, tokens
 from postroom.providers import CharTokenizer, PatternNer, Prompts, read_entities
-from postroom.sources import given
+from postroom.sources import given, notices
 
 V = F.col("v")
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -457,3 +459,60 @@ def test_prompts(tmp_path):
     (tmp_path / "classification_user.md").write_text("{sender}")
     p = Prompts.load(tmp_path)
     assert (p.system, p.user_template) == ("sys {output_labels}", "{sender}\n")
+
+
+def test_gates_never_hide_a_match(spark, column):
+    """Every character that the regex engine equates with a letter passes the gates like that letter."""
+    letters = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    equal = [ch for ch, hit in zip(letters, column(letters, V.rlike("^(?Ui)[a-z]$")), strict=True) if hit]
+    assert set("\u0130\u0131\u017f\u212a") <= set(equal)
+    base = ["api_key=abcd1234efgh", "license key: ABCD99", "Bearer abcdef", "access_token=a.b.c", "auth-token: zzz", "passwd = x",
+            "serial number: A1", "activation key A1", "secret_key=abc", "product key: k1"]
+    texts = list(base)
+    for ch in equal:
+        twin = column([ch], F.lower(F.translate(V, "\u0130\u0131\u017f\u212a", "iisk")))[0]
+        texts += [t.replace(twin, ch) for t in base] + [t.upper().replace(twin.upper(), ch) for t in base]
+    ungated = V
+    for pattern, token, ignore in (fv.LINK, *fv.SECRETS):
+        ungated = F.regexp_replace(ungated, f"(?{'Ui' if ignore else 'U'}){pattern}", token)
+    plain = column(texts, ungated)
+    assert column(texts, redaction.redact_secrets(V)) == plain
+    assert all("[REDACTED]" in p for p in plain[: len(base)])
+    leaks = ["AP\u0130_KEY=abcd1234efgh", "l\u0131cense key: ABCD99", "L\u0130CENSE KEY: ABCD99"]
+    assert all("[REDACTED]" in t for t in column(leaks, redaction.redact_secrets(V)))
+
+
+def test_overlapping_and_odd_entity_spans():
+    spans = [{"start": 0, "end": 10, "label": "ORG"}, {"start": 4, "end": 8, "label": "GPE"}, {"start": 10, "end": 12, "label": "LOC"},
+             {"start": -1, "end": 3, "label": "ORG"}, {"start": 9, "end": 7, "label": "ORG"}]
+    assert redaction.replace_entities("0123456789abcdef", spans) == "[ORG][LOC]cdef"
+    assert redaction.replace_entities("plain", []) == "plain"
+
+
+def test_html_references_of_old_mail(column):
+    texts = ["it&#146;s", "x&#00000038;y", "&#x0000041;", "&#99999999999;", "&#x110000;", "&#129;", "&#150;&#8211;", "&#0;"]
+    assert column(texts, html.unescape(V)) == ["it\u2019s", "x&y", "A", "\ufffd", "\ufffd", "\x81", "\u2013\u2013", "\ufffd"]
+
+
+def test_bad_bodies_and_notices_stop_nothing(spark, column):
+    latin = base64.urlsafe_b64encode("caf\u00e9 \u20ac".encode("cp1252")).decode()
+    assert column([latin, "!!!", None, ""], mime.utf8_text(mime.base64url_decode(V))) == ["caf\u00e9 \u20ac", None, None, ""]
+    part = lambda d: json.dumps({"mimeType": "text/plain", "body": {"data": d}})
+    assert column([part(latin), part("!!!"), part("")], mime.body_text(V)) == ["caf\u00e9 \u20ac", "", ""]
+    encode = lambda b: base64.b64encode(b).decode()
+    datas = [encode(b'{"emailAddress": "a@b.c", "historyId": 7}'), "%%%", encode(b"\xff\xfe"), encode(b"[]"), encode(b'{"x": 1}'),
+             encode(b'{"emailAddress": '), None, encode(b"7")]
+    raw = spark.createDataFrame(list(enumerate(datas)), "message_id int, data string")
+    got = {r.message_id: (r.status, r.email_address, r.history_id) for r in notices.decode(raw).collect()}
+    assert got[0] == ("ok", "a@b.c", 7) and got[4] == ("ok", None, None)
+    assert {i for i, g in got.items() if g[0] == "bad"} == {1, 2, 3, 5, 6, 7}
+
+
+def test_fit_text_equals_the_column_form(column):
+    for n in (0, 3, 90, 399, 1500, 6000):
+        body = "".join(chr(97 + i % 26) for i in range(n))
+        for budget in (20, 60, 300, 900):
+            want = column([body], tiering.fit_body(V, F.lit("frame "), CharTokenizer(), budget))[0]
+            count = lambda p, b=budget: -(-len("frame " + p) // 4) <= b
+            got = tiering.fit_text(body, count)
+            assert got == want, (n, budget)

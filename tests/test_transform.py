@@ -12,8 +12,9 @@ from pyspark import cloudpickle
 from postroom import fixed_values as fv
 from postroom.catalog import QUERIES
 from postroom.catalog.transform import _INPUT, _config
-from postroom.functions.embedding import PayloadTooLarge, embed_texts
+from postroom.functions.embedding import PayloadTooLarge, embed_texts, embedding_udf
 from postroom.functions.redaction import replace_entities
+from postroom.functions.tokens import fit_to_tokens
 from postroom.operators import changes
 from postroom.plans import transform as plan
 from postroom.providers import HashEmbedder, PatternNer
@@ -102,8 +103,9 @@ def test_too_large_requests_are_split():
             raise PayloadTooLarge
         return [[float(len(t))] for t in texts]
 
-    assert embed_texts(embed, ["a" * 200, "b" * 400]) == [[200.0], [200.0]]
-    assert [len(c) for c in calls] == [2, 1, 1, 1]
+    # Both halves of the long text count, by their lengths.
+    assert [list(v) for v in embed_texts(embed, ["a" * 200, "b" * 401])] == [[200.0], [(200 * 200 + 201 * 201) / 401]]
+    assert [len(c) for c in calls] == [2, 1, 1, 1, 1]
     with pytest.raises(PayloadTooLarge):
         embed_texts(lambda t: (_ for _ in ()).throw(PayloadTooLarge()), ["c" * 10])
 
@@ -152,3 +154,30 @@ def test_flagship_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
+
+
+class Fragile:
+    """Fails for one text, and answers too few vectors for another."""
+
+    def open(self):
+        def embed(texts):
+            if any("poison" in t for t in texts):
+                raise RuntimeError("service error")
+            return [[float(len(t)), 1.0] for t in texts if "short" not in t]
+
+        return embed
+
+
+def test_a_failing_mail_leaves_the_others_alone(spark):
+    rows = [(1, ["good", "text"]), (2, ["poison"]), (3, None), (4, ["short"]), (5, []), (6, ["fine"])]
+    df = spark.createDataFrame(rows, "id int, texts array<string>").coalesce(1)
+    got = {r.id: r.e for r in df.select("id", embedding_udf(Fragile())(F.col("texts")).alias("e")).collect()}
+    assert got[1].vectors == [[4.0, 1.0], [4.0, 1.0]] and got[6].vectors == [[4.0, 1.0]]
+    assert [got[i].problem for i in (1, 3, 5, 6)] == [None] * 4 and got[3].vectors == got[5].vectors == []
+    assert "RuntimeError" in got[2].problem and "0 vectors for 1 texts" in got[4].problem
+
+
+def test_model_tokenizers_are_cut_to_the_cap(spark):
+    df = spark.createDataFrame([(1, ["a b c d e f g h"])], "id int, texts array<string>")
+    cut = embedding_udf(Fragile(), fit=lambda: lambda t: fit_to_tokens(t, str.split, 3))
+    assert df.select(cut(F.col("texts")).alias("e")).first().e.vectors == [[float(len(fit_to_tokens("a b c d e f g h", str.split, 3))), 1.0]]
