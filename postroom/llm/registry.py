@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +40,21 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def by_size(texts: Iterable, most: int = 4_000_000) -> Iterator[list]:
+    """Consecutive texts in lists of up to ``most`` characters (a longer text makes one alone)."""
+    part: list = []
+    size = 0
+    for text in texts:
+        n = len(text or "")
+        if part and size + n > most:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += n
+    if part:
+        yield part
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
