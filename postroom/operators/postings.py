@@ -1,7 +1,8 @@
 """A stored inverted index: the counterpart of a full-text index on the email table.
 
 Postings are written partitioned by a hash of the lexeme, so a query reads only its
-words' partitions.  Frequent words are spread over files by a salt of the email id.
+words' partitions.  Tasks take ranges of (bucket, lexeme, id), so a frequent word is split
+over as many of them as its occurrences need.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from postroom.functions import fulltext as ft
 
 BUCKETS = 256
-_SALTS = 16
 
 
 def email_text():
@@ -31,11 +31,10 @@ def lexeme_bucket(lexeme, buckets: int = BUCKETS):
 def write_postings(emails: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Write the index; ``buckets`` is a property of the index that readers must repeat."""
     bucket = lexeme_bucket(F.col("lexeme"), buckets)
-    salt = F.pmod(F.xxhash64("id"), F.lit(_SALTS))
     (
         postings(emails.where(F.col("body_text").isNotNull()))
         .withColumn("bucket", bucket)
-        .repartition(F.col("bucket"), salt)
+        .repartitionByRange("bucket", "lexeme", "id")
         .sortWithinPartitions("bucket", "lexeme", "id", "position")
         .write.mode("overwrite")
         .partitionBy("bucket")

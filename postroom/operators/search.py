@@ -26,7 +26,6 @@ from postroom.operators.filters import has_any_embedding, matches_text
 
 METHODS = ("structured", "fulltext", "vector")
 RRF_CONSTANT = 60
-_NEWEST = (F.desc_nulls_last, "sent_at")
 
 
 def clamp_limit(n: int, top: int = fv.TOP_K_MAX) -> int:
@@ -54,13 +53,23 @@ def structured_top(matching: DataFrame, k: int) -> DataFrame:
     )
 
 
-def fulltext_top(matching: DataFrame, query: str, k: int) -> DataFrame:
-    """All query words present, by cover density, then newest."""
+def fulltext_top(matching: DataFrame, query: str, k: int, hits: DataFrame | None = None) -> DataFrame:
+    """All query words present, by cover density, then newest.
+
+    ``hits`` (id, rank), read from the stored postings, spares reading any text.
+    """
     terms = ft.query_terms(query)
+    if hits is not None:
+        ranked = matching.select("id", "sent_at").join(hits, "id")
+        return _fulltext_best(ranked, k)
     text = ft.document_text(*[F.col(c) for c in ("subject", "from_email", "from_name", "body_text")])
     ranked = matching.where(matches_text(text, terms)).select(
         "id", "sent_at", (ft.cover_density(text, terms) if terms else F.lit(0.0)).alias("rank")
     )
+    return _fulltext_best(ranked, k)
+
+
+def _fulltext_best(ranked: DataFrame, k: int) -> DataFrame:
     return (
         ranked.orderBy(F.desc("rank"), F.desc_nulls_last("sent_at"), "id")
         .limit(k)

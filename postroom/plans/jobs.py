@@ -62,7 +62,9 @@ def run_transform(
     """
     ship_package(store.spark)
     run = run or int(time.time() * 1000)
-    todo = plan.worklist(store.emails(), account_id, email_id, force, limit)
+    # Whole mails are read only for the ids that narrow columns have picked.
+    ids = plan.worklist(store.states(), account_id, email_id, force, limit).select("id")
+    todo = store.messages().join(ids, "id", "left_semi")
     named = with_label_names(todo, store.newest("labels", LABELS))
     results = plan.transform(named, config).withColumn("completed_at", F.current_timestamp())
     columns = [f.name for f in store.spark.createDataFrame([], TRANSFORMED).schema]

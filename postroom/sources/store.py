@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom.operators.changes import apply_state, change_state
+from postroom.operators.postings import write_postings
 
 CHANGES = "gmail_id string, op string, seq long, at timestamp"
 MESSAGES = (
@@ -136,6 +137,19 @@ class MailStore:
         )
         return live.join(derived, "id", "left")
 
+    def states(self) -> DataFrame:
+        """What decides about a transform, per email: narrow columns only.
+
+        ``body_text`` is '' where there is a body; no text and no vector leaves its scan.
+        """
+        body = F.when(F.col("body_text").isNotNull(), F.lit("")).alias("body_text")
+        none = F.lit(None).cast("timestamp").alias("deleted_at")
+        live = apply_state(self.messages().select("id", "account_id", "gmail_id", body, none), change_state(self.changes()))
+        runs = self.read("transformed", TRANSFORMED, "run")
+        done = F.when(F.col("problem").isNull(), F.col("completed_at"))
+        latest = runs.groupBy("id").agg(F.max_by(done, "run").alias("transform_completed_at"))
+        return live.join(latest, "id", "left")
+
     # ---- writes --------------------------------------------------------------
 
     def reset(self, account_id: int | None = None, run: int | None = None) -> None:
@@ -154,13 +168,20 @@ class MailStore:
         self.append("transformed", marks, "run", run or int(time.time() * 1000))
 
     def publish(self) -> None:
-        """Write the serving table: by account, newest mail together.
+        """Write the serving table, by account, newest mail together, and its full-text index.
 
         Range partitions over (account, time, id) split a dominant account evenly, and
         row groups sorted by time let date filters skip most of the data.
         """
         emails = self.emails().repartitionByRange("account_id", "sent_at", "id")
         self.replace("served", emails.sortWithinPartitions("account_id", "sent_at", "id"))
+        number = self.versions("served")[-1]
+        write_postings(self.served(), f"{self.path('postings')}/version={number}")
+
+    def postings(self) -> str | None:
+        """Path of the full-text index of the served table."""
+        number = (self.versions("served") or [None])[-1]
+        return f"{self.path('postings')}/version={number}" if number in self.versions("postings") else None
 
     def served(self) -> DataFrame:
         found = self.newest("served")

@@ -111,7 +111,26 @@ def test_transform_is_idempotent(transformed, config):
 
 
 def engine_of(store, config):
-    return MailEngine(store.served(), store.newest("labels", jobs.LABELS), config)
+    return MailEngine(store.served(), store.newest("labels", jobs.LABELS), config, store.postings())
+
+
+def test_worklist_moves_no_text(transformed):
+    plan_ = transformed.states()._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan_.split("\n") if "Join" in line or "Aggregate" in line]
+    assert joined and not any(c in line for line in joined for c in ("embedding", "redacted", "chunks"))
+
+
+def test_search_through_the_published_index(transformed, config):
+    scanned = engine_of(transformed, config).unified("budget plan", methods=["fulltext", "fulltext"])
+    transformed.publish()
+    indexed = engine_of(transformed, config)
+    assert indexed.postings is not None
+    again = indexed.unified("budget plan", methods=["fulltext"])
+    assert [(r["id"], r["final_score"]) for r in again["results"]] == [(r["id"], r["final_score"]) for r in scanned["results"]]
+    assert again["results"] and indexed.unified("absent", methods=["fulltext"])["results"] == []
+    fused, _ = indexed.ranked("budget plan", ["fulltext"])
+    scan = fused._jdf.queryExecution().executedPlan().toString()
+    assert "body_text" not in scan
 
 
 def test_unified_search(transformed, config):
