@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from postroom.plans import jobs
@@ -15,6 +17,7 @@ from postroom.sources import mailbox
 from postroom.sources.store import MailStore
 
 DIM = 32
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def message(key, thread, subject, sender, body, date, labels=("INBOX",), parts=()):
@@ -242,3 +245,52 @@ def test_history_feed_fits_the_change_log(spark, tmp_path):
     # Of one history record adds come before deletes, whatever the order of the rows.
     for rows in (s.changes(), s.changes().orderBy("op"), s.changes().orderBy(F.desc("op"))):
         assert {r.gmail_id: r.last_op for r in change_state(rows).collect()} == {"a": "delete", "b": "add"}
+
+
+class Mailboxes:
+    """Two accounts: one with a history, one without a cursor; a third one always fails."""
+
+    mails = {1: {m["id"]: m for m in MAILS[:2]}, 2: {m["id"]: m for m in MAILS[2:]}}
+
+    def __init__(self, account):
+        if account == 3:
+            raise RuntimeError("no access")
+        self.own = self.mails[account]
+
+    def get_profile(self):
+        return {"historyId": "50"}
+
+    def list_messages(self, token):
+        ids = sorted(self.own)
+        return {"messages": [{"id": ids[0]}], "nextPageToken": "2"} if token is None else {"messages": [{"id": i} for i in ids[1:]]}
+
+    def get_history(self, start, token):
+        assert start == 10
+        added = [{"message": {"id": i}} for i in [*sorted(self.own), "gone"]]
+        return {"history": [{"id": "20", "messagesAdded": added}, {"id": "21", "messagesDeleted": [{"message": {"id": "gone"}}]}]}
+
+    def get_message(self, key):
+        return self.own[key]
+
+
+def test_notices_to_transformed_mail(spark, tmp_path, config):
+    from postroom.streaming import chain, feeds
+
+    notice = lambda address, history: base64.b64encode(json.dumps({"emailAddress": address, "historyId": history}).encode()).decode()
+    folder = str(tmp_path / "notices")
+    rows = [(1, notice("a@x", 40)), (2, notice("a@x", 41)), (3, notice("b@x", None)), (4, notice("c@x", 7)), (5, notice("who@x", 1)), (6, "%%")]
+    raw = spark.createDataFrame(rows, "message_id long, data string")
+    raw.write.parquet(folder)
+    accounts = spark.createDataFrame([(1, "a@x", 10), (2, "b@x", None), (3, "c@x", 5)], "id int, email_address string, last_history_id long")
+    s = MailStore(spark, str(tmp_path / "data"))
+    open_client = Mailboxes
+    for _ in range(2):  # the second run of the same stream has nothing to do
+        stream = feeds.parquet_stream(spark, folder, raw.schema)
+        feeds.run_to_end(chain.follow_mailboxes(stream, accounts, s, open_client, str(tmp_path / "checkpoint"), config))
+    mails = {r.gmail_id: (r.account_id, r.deleted_at is not None, r.transform_completed_at is not None) for r in s.emails().collect()}
+    assert mails == {"m1": (1, False, True), "m2": (1, False, True), "m3": (2, False, True), "m4": (2, False, True)}
+    events = {r.account_id: (r.event_type, r.status, r.emails_processed) for r in spark.read.parquet(s.path("sync_events")).collect()}
+    assert events == {1: ("incremental", "completed", 2), 2: ("full_sync", "completed", 2), 3: ("incremental", "failed", 0)}
+    assert {r.account_id: r.last_history_id for r in chain.cursors(s).collect()} == {1: 50, 2: 50}
+    known = {r.id: r.last_history_id for r in chain.with_cursors(accounts, s).collect()}
+    assert known == {1: 50, 2: 50, 3: 5}
