@@ -126,9 +126,9 @@ def scan_paths(
     """
     prepare(versions.sparkSession)
     ledger = update_ledger(versions, path, rules, version).where(F.size("spans") > 0)
-    found = ledger.select("blob", F.col("spans").alias("_spans"))
+    found = ledger.select(F.col("blob").alias("_seen"), F.col("spans").alias("_spans"))
     own = versions.select(*keep, F.sha2(F.coalesce("text", F.lit("")), 256).alias("_blob"))
-    joined = own.join(found, own["_blob"] == found["blob"], "left")
+    joined = own.join(found, F.col("_blob") == F.col("_seen"), "left")
     return joined.select(*keep, F.coalesce("_spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"))
 
 

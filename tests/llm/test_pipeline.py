@@ -15,7 +15,8 @@ def test_stages_match_a_plain_version(spark, sf):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     rows = [tuple(r) for r in docs.collect()]
     model = language.learn(docs.where(~language.held_out()))
-    rows = [r for r in rows if (a := model.answer(r[1]))[0] != "und" and a[1] >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
+    answers = model.answers([r[1] for r in rows])
+    rows = [r for r, a in zip(rows, answers, strict=True) if a[0] != "und" and a[1] >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
     fps = [(r[0], plain_fingerprint(r[1])) for r in rows]
     groups = plain_components(fps)
     rows = [r for r, (d, fp) in zip(rows, fps, strict=True) if groups[fp] == d]
