@@ -18,15 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postroom.llm.registry import prepare, query, table
+from postroom.llm.registry import by_size, prepare, query, table
 
 #: Texts per language that the piece counts are learned from, whole, by a hash of their id.
 TRAIN_DOCS = 3000
+RANKED_APART = 64
 #: Added to every piece's count.
 SMOOTHING = 0.1
 #: Words whose scores a Python worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 800_000
 UNDETERMINED = "und"
+#: Words of up to so many letters stay within the range of floating point without scaling.
+PLAIN_LETTERS = 28
 
 _START = "▁"
 _MEMORY: dict[str, object] = {}
@@ -86,18 +89,10 @@ class LanguageModel:
 
     def word(self, word: str) -> list[float]:
         """Log-probability of the word in each language, summed over all its segmentations."""
-        text, get, one = _START + word, self.pieces.get, (1.0,) * len(self.languages)
+        text, one = _START + word, (1.0,) * len(self.languages)
         ahead, scale = [one], [0.0] * len(one)
         for i in range(1, len(text) + 1):
-            total = None
-            for j in range(max(0, i - self.longest), i):
-                p = get(text[j:i])
-                if p is None:
-                    if i - j > 1:
-                        continue
-                    p = (self.floor,) * len(one)
-                part = [a * b for a, b in zip(ahead[j], p, strict=True)]
-                total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
+            total = self._sums(text, i, ahead)
             ahead.append(total)
             if min(total) < 1e-100:  # long words: keep each language's sums within range
                 up = [1 / v for v in total]
@@ -106,30 +101,69 @@ class LanguageModel:
                 ahead[-self.longest :] = [[v * u for v, u in zip(a, up, strict=True)] for a in recent]
         return [math.log(v) + s for v, s in zip(ahead[-1], scale, strict=True)]
 
-    def score(self, words: list[str]) -> np.ndarray:
-        """Log-probability of a text's words in each language."""
-        new = set(words).difference(self.known)
-        if new or self.table is None:
-            if self.table is None or len(self.known) > REMEMBERED:
-                self.known.clear()
-                self.table = np.empty((1 << 12, len(self.languages)))
-                new = set(words)
-            at = len(self.known)
-            while at + len(new) > len(self.table):
-                self.table = np.concatenate([self.table, np.empty_like(self.table)])
-            for k, w in enumerate(new, at):
-                self.known[w] = k
-                self.table[k] = self.word(w)
-        rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        return self.table[rows].sum(0)
-
-    def answer(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0
-        logs = self.score(words)
-        best = int(np.argmax(logs))
-        return self.languages[best], float(1 / np.exp(np.maximum(logs - logs[best], -700)).sum())
+    def _sums(self, text: str, i: int, ahead: list) -> list[float]:
+        """Sums over all segmentations of the first ``i`` characters, from those of its prefixes."""
+        get, total = self.pieces.get, None
+        for j in range(i - self.longest if i > self.longest else 0, i):
+            p = get(text[j:i])
+            if p is None:
+                if i - j > 1:
+                    continue
+                p = (self.floor,) * len(self.languages)
+            if total is None:
+                total = [a * b for a, b in zip(ahead[j], p)]  # noqa: B905
+            else:
+                total = [t + a * b for t, a, b in zip(total, ahead[j], p)]  # noqa: B905
+        return total
+
+    def words(self, words: set[str]) -> Iterator[tuple[str, list[float]]]:
+        """``word`` for many words: in sorted order, the sums of a shared prefix are computed once."""
+        path, ahead = "", [(1.0,) * len(self.languages)]
+        for word in sorted(words):
+            if len(word) > PLAIN_LETTERS:
+                yield word, self.word(word)
+                continue
+            text = _START + word
+            shared, most = 0, min(len(path), len(text))
+            while shared < most and path[shared] == text[shared]:
+                shared += 1
+            del ahead[shared + 1 :]
+            for i in range(shared + 1, len(text) + 1):
+                ahead.append(self._sums(text, i, ahead))
+            path = text
+            yield word, [math.log(v) for v in ahead[-1]]
+
+    def remember(self, words: set[str]) -> None:
+        """Make sure that the scores of all the words are in the table."""
+        new = words.difference(self.known)
+        if self.table is None or (new and len(self.known) > REMEMBERED):
+            self.known.clear()
+            self.table = np.empty((1 << 12, len(self.languages)))
+            new = words
+        at = len(self.known)
+        while at + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.empty_like(self.table)])
+        for k, (w, logs) in enumerate(self.words(new), at):
+            self.known[w] = k
+            self.table[k] = logs
+
+    def answers(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and its posterior per text; words new to this worker are scored together."""
+        if not self.languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        found = []
+        for part in by_size(texts):
+            split = [words_of(t or "") for t in part]
+            self.remember(set().union(*split))
+            for words in split:
+                if not words:
+                    found.append((UNDETERMINED, 0.0))
+                    continue
+                rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                logs = self.table[rows].sum(0)
+                best = int(np.argmax(logs))
+                found.append((self.languages[best], float(1 / np.exp(np.maximum(logs - logs[best], -700)).sum())))
+        return found
 
 
 def learn(docs: DataFrame, vocabulary: str | None = None, train_docs: int = TRAIN_DOCS) -> LanguageModel:
@@ -142,10 +176,16 @@ def learn(docs: DataFrame, vocabulary: str | None = None, train_docs: int = TRAI
 
     prepare(docs.sparkSession)
     path = vocabulary or default_vocabulary()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
-    ids = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= train_docs).select("doc_id", "lang").distinct()
-    rows = count_pieces(docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]), path).collect()
+    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").distinct()
+    # One language may hold most rows: its shares are ranked apart before they meet.
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(RANKED_APART)).alias("_share")
+    for keys in (["lang", "_share"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ranked = ids.select("doc_id", "lang", share).withColumn("_n", F.row_number().over(order))
+        ids = ranked.where(F.col("_n") <= train_docs).select("doc_id", "lang")
+    # At most ``train_docs`` narrow rows per language, less than the model itself: texts stay where they are read.
+    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+    rows = count_pieces(sample, path).collect()
     languages = sorted({r.lang for r in rows})
     pieces = sentencepiece.SentencePieceProcessor(model_file=path)
     vocabulary_pieces = [
@@ -180,7 +220,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            found = [own.answer(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found = own.answers(batch.column(batch.num_columns - 1).to_pylist())
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns += [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])
