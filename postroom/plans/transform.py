@@ -73,16 +73,16 @@ def prepare(emails: DataFrame, config: EngineConfig) -> DataFrame:
         )
         .withColumn("prompt", tiering.full_prompt(config.prompts, values(F.col("preview"))))
     )
-    answered = prompted.withColumns(
+    # A column of its own: the parser reads it many times, and would repeat an inlined answer.
+    asked = prompted.withColumn(
+        "answer_text",
+        config.classifier.answer(
+            tiering.normalized_sender(F.col("sender")), subject, F.col("preview"), F.col("prompt")
+        ),
+    )
+    answered = asked.withColumns(
         {
-            "tier_word": tiering.parse_tier(
-                config.classifier.answer(
-                    tiering.normalized_sender(F.col("sender")),
-                    subject,
-                    F.col("preview"),
-                    F.col("prompt"),
-                )
-            ),
+            "tier_word": tiering.parse_tier(F.col("answer_text")),
             "lang": language.detect_language(
                 F.col("clean"), config.language or language.predict_by_stop_words
             ),

@@ -23,8 +23,16 @@ BASE = (
 ALL = BASE + TIMES + VECTORS + TIER
 
 
+#: Session setting, unset by default: deal the text tables out to so many partitions when they are
+#: read.  For tables in a single row group, which no scan can split; it is the user's choice and
+#: does not depend on any size.
+INPUT_PARTITIONS = "spark.postroom.inputPartitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    asked = spark.conf.get(INPUT_PARTITIONS, None) if name in ("documents", "pages") else None
+    return read.repartition(int(asked)) if asked else read
 
 
 def masked(c):
