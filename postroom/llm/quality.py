@@ -119,14 +119,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     """Rows (y, stats) of at most ``train_rows`` labelled ids, chosen by a hash; an id labelled twice counts as its lower label."""
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("y"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select("doc_id", "text").join(own, "doc_id")
+    # At most ``train_rows`` narrow rows: texts stay where they are read.
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
     return with_statistics(rows, ("y",)).select(F.col("y").cast("double").alias("y"), "stats")
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> RuleEnsemble:
     """A rule ensemble for label 1.  With one label only, or none, its score is that label's share, or 0.5."""
     prepare(docs.sparkSession)
-    rows = written(training_rows(docs, labels, train_rows).coalesce(8), "quality-training")
+    rows = written(training_rows(docs, labels, train_rows).repartition(8), "quality-training")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if ones in (0, n):
         share = (ones + 0.5) / (n + 1)
