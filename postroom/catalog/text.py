@@ -160,23 +160,19 @@ def redact_entities(spark, sf):
     )
 
 
-_SNIPPET_SQL = _sql_strip("coalesce(snippet, '')")
+_SNIPPET_SQL = _sql_strip("coalesce(body_text, '')")
 
 
 @query(
     "snippet_by_tier",
-    f"""{_WITH}, s as (select id, privacy_tier, {_sql_pii(_SNIPPET_SQL)} as p from emails_v)
-select id, nullif(case when privacy_tier in (1, 2) then 'Content redacted'
+    f"""with {_BODIES_SQL}, s as (select id, id % 4 as tier, {_sql_pii(_SNIPPET_SQL)} as p from bodies)
+select id, nullif(case when tier in (1, 2) then 'Content redacted'
   else {_sql_secrets("p")} end, '') as snippet_redacted from s""",
 )
 def snippet_by_tier(spark, sf):
-    rows = given.emails(spark, sf, "id", "snippet", "privacy_tier")
-    return rows.select(
-        "id",
-        redaction.snippet_for_tier(F.col("snippet"), F.col("privacy_tier")).alias(
-            "snippet_redacted"
-        ),
-    )
+    """Whole adorned bodies as snippets, the tier by the id."""
+    snippet = redaction.snippet_for_tier(F.col("body_text"), F.col("id") % 4)
+    return _bodies(spark, sf).select("id", snippet.alias("snippet_redacted"))
 
 
 _NAMED_SQL = """
@@ -507,10 +503,22 @@ def truncate_to_tokens(spark, sf):
 _STRIP_TAGS_SQL = _sql_replace("html", fv.ACTIVE_TAGS, "", "i")
 
 
-@query("html_strip_tags", f"select page_id, {_STRIP_TAGS_SQL} as html from pages")
+_IMAGES = (
+    '<img width="1" height=1 src="a.png"><img class="x" src="https://t.example/open?id=1" alt="">'
+    '<img src="logo.png" width="100"><IMG style="width: 1px" src=b.gif>'
+)
+# Without a lookahead: what decides about an image stands before its end.
+_IMAGE = rf"<img\s[^>]*?(?:{fv.IMAGE_SIZE_ONE}|{fv.IMAGE_TRACKING_SOURCE})[^>]*>"
+
+
+@query(
+    "html_strip_tags",
+    f"""select page_id, {_sql_replace(_STRIP_TAGS_SQL, _IMAGE, "", "i")} as html
+from (select page_id, html || '{_IMAGES}' as html from pages)""",
+)
 def html_strip_tags(spark, sf):
-    """Script-like tags and tracking images; the given pages hold no image."""
-    p = given.table(spark, sf, "pages").select("page_id", "html")
+    """Script-like tags and tracking images, on pages with images of each kind at their end."""
+    p = given.table(spark, sf, "pages").select("page_id", F.concat("html", F.lit(_IMAGES)).alias("html"))
     return p.select("page_id", text.strip_tracking_pixels(F.col("html")).alias("html"))
 
 

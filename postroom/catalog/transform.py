@@ -58,12 +58,17 @@ chunks as (
 
 @query(
     "chunk_rows",
-    f"""with recursive {_chunks_sql("documents", "doc_id", "text")}
+    f"""with recursive spaced as (
+  select doc_id, replace(text, '.' || chr(10), '.' || chr(10) || ' ' || chr(10)) as text from documents
+),
+{_chunks_sql("spaced", "doc_id", "text")}
 select k as doc_id, cast(chunk as integer) as position, txt as chunk_text,
   cast(case when chunk = 0 then 2.0 else 1.0 end as double) as weight from chunks""",
 )
 def chunk_rows(spark, sf):
-    d = given.table(spark, sf, "documents").select("doc_id", "text")
+    # Every line that ends a sentence ends a paragraph.
+    spaced = F.replace("text", F.lit(".\n"), F.lit(".\n \n")).alias("text")
+    d = given.table(spark, sf, "documents").select("doc_id", spaced)
     made = chunking.chunk_body(F.col("text"), CharTokenizer(), _MAX, _TARGET)
     return d.select("doc_id", F.explode(made).alias("c")).select(
         "doc_id", "c.position", F.col("c.text").alias("chunk_text"), "c.weight"
