@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postroom.catalog.registry import EMAILS_SQL, SENDER_SQL, query
-from postroom.catalog.text import _TIER_SQL, _language_sql, _sql_pii, _sql_secrets, _sql_strip
+from postroom.catalog.text import (
+    _BODIES_SQL, _CLEAN_SQL, _TIER_SQL, _language_sql, _sql_pii, _sql_secrets, _sql_strip,
+)
 from postroom.functions import chunking, tiering, vectors
 from postroom.functions.embedding import embedding_udf
 from postroom.operators import aggregates, changes
@@ -178,23 +180,28 @@ _INPUT = (
 )
 
 
-def _results(spark, sf, force=True):
+def _mails(spark, sf):
+    """The mail stand-in with adorned bodies, so that cleaning and redaction have work to do."""
     rows = given.emails(spark, sf, *_INPUT)
-    todo = with_label_names(plan.worklist(rows, force=force), given.account_labels(spark, sf))
+    return rows.withColumn("body_text", given.adorned(F.col("body_text"), F.col("id")))
+
+
+def _results(spark, sf, force=True):
+    todo = with_label_names(plan.worklist(_mails(spark, sf), force=force), given.account_labels(spark, sf))
     return plan.transform(todo, _config())
 
 
 _LANG_CTE = _language_sql().strip().removeprefix("with ").rsplit("select doc_id, labelled", 1)
-_TRANSFORM_SQL = f"""with recursive {EMAILS_SQL},
+_TRANSFORM_SQL = f"""with recursive {EMAILS_SQL}, {_BODIES_SQL}, {_CLEAN_SQL},
 todo as (
-  select *, {_sql_strip("body_text")} as clean from emails_v where deleted_at is null
+  select e.* exclude (body_text), c.body_text, c.clean from emails_v e join cleaned c using (id) where deleted_at is null
 ),
 {_chunks_sql("todo", "id", "clean")},
 tiers as (select id, {_TIER_SQL.replace("body_text", _sql_strip("body_text"))} as tier from todo),
 pii as (
   select id, {_sql_pii("clean")} as p, {_sql_pii(_sql_strip("coalesce(snippet, '')"))} as sp from todo
 ),
-{_LANG_CTE[0]},
+{_LANG_CTE[0].replace("from documents", "from (select id as doc_id, lang, clean as text from todo)")},
 languages as (select doc_id, labelled{_LANG_CTE[1]}),
 results as (
   select t.id, case tier when 'SENSITIVE' then 1 when 'PERSONAL' then 2 else 3 end as privacy_tier,
@@ -246,8 +253,7 @@ from results r join todo using (id)""",
 )
 def embed_items(spark, sf):
     """What a run over every live mail would send to the embedder."""
-    rows = given.emails(spark, sf, *_INPUT)
-    todo = plan.worklist(rows, force=True)
+    todo = plan.worklist(_mails(spark, sf), force=True)
     return aggregates.embed_items(plan.prepare(todo, _config()))
 
 

@@ -8,7 +8,7 @@ A view joins only the tables that the asked columns need.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom import fixed_values as fv
@@ -152,10 +152,8 @@ def conversation_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mail_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the trimmings of real mail: quotes, signatures, links, odd characters."""
-    d = table(spark, sf_dir, "documents")
-    i = F.col("doc_id")
+def adorned(text: Column, i: Column) -> Column:
+    """A text with the trimmings of real mail: quotes, signatures, links, odd characters."""
     tail = (
         F.when(i % 9 == 0, F.lit("\n\nOn Mon, Jan 1, 2024 A B <a@b.example> wrote:\n> old text"))
         .when(i % 9 == 1, F.lit("\n-- \nJane Roe\n+1 555 123 4567"))
@@ -167,9 +165,14 @@ def mail_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i % 9 == 7, F.lit(" call +49 30 1234 5678, id 123456789, mail a.b-c@d.example.org"))
         .otherwise(F.lit(" api_key: abcd-1234 AAAA-BBBB-CCCC-DDDD password = hunter22"))
     )
-    return d.select(
-        i.alias("id"), "lang", "source", F.concat("text", tail).alias("body_text")
-    )
+    return F.concat(text, tail)
+
+
+def mail_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as mail bodies."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    return d.select(i.alias("id"), "lang", "source", adorned(F.col("text"), i).alias("body_text"))
 
 
 def message_json(spark: SparkSession, sf_dir: str) -> DataFrame:
