@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from postroom import fixed_values as fv
 from postroom.catalog import QUERIES
+from postroom.catalog.text import _NAMED
 from postroom.catalog.transform import _INPUT, _config
 from postroom.functions.embedding import PayloadTooLarge, embed_texts, embedding_udf
 from postroom.functions.redaction import replace_entities
@@ -65,7 +66,7 @@ def test_entities_on_real_texts(spark, sf):
     bodies = {r.id: r.body_text for r in given.mail_bodies(spark, sf).select("id", "body_text").collect()}
     find = PatternNer().open()
     for r in QUERIES["redact_entities"](spark, sf).collect():
-        text = bodies[r.id]
+        text = bodies[r.id] + _NAMED[r.id % 4]
         for pattern, token in fv.PII:
             text = re.sub(pattern, token, text)
         text = replace_entities(text, find(text))
