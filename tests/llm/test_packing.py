@@ -76,6 +76,20 @@ def test_nnls_fits_a_histogram_made_of_patterns():
     assert (x >= 0).all() and abs(fitted - histogram).max() < 0.5
 
 
+def test_both_pre_token_patterns_equal_the_tokenizer():
+    rng = random.Random(9)
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    tokenizer.encode_special_tokens = True
+    encode = packing.Encoder(packing.default_tokenizer())
+    narrow = [chr(c) for c in range(packing.NARROW)]
+    wide = [*narrow, *"\u0180\u02b0\u0301\u0660\u2028\u3000\u4e2d\u1680\u200b\U0001f600\u2167\u00bd"]
+    often = list(" \n\t'sdtm1aZ. \x1c\x85\xa0") + ["'re", "'ll", "'ve", "  "]
+    for chars in (narrow, wide):
+        for _ in range(1500):
+            text = "".join(rng.choice(chars if rng.random() < 0.5 else often) for _ in range(25))
+            assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(text)
+
+
 def test_nulls_long_repeated_rows_and_odd_text(spark):
     rng = random.Random(2)
     odd = "".join(chr(rng.choice([9, 10, 13, 0x1C, 0x85, 0xA0, 0x2028, 0x3000, 39, 115, 32, 32, 65, 49, 0xE9, 0x4E2D, 0x1F600, 0x301])) for _ in range(3000))
