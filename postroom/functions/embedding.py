@@ -66,24 +66,51 @@ def embed_mails(embed, mails: list[list[str]], batch_size: int) -> list[dict]:
     return results
 
 
-def embedding_udf(embedder, batch_size: int = 64, fit=None):
+def parts_that_fit(text: str, fits) -> list[str]:
+    """The text, or its halves, or theirs, until every part fits."""
+    if fits(text) or len(text) <= MIN_CHARS_TO_HALVE:
+        return [text]
+    middle = len(text) // 2
+    return [*parts_that_fit(text[:middle], fits), *parts_that_fit(text[middle:], fits)]
+
+
+def _joined(made: dict, parts: list[list[str]]) -> dict:
+    """One vector per text out of its parts' vectors, averaged by their lengths."""
+    if made["problem"] is not None:
+        return made
+    vectors, at = [], 0
+    for own in parts:
+        found = made["vectors"][at : at + len(own)]
+        at += len(own)
+        if len(own) > 1:
+            found = [np.average(found, axis=0, weights=[len(p) for p in own]).astype(np.float32)]
+        vectors += found
+    return {"vectors": vectors, "problem": None}
+
+
+def embedding_udf(embedder, batch_size: int = 64, fit=None, fits=None):
     """``array<string> -> struct<vectors, problem>``; the client opens once per task.
 
     ``fit()`` gives a function that cuts a text to the model's token limit, where the
-    tokenizer needs the text itself.  A mail whose texts fail leaves the others alone.
+    tokenizer needs the text itself.  ``fits()`` gives a test instead; a longer text is embedded in
+    parts, so nothing of it is left out.  A mail whose texts fail leaves the others alone.
     """
 
     @F.arrow_udf(RESULT)
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embed = embedder.open()
         cut = fit() if fit is not None else None
+        test = fits() if fits is not None else None
         for texts in batches:
             mails = [m or [] for m in texts.to_pylist()]
             if cut is not None:
                 mails = [[cut(t) for t in m] for m in mails]
+            split = [[parts_that_fit(t, test) if test else [t] for t in m] for m in mails]
+            flat_mails = [[p for own in m for p in own] for m in split]
             made: list[dict] = []
             for at in range(0, len(mails), batch_size):
-                made.extend(embed_mails(embed, mails[at : at + batch_size], batch_size))
+                made.extend(embed_mails(embed, flat_mails[at : at + batch_size], batch_size))
+            made = [_joined(r, parts) for r, parts in zip(made, split, strict=True)]
             flat = pa.array([v for m in made for v in m["vectors"]], pa.list_(pa.float32()))
             ends = pa.array(np.cumsum([0, *(len(m["vectors"]) for m in made)]), pa.int32())
             columns = [pa.ListArray.from_arrays(ends, flat), pa.array([m["problem"] for m in made], pa.string())]

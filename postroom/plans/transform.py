@@ -132,21 +132,28 @@ def embed(prepared: DataFrame, config: EngineConfig) -> DataFrame:
         F.when(ok & is_full, F.array("clean")).otherwise(none),
         F.when(ok, F.transform("chunks", lambda c: c["text"])).otherwise(none),
     )
-    if tok.length_based:
+    fit = fits = None
+    cap = min(lim.embed_max_tokens or fv.EMBED_MAX_TOKENS, fv.EMBED_MAX_TOKENS)
+    if lim.long_texts == "parts":
+        most = lim.embed_max_chars or (1 << 62)
+
+        def fits():
+            encode = tok.open()
+            return lambda t: len(t) <= most and len(encode(t)) <= cap
+
+    elif tok.length_based:
         texts = F.transform(
             texts, lambda t: tokens.truncate(t, tok, lim.embed_max_chars, lim.embed_max_tokens)
         )
     else:
         texts = F.transform(texts, lambda t: F.substring(t, 1, lim.embed_max_chars))
-    fit = None
-    if not tok.length_based and lim.embed_max_tokens:
-        cap = min(lim.embed_max_tokens, fv.EMBED_MAX_TOKENS)
+    if lim.long_texts == "prefix" and not tok.length_based and lim.embed_max_tokens:
 
         def fit():
             encode = tok.open()
             return lambda t: tokens.fit_to_tokens(t, encode, cap)
 
-    answer = embedding_udf(config.embedder, fit=fit)(F.col("texts"))
+    answer = embedding_udf(config.embedder, fit=fit, fits=fits)(F.col("texts"))
     embedded = prepared.withColumn("texts", texts).withColumn("answer", answer)
     embedded = embedded.withColumns({"vectors": F.col("answer.vectors"), "embed_problem": F.col("answer.problem")})
     lead = has_subject.cast("int")

@@ -36,6 +36,10 @@ class CharTokenizer:
     def count_column(self, c: Column) -> Column:
         return self.count_length(F.length(c))
 
+    def open(self):
+        """A row form whose result has as many items as the text has tokens."""
+        return lambda text: range(-(-len(text) // fv.CHARS_PER_TOKEN))
+
 
 @lru_cache(maxsize=200_000)
 def _slot(token: str, dim: int) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -19,6 +20,7 @@ from postroom.functions.redaction import replace_entities
 from postroom.functions.tokens import fit_to_tokens
 from postroom.operators import changes
 from postroom.plans import transform as plan
+from postroom.plans.config import EngineConfig, Limits
 from postroom.providers import HashEmbedder, PatternNer
 from postroom.sources import given
 
@@ -183,3 +185,21 @@ def test_model_tokenizers_are_cut_to_the_cap(spark):
     df = spark.createDataFrame([(1, ["a b c d e f g h"])], "id int, texts array<string>")
     cut = embedding_udf(Fragile(), fit=lambda: lambda t: fit_to_tokens(t, str.split, 3))
     assert df.select(cut(F.col("texts")).alias("e")).first().e.vectors == [[float(len(fit_to_tokens("a b c d e f g h", str.split, 3))), 1.0]]
+
+
+def test_long_texts_can_be_embedded_whole(spark):
+    """With ``parts`` the tail of an over-long sentence counts; by default it is cut."""
+    head, tail = "alpha beta " * 300, "omega " * 300
+    row = (1, 1, head + tail, None, "a@b.c", "A", ["x"], "", False)
+    mails = spark.createDataFrame([row], "id long, account_id int, body_text string, subject string, from_email string, from_name string, labels array<string>, snippet string, has_attachments boolean")
+    limits = Limits(embed_max_tokens=200, chunk_target_tokens=150, embed_max_chars=900)
+    embed = HashEmbedder(64).embed
+    whole, cut = (
+        plan.transform(mails, EngineConfig(limits=replace(limits, long_texts=kind), dim=64)).first().body_pooled_embedding
+        for kind in ("parts", "prefix")
+    )
+    (omega,), slot = embed(["omega"]), lambda v: v[int(np.argmax(embed(["omega"])[0]))]
+    assert slot(omega) > 0 and slot(cut) == 0 and slot(whole) > 0.2
+    short = mails.withColumn("body_text", F.lit("alpha beta"))
+    same = [plan.transform(short, EngineConfig(limits=replace(limits, long_texts=k), dim=64)).first().body_embedding for k in ("parts", "prefix")]
+    assert same[0] == same[1]
