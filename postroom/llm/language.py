@@ -26,7 +26,7 @@ RANKED_APART = 64
 #: Added to every piece's count.
 SMOOTHING = 0.1
 #: Words whose scores a Python worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 UNDETERMINED = "und"
 #: Words of up to so many letters stay within the range of floating point without scaling.
 PLAIN_LETTERS = 28
