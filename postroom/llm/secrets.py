@@ -11,6 +11,8 @@ pattern, so running sums of both lengths give the places.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +87,7 @@ def rule_spans(text: Column, number: int, rule: Rule) -> Column:
 
 
 def scan_texts(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``texts`` (blob, text) to (blob, spans); spans by start, then kind as listed."""
+    """``texts`` (blob, text) to (blob, spans); spans by start, then kind as listed; none for null."""
     found = [rule_spans(F.col("text"), i, r) for i, r in enumerate(rules)]
     return texts.select("blob", F.array_sort(F.concat(*found)).alias("spans"))
 
@@ -102,16 +104,20 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame:
 def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
     """Scan the texts of ``versions`` (text) that the ledger lacks for this rule version; returns it.
 
-    The rows of one text meet in a partial aggregate, so thousands of copies shuffle as one row
-    per task.  A run that is repeated finds nothing to scan; one writer at a time may use a ledger.
-    Null texts count as empty.
+    A text that passes no rule's gate is done with where it is read: only its address goes on.  The
+    rows of one text meet in a partial aggregate, so thousands of copies shuffle as one row per task.
+    A run that is repeated finds nothing to scan; one writer at a time may use a ledger.  Null texts
+    count as empty.
     """
     spark = versions.sparkSession
     known = _ledger(spark, path).where(F.col("rule_version") == version).select("blob").distinct()
     text = F.coalesce("text", F.lit(""))
-    unseen = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text")).join(known, "blob", "left_anti")
-    blobs = unseen.groupBy("blob").agg(F.any_value("text").alias("text"))
-    scanned = scan_texts(blobs, rules).select("blob", F.lit(version).alias("rule_version"), "spans")
+    gate = reduce(or_, [F.regexp_like(text, F.lit(r.gate)) for r in rules])
+    addressed = versions.select(F.sha2(text, 256).alias("blob"), F.when(gate, text).alias("text"))
+    # Copies are merged before anything is joined: a join first would send them all to one task.
+    blobs = addressed.groupBy("blob").agg(F.any_value("text").alias("text"))
+    unseen = blobs.join(known, "blob", "left_anti")
+    scanned = scan_texts(unseen, rules).select("blob", F.lit(version).alias("rule_version"), "spans")
     scanned.write.mode("append").parquet(path)
     return spark.read.schema(LEDGER).parquet(path).where(F.col("rule_version") == version)
 
