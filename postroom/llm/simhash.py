@@ -48,17 +48,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, fp) of whole texts; null and empty texts give 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, fp, *keep) of whole texts; null and empty texts give 0."""
     prepare(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    names = ["doc_id", "fp", *keep]
+    ddl = ", ".join(["doc_id bigint, fp bigint", *[f"{c} {own.schema[c].dataType.simpleString()}" for c in keep]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             found = [fingerprint(t.as_py() or b"", shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return own.mapInArrow(run, ddl)
 
 
 def _signed(x: int) -> int:
@@ -134,6 +137,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return own.join(written(of_fp, "component-of-all"), "fp").select("doc_id", "fp", "component_id")
 
 
+def least_rows(docs: DataFrame, key: str, shingle: int = SHINGLE) -> DataFrame:
+    """The ``key`` of one row of each component: that of the least (doc_id, key), null ids last.
+
+    So a component that holds only null ids has a row too, and rows that share an id but belong to
+    different components are told apart.  ``key`` is a column without nulls.
+    """
+    own = written(fingerprints(docs, shingle, (key,)), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("least")
+    fps = written(own.groupBy("fp").agg(least), "distinct-fingerprints")
+    labels = components(close_edges(fps).union(odd_edges(fps))).withColumnRenamed("node", "fp")
+    named = fps.join(labels, "fp", "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("least").alias("least"))
+    return named.select(F.col(f"least.{key}").alias(key))
+
+
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))

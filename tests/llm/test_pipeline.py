@@ -60,3 +60,33 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, sf, tmp_path):
 def test_stage_names_and_rules():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_dedup", "decontamination", "secret_scan", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None and len(secrets.BASE) == 3
+
+
+def test_near_duplicates_keep_null_ids_and_texts_that_share_an_id(spark):
+    prepare(spark)
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    rows = [
+        (None, texts["a"], "alone"),
+        (None, texts["b"], "all null"), (None, texts["b"], "all null"),
+        (None, texts["c"], "null of 3"), (3, texts["c"], "3"), (5, texts["c"], "copy of 3"),
+        (5, texts["d"], "5"), (5, texts["e"], "other 5"), (5, texts["e"], "other 5"), (7, texts["e"], "copy of 5"),
+    ]
+    want = ["3", "5", "all null", "alone", "other 5"]
+    for n in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(n)
+        got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+        assert sorted(r.source for r in got) == want
+    # Rows that differ beside the text only: the same one at any order.
+    one = [(9, texts["a"], None, "x"), (9, texts["a"], "x", None), (None, texts["a"], "x", "x"), (9, texts["a"], "y", "x")]
+    ddl = "doc_id bigint, text string, lang string, source string"
+    picks = {tuple(corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(o, ddl).coalesce(1), "").first()) for o in (one, one[::-1])}
+    assert len(picks) == 1 and picks.pop()[0] == 9
+
+
+def test_leaks_drop_by_text_where_ids_are_null_or_shared(spark, tmp_path):
+    prepare(spark)
+    item = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    rows = [(None, f"some {item} more", "leak"), (None, "a clean text", "a"), (4, f"held {item}", "leak"), (4, "other clean text", "b"), (5, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert sorted(r.source for r in corpus_pipeline.drop_leaks(spark, docs, f"file://{tmp_path}").collect()) == ["a", "b", "c"]
