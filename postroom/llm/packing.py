@@ -30,7 +30,7 @@ END_ID = 2
 REMEMBERED = 600_000
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint, ids binary"
-_MEMORY: dict[str, tuple] = {}
+_MEMORY: dict[tuple[str, bool], Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -63,10 +63,11 @@ class Encoder:
     """Ids of a byte-level BPE as little-endian 32-bit bytes, remembered per pre-token.
 
     The merges of a byte-level BPE never cross its pre-tokens, so the ids of a text are those of
-    its pre-tokens in order.
+    its pre-tokens in order.  ``added``: the file's added tokens get their own ids, as in a plain
+    ``encode``; texts are cut at them first.  Otherwise their strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         if sys.byteorder != "little":
             raise RuntimeError("ids are kept in native order, which must be little-endian")
         import os
@@ -76,7 +77,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in tokens.items()}
+        # Tokens with further rules are left to the tokenizer, a whole text at a time.
+        ruled = any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in tokens.values())
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = None if ruled else re.compile(f"({'|'.join(map(re.escape, longest_first))})").split
         self.split_any = regex.compile(pre_token_pattern(r"\p{L}", r"\p{N}", r"\s")).findall
         # Unicode White_Space below NARROW.
         self.split_narrow = re.compile(pre_token_pattern(narrow_class("L"), narrow_class("N"), "\t-\r \x85\xa0")).findall
@@ -87,6 +94,14 @@ class Encoder:
         return self.split_narrow(text) if text.isascii() or not self.wide(text) else self.split_any(text)
 
     def __call__(self, text: str) -> bytes:
+        if not any(t in text for t in self.added):
+            return self.plain(text)
+        if self.cut is None:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(self.added[p] if k % 2 else self.plain(p) for k, p in enumerate(self.cut(text)))
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         parts, known = self.split(text), self.known
         new = set(parts).difference(known)
         if new:
@@ -99,13 +114,15 @@ class Encoder:
         return b"".join(map(known.__getitem__, parts))
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _MEMORY:
-        _MEMORY[path] = Encoder(path)
-    return _MEMORY[path]
+def _encoder(path: str, added: bool) -> Encoder:
+    if (path, added) not in _MEMORY:
+        _MEMORY[path, added] = Encoder(path, added)
+    return _MEMORY[path, added]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False, added: bool = False
+) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, part, place[, ids]) of tokenised documents.
 
     ``part`` is the task that made the row and ``place`` its number among that task's rows of
@@ -115,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = _encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = _encoder(tokenizer, added), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:
             out: list[tuple] = []
@@ -260,16 +277,22 @@ def slots(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 
 def pack(
-    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False
+    docs: DataFrame,
+    tokenizer: str | None = None,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+    keep_ids: bool = False,
+    added: bool = False,
 ) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]): one per piece.
 
     Null and empty texts give the end id alone.  A document longer than ``capacity`` is cut into
     pieces of ``capacity``, the first of which may be shorter.  Repeated rows and null ids are
     packed like any other row; equal lengths go by task and place; no rows give no rows; columns
-    other than doc_id and text are ignored.
+    other than doc_id and text are ignored.  ``added`` is that of ``Encoder``; the query and the
+    pipeline set it.
     """
-    cut = written(pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, keep_ids), "pieces")
+    cut = written(pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, keep_ids, added), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = written(counts, "piece-counts")
     histogram = np.zeros(capacity + 1, np.int64)
@@ -300,4 +323,4 @@ def pack(
 
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added=True)

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from postroom.llm import packing
 from postroom.llm.registry import QUERIES
 
@@ -102,3 +105,28 @@ def test_nulls_long_repeated_rows_and_odd_text(spark):
     check_seats(got, 1024)
     check_seats(packing.pack(docs, capacity=16).collect(), 16)
     assert packing.pack(docs.limit(0)).collect() == []
+
+
+def test_added_tokens_get_their_ids_as_in_a_plain_call(spark, tmp_path):
+    rng = random.Random(4)
+    path = packing.default_tokenizer()
+    more = json.loads(Path(path).read_text())
+    rules = dict(single_word=False, lstrip=False, rstrip=False, normalized=False, special=False)
+    more["added_tokens"] += [{"id": 60000 + k, "content": c, **rules} for k, c in enumerate(["<|a|>", "<|a|>b", "the"])]
+    (tmp_path / "more.json").write_text(json.dumps(more))
+    more["added_tokens"][-1] |= {"lstrip": True, "single_word": True}
+    (tmp_path / "ruled.json").write_text(json.dumps(more))
+    bits = ["<|endoftext|>", "<|a|>", "<|a|>b", "the", "<|", "|>", " ", "  ", "\n", "'s", "end of text", "x", "1", "\u4e2d", "<|endoftext|"]
+    texts = ["end of text <|endoftext|> and on", *("".join(rng.choices(bits, k=rng.randint(1, 12))) for _ in range(600))]
+    for file in (path, str(tmp_path / "more.json"), str(tmp_path / "ruled.json")):
+        tokenizer, encode = Tokenizer.from_file(file), packing.Encoder(file, added=True)
+        for text in texts:
+            assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), (file, text)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    plain = Tokenizer.from_file(path)
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert len(want[0]) == 8 and 50256 in want[0]
+    want = [(k, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for k, ids in enumerate(want)]
+    for got in (QUERIES["op10_packing"](spark, f"file://{tmp_path}"), corpus_pipeline.pack_sequences(spark, docs, "")):
+        assert sorted((r.doc_id, r.length, r.ids_crc32) for r in got.collect()) == want
