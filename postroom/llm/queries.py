@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postroom.llm import decontaminate, language, licenses, packing, periods, quality, secrets, simhash, tokencounts, topk, vectorpacking, warc
+from postroom.llm import conversations, decontaminate, language, licenses, packing, periods, quality, secrets, simhash, tokencounts, topk, vectorpacking, warc
 from postroom.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "decontaminate", "language", "licenses", "packing", "periods", "quality", "secrets", "simhash", "tokencounts", "topk", "vectorpacking", "warc"]
+__all__ = ["ORACLES", "QUERIES", "conversations", "decontaminate", "language", "licenses", "packing", "periods", "quality", "secrets", "simhash", "tokencounts", "topk", "vectorpacking", "warc"]
