@@ -93,62 +93,54 @@ class Packer:
     def pack(self, leave: int = 0) -> None:
         """Fill sequences until at most ``leave`` examples wait."""
         limits, waiting = self.limits, self.waiting
-        need = np.empty((len(waiting), 3))
-        alive = np.ones(len(waiting), bool)
         most = np.array([limits.tokens, limits.segments, limits.loss], float)
+        # Needs by example; one that is used up needs more than any sequence offers.
+        tokens = np.array([w.size - w.start for w in waiting], float)
+        loss = np.array([w.loss(w.start, w.size) for w in waiting], float)
+        weight = np.array([tokens.sum(), len(waiting), loss.sum()]) / most
+        weight /= max(weight.max(), 1e-12)
 
         def measure(i: int) -> None:
             w = waiting[i]
-            need[i] = (w.size - w.start, 1, w.loss(w.start, w.size))
+            tokens[i], loss[i] = w.size - w.start, w.loss(w.start, w.size)
 
-        for i in range(len(waiting)):
-            measure(i)
-        need /= most
-        weight = need.sum(0)
-        weight /= max(weight.max(initial=0), 1e-12)
         left = len(waiting)
         while left > leave:
             room = most.copy()
             placed: list[tuple[int, int, int]] = []
-            while room[0] > 0 and room[1] > 0:
-                fits = alive & (need <= room / most + 1e-12).all(1)
-                pull = need @ (weight * room / most)
-                if fits.any():
-                    i = int(np.where(fits, pull, -1).argmax())
+            while room[0] > 0 and room[1] > 0 and left:
+                by_token, by_segment, by_loss = weight * room / most**2
+                pull = tokens * by_token + loss * by_loss + by_segment
+                whole = np.where((tokens <= room[0]) & (loss <= room[2]), pull, -1)
+                i = int(whole.argmax())
+                if whole[i] >= 0:
                     end = waiting[i].size
-                elif alive.any():
-                    i = int(np.where(alive, pull, -1).argmax())
+                else:  # none fits whole: one is cut
+                    i = int(np.where(tokens < np.inf, pull, -1).argmax())
                     end = waiting[i].end_within(waiting[i].start, int(room[0]), int(room[2]))
                     if end <= waiting[i].start:
                         break  # no loss-bearing token fits any more
-                else:
-                    break
                 w = waiting[i]
                 placed.append((i, w.start, end))
                 room -= (end - w.start, 1, w.loss(w.start, end))
                 w.start = end
+                measure(i)
                 if w.start == w.size:
-                    alive[i] = False
+                    tokens[i] = np.inf
                     left -= 1
-                else:
-                    measure(i)
-                    need[i] /= most
             filled = limits.tokens - int(room[0])
             back = 0 if filled == limits.tokens else filled - (1 << (filled.bit_length() - 1))
             while back:  # only powers of two are not padded
                 i, start, end = placed.pop()
                 keep = max(start, end - back)
                 back -= end - keep
-                if not alive[i]:
-                    alive[i] = True
-                    left += 1
+                left += tokens[i] == np.inf
                 waiting[i].start = keep
                 measure(i)
-                need[i] /= most
                 if keep > start:
                     placed.append((i, start, keep))
             self.done.append([(waiting[i], start, end) for i, start, end in placed])
-        self.waiting = [w for w, a in zip(waiting, alive, strict=True) if a]
+        self.waiting = [w for w in waiting if w.start < w.size]
 
 
 def pack(
