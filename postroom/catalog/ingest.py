@@ -10,8 +10,8 @@ from postroom.operators import changes, labels, threads
 from postroom.plans import ingest
 from postroom.session import new_work_dir
 from postroom.sources import given, notices
-from postroom.sources.store import MailStore
-from postroom.streaming import feeds
+from postroom.sources.store import MESSAGES, TRANSFORMED, MailStore, batch_key
+from postroom.streaming import feeds, state
 
 _WITH = f"with {EMAILS_SQL}"
 
@@ -371,15 +371,40 @@ def stream_notifications(spark, sf):
     return spark.read.parquet(store.path("routed")).drop("batch")
 
 
-@query(
-    "stored_mail_state",
-    f"""with {_FEED_SQL},
+_STORED_SQL = f"""with {_FEED_SQL},
 folded as (
   select gmail_id, min(case when op = 'add' then seq end) as first_add, arg_max(op, seq) as last_op from feed group by gmail_id
 )
 select f.gmail_id, a.gmail_thread_id, a.account_id, f.last_op = 'delete' as deleted
-from folded f join feed a on a.gmail_id = f.gmail_id and a.seq = f.first_add""",
-)
+from folded f join feed a on a.gmail_id = f.gmail_id and a.seq = f.first_add"""
+
+
+def _parsed(found):
+    """Message rows out of feed rows: stands in for fetching, the message of an id comes with its first add."""
+    empty = F.array().cast("array<string>")
+    return found.select(
+        F.xxhash64("gmail_id").alias("id"), "account_id", "gmail_id", "gmail_thread_id",
+        F.col("seq").alias("history_id"), "subject", F.lit("a@b.example").alias("from_email"),
+        F.lit(None).cast("string").alias("from_name"), empty.alias("to_emails"),
+        empty.alias("cc_emails"), empty.alias("bcc_emails"),
+        F.lit(None).cast("string").alias("reply_to"), F.col("at").cast("timestamp").alias("sent_at"),
+        empty.alias("labels"), F.col("subject").alias("body_text"), F.lit("").alias("snippet"),
+        F.lit(False).alias("has_attachments"), F.lit(0).alias("attachment_count"), "seq",
+        F.array().cast(
+            "array<struct<gmail_attachment_id:string,filename:string,mime_type:string,size_bytes:int,is_inline:boolean>>"
+        ).alias("attachments"),
+    )
+
+
+def _state_of(store):
+    return store.emails().select("gmail_id", "gmail_thread_id", "account_id", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+def _buckets(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@query("stored_mail_state", _STORED_SQL)
 def stored_mail_state(spark, sf):
     """Feed to store and back: messages appended, log applied, state joined on read."""
     root = new_work_dir(spark, "store")
@@ -388,28 +413,86 @@ def stored_mail_state(spark, sf):
         "at", F.col("at").cast("timestamp")
     )
     full = given.change_feed(spark, sf)
+    feeds.run_to_end(
+        feeds.follow_changes(stream, store, f"{root}/checkpoint", lambda ids: _parsed(full.join(ids, ["gmail_id", "seq"])))
+    )
+    return _state_of(store)
+
+
+@query("compacted_mail_state", _STORED_SQL)
+def compacted_mail_state(spark, sf):
+    """The feed in three batches, folded into a snapshot after the first two: one state from snapshot and news."""
+    store = MailStore(spark, new_work_dir(spark, "store"), _buckets(spark))
+    feed = given.change_feed(spark, sf).withColumn("at", F.col("at").cast("timestamp"))
+    for n in range(3):
+        part = feed.where(F.col("seq") % 3 == n)
+        key = batch_key("all", "changes", n)
+        ingest.record_changes(store, part, key)
+        # The first add of all decides what a message looks like, whatever batch it comes in.
+        firsts = changes.change_state(feed).where("first_add is not null").select("gmail_id", F.col("first_add").alias("seq"))
+        ingest.insert_messages(store, _parsed(part.join(firsts, ["gmail_id", "seq"])), key)
+        if n < 2:
+            store.compact()
+            store.drop_old()
+    return _state_of(store)
 
-    def messages_of(ids):
-        # Stands in for fetching: the message of an id comes with its first add.
-        found = full.join(ids, ["gmail_id", "seq"])
-        empty = F.array().cast("array<string>")
-        return found.select(
-            F.xxhash64("gmail_id").alias("id"), "account_id", "gmail_id", "gmail_thread_id",
-            F.col("seq").alias("history_id"), "subject", F.lit("a@b.example").alias("from_email"),
-            F.lit(None).cast("string").alias("from_name"), empty.alias("to_emails"),
-            empty.alias("cc_emails"), empty.alias("bcc_emails"),
-            F.lit(None).cast("string").alias("reply_to"), F.col("at").cast("timestamp").alias("sent_at"),
-            empty.alias("labels"), F.col("subject").alias("body_text"), F.lit("").alias("snippet"),
-            F.lit(False).alias("has_attachments"), F.lit(0).alias("attachment_count"), "seq",
-            F.array().cast(
-                "array<struct<gmail_attachment_id:string,filename:string,mime_type:string,size_bytes:int,is_inline:boolean>>"
-            ).alias("attachments"),
-        )
-
-    feeds.run_to_end(feeds.follow_changes(stream, store, f"{root}/checkpoint", messages_of))
-    return store.emails().select(
-        "gmail_id",
-        "gmail_thread_id",
-        "account_id",
-        F.col("deleted_at").isNotNull().alias("deleted"),
+
+@query(
+    "colocated_mail",
+    f"""{_WITH}
+select gmail_id, account_id, length(body_text) as n_chars, deleted_at is not null as deleted,
+  case when id % 3 <> 2 then privacy_tier end as privacy_tier,
+  case when id % 3 <> 2 then length(body_redacted) end as n_redacted
+from emails_v""",
+)
+def colocated_mail(spark, sf):
+    """Mails, change states and results from one snapshot: joined bucket by bucket, without an exchange."""
+    return colocated_store(spark, sf).emails().select(
+        "gmail_id", "account_id", F.length("body_text").cast("long").alias("n_chars"), F.col("deleted_at").isNotNull().alias("deleted"),
+        "privacy_tier", F.length("body_redacted").cast("long").alias("n_redacted"),
+    )
+
+
+def colocated_store(spark, sf) -> MailStore:
+    """A store with one snapshot of the mail stand-in; a third of the mails has no result."""
+    store = MailStore(spark, new_work_dir(spark, "store"), _buckets(spark))
+    mails = given.emails(spark, sf, "id", "account_id", "gmail_id", "gmail_thread_id", "subject", "body_text", "sent_at", "deleted_at", "privacy_tier", "body_redacted")
+    at = F.coalesce(F.col("sent_at"), F.lit("2024-01-01").cast("timestamp_ntz")).cast("timestamp")
+    parsed = _parsed(mails.withColumns({"seq": F.col("id"), "at": at})).drop("id", "body_text", "attachments")
+    rows = mails.select("gmail_id", "id", "body_text").join(parsed, "gmail_id")
+    store.append("messages", rows.select([f.name for f in spark.createDataFrame([], MESSAGES).schema]), "batch", batch_key(1, "given", 0))
+    gone = mails.where("deleted_at is not null").select("gmail_id", F.lit("delete").alias("op"), F.col("id").alias("seq"), F.col("deleted_at").cast("timestamp").alias("at"))
+    ingest.record_changes(store, gone, batch_key(1, "given", 0))
+    have = {"id", "gmail_id", "privacy_tier", "body_redacted"}
+    kinds = spark.createDataFrame([], TRANSFORMED).schema
+    done = mails.where("id % 3 <> 2").select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds])
+    store.append("transformed", done, "run", store.claim("transformed"))
+    store.compact()
+    return store
+
+
+@query(
+    "stream_account_windows",
+    f"""with {_NOTICES_SQL}
+select account_id, first_id as start_history_id, last_id as end_history_id, last_id - first_id as span from (
+  select cast(r.account_id as bigint) as account_id, coalesce(max(case when c.c_acctbal > 0 then c.c_custkey * 3 end), 0) as first_id,
+    max(r.history_id) as last_id
+  from routed r join customer c on c.c_custkey = r.account_id where status = 'ok' group by r.account_id
+) where last_id > first_id""",
+)
+def stream_account_windows(spark, sf):
+    """Notices as a stream into cursors kept per account: the stretch of history each account has been asked for.
+
+    However the notices fall into micro-batches, an account's windows follow one another without gap or overlap.
+    """
+    root = new_work_dir(spark, "windows")
+    decoded = notices.decode(given.notifications(spark, sf, _event_stream(spark, sf)))
+    windows = state.account_windows(notices.route(decoded, given.accounts(spark, sf), with_cursor=True))
+    out = windows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    feeds.run_to_end(out.trigger(availableNow=True).start())
+    found = spark.read.schema(state.WINDOWS).parquet(f"{root}/out")
+    return found.groupBy("account_id").agg(
+        F.min("start_history_id").alias("start_history_id"),
+        F.max("end_history_id").alias("end_history_id"),
+        F.sum(F.col("end_history_id") - F.col("start_history_id")).alias("span"),
     )

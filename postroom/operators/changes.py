@@ -33,25 +33,55 @@ def new_messages(incoming: DataFrame, emails: DataFrame, order: str = "seq") ->
     return first_copies(incoming, order=order).join(live, "gmail_id", "left_anti")
 
 
-def change_state(feed: DataFrame) -> DataFrame:
-    """Net effect of a feed per message, from fixed-size aggregates only.
+def fold_changes(feed: DataFrame) -> DataFrame:
+    """A feed as one row of numbers and a time per message, in a form that merges with others (``merged_state``).
 
-    A delete before the first add has no effect on an empty store; the last delete
-    sets the time; an add after a delete brings the row back.  Of changes with one ``seq``
-    (a history record) adds come before deletes.  All buffers are numbers, so this is a
-    hash aggregate.
+    Of changes with one ``seq`` (a history record) adds come before deletes.  All buffers are
+    fixed-size, so this is a hash aggregate with partial sums before the shuffle.
     """
     add, delete = F.col("op") == "add", F.col("op") == "delete"
     nth = F.col("seq") * 2 + delete.cast("int")
-    folded = feed.groupBy("gmail_id").agg(
+    deleted = F.when(delete, F.col("seq"))
+    return feed.groupBy("gmail_id").agg(
         F.min(F.when(add, F.col("seq"))).alias("first_add"),
         F.count_if(add).alias("adds"),
         F.count_if(delete).alias("deletes"),
         F.max(F.when(add | delete, nth)).alias("last"),
-        F.max_by(F.when(delete, F.col("at")), F.when(delete, F.col("seq"))).alias("last_delete_at"),
+        F.max(deleted).alias("last_delete"),
+        F.max_by(F.when(delete, F.col("at")), deleted).alias("last_delete_at"),
     )
-    last_op = F.when(F.col("last") % 2 == 0, F.lit("add")).when(F.col("last") % 2 != 0, F.lit("delete"))
-    return folded.withColumn("last", last_op).withColumnRenamed("last", "last_op")
+
+
+def merged_state(older: str, newer: str) -> dict[str, Column]:
+    """Columns of the state of two joined states (aliases), either of which may be missing."""
+
+    def both(name: str) -> tuple[Column, Column]:
+        return F.col(f"{older}.{name}"), F.col(f"{newer}.{name}")
+
+    (a, b), zero = both("last_delete"), F.lit(0)
+    later = F.coalesce(b >= a, b.isNotNull())
+    return {
+        "first_add": F.least(*both("first_add")),
+        "adds": F.coalesce(both("adds")[0], zero) + F.coalesce(both("adds")[1], zero),
+        "deletes": F.coalesce(both("deletes")[0], zero) + F.coalesce(both("deletes")[1], zero),
+        "last": F.greatest(*both("last")),
+        "last_delete": F.greatest(a, b),
+        "last_delete_at": F.when(later, both("last_delete_at")[1]).otherwise(both("last_delete_at")[0]),
+    }
+
+
+def last_op(last: Column) -> Column:
+    return F.when(last % 2 == 0, F.lit("add")).when(last % 2 != 0, F.lit("delete"))
+
+
+def change_state(feed: DataFrame) -> DataFrame:
+    """Net effect of a feed per message, from fixed-size aggregates only.
+
+    A delete before the first add has no effect on an empty store; the last delete
+    sets the time; an add after a delete brings the row back.
+    """
+    folded = fold_changes(feed).drop("last_delete")
+    return folded.withColumn("last", last_op(F.col("last"))).withColumnRenamed("last", "last_op")
 
 
 def apply_state(stored: DataFrame, state: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 def refresh_labels(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Replace the labels of every account that ``incoming`` mentions.
 
@@ -32,3 +33,18 @@ def with_label_names(emails: DataFrame, labels: DataFrame) -> DataFrame:
     )
     named = F.transform("labels", lambda x: F.coalesce(F.element_at("names", x), x))
     return emails.join(maps, "account_id", "left").withColumn("labels", named).select(emails.columns)
+
+
+def with_label_names_by_id(emails: DataFrame, labels: DataFrame, key: str = "gmail_id") -> DataFrame:
+    """``with_label_names`` for whole mails with unique, non-null ``key``: only (key, account, label) rows move.
+
+    The dimension is joined by account and label, so neither an account with most of the mail nor one
+    with many labels fills a task; the names come back by ``key``, where co-located mails stay in place.
+    """
+    dimension = labels.groupBy("account_id", "label_id").agg(F.max("label_name").alias("label_name"))
+    used = emails.select(key, "account_id", F.posexplode("labels").alias("nth", "label_id"))
+    shown = F.coalesce("label_name", "label_id")
+    named = used.join(dimension, ["account_id", "label_id"], "left").groupBy(key)
+    named = named.agg(F.sort_array(F.collect_list(F.struct("nth", shown.alias("name")))).alias("_named"))
+    resolved = F.when(F.size("labels") > 0, F.transform("_named", lambda n: n["name"])).otherwise(F.col("labels"))
+    return emails.join(named, key, "left").withColumn("labels", resolved).select(emails.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from postroom.functions import headers, mime
 from postroom.operators.changes import first_copies
-from postroom.sources.store import MailStore, batch_key
+from postroom.sources.store import MESSAGES, MailStore, batch_key
 
 _MESSAGE = T.StructType(
     [
@@ -89,15 +89,16 @@ def attachment_rows(parsed: DataFrame) -> DataFrame:
     return parsed.select("gmail_id", F.explode("attachments").alias("a")).select("gmail_id", "a.*")
 
 
-def insert_messages(store: MailStore, parsed: DataFrame, batch: str) -> DataFrame:
+def insert_messages(store: MailStore, parsed: DataFrame, batch: str, checked: bool = True) -> DataFrame:
     """Append messages that are not stored yet; returns the rows of this batch (see ``batch_key``).
 
     A stored id is never inserted twice, not even after a delete: a re-add brings the
-    stored row back through the change log.
+    stored row back through the change log.  ``checked=False``: the caller knows that no id is stored.
     """
-    known = store.read("messages", "gmail_id string", "batch").where(F.col("batch") != F.lit(batch))
-    fresh = first_copies(parsed).join(known.select("gmail_id"), "gmail_id", "left_anti")
-    columns = [f.name for f in store.messages().schema]
+    fresh = first_copies(parsed)
+    if checked:
+        fresh = fresh.join(store.stored_ids(without=batch), "gmail_id", "left_anti")
+    columns = [f.name for f in store.spark.createDataFrame([], MESSAGES).schema]
     # Both tables come from one written copy, so payloads are parsed once.
     store.append("staged", fresh, "batch", batch)
     staged = store.spark.read.parquet(f"{store.path('staged')}/batch={batch}")

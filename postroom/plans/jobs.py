@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postroom.operators import aggregates
-from postroom.operators.labels import refresh_labels, with_label_names
+from postroom.operators.labels import refresh_labels, with_label_names_by_id
 from postroom.plans import ingest
 from postroom.plans import transform as plan
 from postroom.plans.config import EngineConfig
 from postroom.session import ship_package
-from postroom.sources.store import TRANSFORMED, MailStore, batch_key
+from postroom.sources.store import MESSAGES, TRANSFORMED, MailStore, batch_key
 
 LABELS = "account_id int, label_id string, label_name string"
 
@@ -55,18 +53,24 @@ def run_transform(
     force: bool = False,
     limit: int | None = None,
     run: int | None = None,
+    batch: str | None = None,
 ) -> dict[str, int]:
     """Transform what has no result yet; a second run finds nothing to do.
 
-    Results are written once; counters and chunks are read back from that copy.
+    With ``batch`` only that batch's messages are looked at, whatever the store holds: the form for
+    micro-batches.  What fails there is left to the next run without ``batch``.  Results are written
+    once; counters and chunks are read back from that copy.
     """
     ship_package(store.spark)
-    run = run or int(time.time() * 1000)
-    # Whole mails are read only for the ids that narrow columns have picked.
-    ids = plan.worklist(store.states(), account_id, email_id, force, limit).select("id")
-    todo = store.messages().join(ids, "id", "left_semi")
-    named = with_label_names(todo, store.newest("labels", LABELS))
-    results = plan.transform(named, config).withColumn("completed_at", F.current_timestamp())
+    run = store.claim("transformed", run)
+    if batch is None:
+        # Whole mails are read only for the ids that narrow columns have picked.
+        ids = plan.worklist(store.states(), account_id, email_id, force, limit).select("gmail_id")
+        todo = store.messages().join(ids, "gmail_id", "left_semi")
+    else:
+        todo = store.read("messages", MESSAGES, "batch", [f"batch={batch}"]).drop("batch").where("body_text is not null")
+    named = with_label_names_by_id(todo, store.newest("labels", LABELS))
+    results = plan.transform(named, config, keep=("gmail_id",)).withColumn("completed_at", F.current_timestamp())
     columns = [f.name for f in store.spark.createDataFrame([], TRANSFORMED).schema]
     store.append("transformed", results.select(*columns), "run", run)
     written = store.spark.read.schema(TRANSFORMED).parquet(f"{store.path('transformed')}/run={run}")

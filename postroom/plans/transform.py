@@ -231,8 +231,9 @@ def embed(prepared: DataFrame, config: EngineConfig) -> DataFrame:
     return with_vectors.withColumn("problem", problem)
 
 
-def transform(emails: DataFrame, config: EngineConfig) -> DataFrame:
-    return embed(prepare(emails, config), config).select(*RESULT_COLUMNS)
+def transform(emails: DataFrame, config: EngineConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Results per mail, with the columns ``keep`` of the mail."""
+    return embed(prepare(emails, config), config).select(*RESULT_COLUMNS, *keep)
 
 
 def chunk_rows(results: DataFrame) -> DataFrame:

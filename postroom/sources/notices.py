@@ -31,12 +31,13 @@ def decode(raw: DataFrame, data: str = "data") -> DataFrame:
     )
 
 
-def route(decoded: DataFrame, accounts: DataFrame) -> DataFrame:
+def route(decoded: DataFrame, accounts: DataFrame, with_cursor: bool = False) -> DataFrame:
     """Attach the account and the cursor to start from; unknown addresses are ignored.
 
     The stored cursor wins over the notification's own history id.  One busy account may
     send a third of all notices, so notices are salted and the accounts (one row per
     address) copied per salt; micro-batches have no adaptive skew handling to rely on.
+    ``with_cursor`` adds the account's own ``last_history_id``.
     """
     known = accounts.select(
         F.col("email_address"),
@@ -58,6 +59,7 @@ def route(decoded: DataFrame, accounts: DataFrame) -> DataFrame:
             F.col("account_id").isNotNull(),
             F.coalesce(F.nullif(F.col("last_history_id"), F.lit(0).cast("long")), F.col("history_id")),
         ).alias("start_history_id"),
+        *["last_history_id"] * with_cursor,
     )
 
 

@@ -1,16 +1,17 @@
-"""Notifications to stored and transformed mail: one job per micro-batch for all its accounts.
+"""Notifications to stored and transformed mail, as two streams over one store.
 
-notice -> account and cursor -> history (or a full listing without a cursor) -> change log ->
-fetch of what is not stored -> messages -> transform.  Every step works on all accounts of the
-batch at once; clients are opened in tasks.  A failing account is recorded and keeps its cursor, so
-its next notice starts from there again.
+``follow_histories``: notice -> account -> history (or a full listing without a cursor) -> change log.
+``follow_new_mail``: history -> ids never seen before -> fetch -> messages -> transform.
+
+Cursors, retries and known ids are state of the streams, so a micro-batch costs what it brings, whatever
+the store holds.  Clients are opened in tasks.  A failing account is recorded, keeps its cursor and is
+tried again; a message that cannot be fetched is tried again with the next batch.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
-from datetime import UTC, datetime
+from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
@@ -23,50 +24,14 @@ from postroom.plans import ingest, jobs
 from postroom.plans.config import EngineConfig
 from postroom.session import ship_package
 from postroom.sources import notices
-from postroom.sources.mailbox import history_changes, pages
 from postroom.sources.store import MailStore, batch_key
+from postroom.streaming import state
 from postroom.streaming.feeds import ONCE, _start, stream_run
 
 #: An account's client is opened by its id; it has the methods of ``sources.mailbox``.
 OpenClient = Callable[[int], Any]
 
-HISTORY = "account_id int, event_type string, gmail_id string, op string, seq long, at timestamp, cursor long, problem string"
-CURSORS = "account_id int, last_history_id long"
-
-
-def account_changes(client: Any, start: int | None) -> Iterator[tuple]:
-    """(gmail_id, op, seq, cursor): the history since ``start``, or every message without one.
-
-    The cursor is read first, so what arrives meanwhile is read again rather than missed.  A last
-    row without an id carries the cursor of an account that has no changes.
-    """
-    cursor = int(client.get_profile()["historyId"])
-    if start:
-        for page in pages(lambda token: client.get_history(start, token)):
-            yield from ((*change[:3], cursor) for change in history_changes(page))
-    else:
-        for page in pages(client.list_messages):
-            yield from ((m["id"], "add", cursor, cursor) for m in page.get("messages") or [])
-    yield None, None, None, cursor
-
-
-def read_history(accounts: DataFrame, open_client: OpenClient) -> DataFrame:
-    """Changes of ``accounts`` (account_id, start_history_id), one account per task at a time."""
-
-    def run(batches):
-        for batch in batches:
-            for account, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, kind = datetime.now(UTC), "incremental" if start else "full_sync"
-                try:
-                    rows = [(account, kind, i, op, seq, at, cursor, None) for i, op, seq, cursor in account_changes(open_client(account), start)]
-                except Exception as e:  # recorded for this account; the others go on
-                    rows = [(account, kind, None, None, None, at, None, f"{type(e).__name__}: {e}")]
-                kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.int64(), pa.string()]
-                names = [f.split()[0] for f in HISTORY.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    wide = accounts.select(F.col("account_id").cast("int"), F.col("start_history_id").cast("long")).repartition("account_id")
-    return wide.mapInArrow(run, HISTORY)
+FETCHED = "account_id int, gmail_id string, seq long, json string, problem string"
 
 
 def fetch(ids: DataFrame, open_client: OpenClient) -> DataFrame:
@@ -89,78 +54,115 @@ def fetch(ids: DataFrame, open_client: OpenClient) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "json", "problem"])
 
     # Ids come from few tasks (a listing is a chain of pages): spread them before fetching.
-    spread_out = ids.select("account_id", "gmail_id", "seq").repartition("account_id", "gmail_id")
-    return spread_out.mapInArrow(run, "account_id int, gmail_id string, seq long, json string, problem string")
+    spread_out = ids.select(F.col("account_id").cast("int"), "gmail_id", "seq").repartition("account_id", "gmail_id")
+    return spread_out.mapInArrow(run, FETCHED)
 
 
 def cursors(store: MailStore) -> DataFrame:
-    """The furthest history id that has been stored per account."""
-    return store.read("cursors", CURSORS, "batch").groupBy("account_id").agg(F.max("last_history_id").alias("last_history_id"))
+    """The furthest history id that has been read per account."""
+    done = store.read("history", state.HISTORY, "batch").where("status = 'completed'")
+    return done.groupBy(F.col("account_id").cast("int").alias("account_id")).agg(F.max("cursor").alias("last_history_id"))
 
 
 def with_cursors(accounts: DataFrame, store: MailStore) -> DataFrame:
-    """``accounts`` with the stored cursor where it is further than the account's own."""
+    """``accounts`` with the stored cursor where it is further than the account's own: for a new checkpoint."""
     own = cursors(store).select(F.col("account_id").alias("id"), F.col("last_history_id").alias("_stored"))
     joined = accounts.join(own, "id", "left")
     return joined.withColumn("last_history_id", F.greatest("last_history_id", "_stored")).drop("_stored").select(accounts.columns)
 
 
-def sync_accounts(store: MailStore, to_sync: DataFrame, open_client: OpenClient, key: str) -> None:
-    """Store what changed in the accounts (account_id, start_history_id) and record how it went."""
-    ship_package(store.spark)
-    store.append("history", read_history(to_sync, open_client), "batch", key)
-    read = store.read("history", HISTORY, "batch").where(F.col("batch") == key).drop("batch")
-    feed = read.where("gmail_id is not null")
-    ingest.record_changes(store, feed, key)
-
-    added = change_state(feed).where("first_add is not null and last_op = 'add'").select("gmail_id", F.col("first_add").alias("seq"))
-    owner = feed.groupBy("gmail_id").agg(F.min("account_id").alias("account_id"))
-    known = store.read("messages", "gmail_id string", "batch").where(F.col("batch") != key).select("gmail_id")
-    ids = added.join(owner, "gmail_id").join(known, "gmail_id", "left_anti")
-    store.append("fetched", fetch(ids, open_client), "batch", key)
-    got = store.spark.read.parquet(f"{store.path('fetched')}/batch={key}")
-    ingest.insert_messages(store, ingest.parse_messages(got.where("json is not null").select("account_id", "seq", "json")), key)
-
-    stored = got.groupBy("account_id").agg(F.count("json").alias("n"), F.count("problem").alias("failed"))
-    per_account = read.groupBy("account_id").agg(
-        F.max("event_type").alias("event_type"), F.max("problem").alias("problem"), F.max("cursor").alias("cursor"), F.max("at").alias("at")
-    )
-    summed = per_account.join(stored, "account_id", "left")
-    # A message that could not be fetched holds the cursor back, so the next notice asks for it again.
-    lost = F.when(F.col("failed") > 0, F.concat(F.col("failed"), F.lit(" messages could not be fetched")))
-    error = F.coalesce("problem", lost)
-    events = summed.select(
-        "account_id",
-        "event_type",
-        F.when(error.isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("emails_processed"),
-        error.alias("error_message"),
-        F.lit(None).cast("long").alias("batch"),
-        "at",
-    )
-    store.append("sync_events/phase=finished", events, "writer", key)
-    moved = summed.where(error.isNull() & F.col("cursor").isNotNull())
-    store.append("cursors", moved.select("account_id", F.col("cursor").alias("last_history_id")), "batch", key)
-
-
-def follow_mailboxes(
+def follow_histories(
     raw: DataFrame,
     accounts: DataFrame,
     store: MailStore,
     open_client: OpenClient,
     checkpoint: str,
-    config: EngineConfig | None = None,
+    retry_seconds: float = 60,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """From notifications to searchable mail; without ``config`` nothing is transformed."""
+    """From notifications to the change log; how each account went is a row of ``sync_events``.
+
+    Without ``trigger`` one batch takes all there is and every retry that is due (a stream with timers
+    never runs out of batches, so ``availableNow`` would not end).
+    """
+    ship_package(raw.sparkSession)
+    history = state.account_history(notices.route(notices.decode(raw), accounts), open_client, retry_seconds)
 
     def each(batch: DataFrame, number: int) -> None:
         key = batch_key("all", "notices", number, stream_run(batch.sparkSession, checkpoint))
-        routed = notices.route(notices.decode(batch), with_cursors(accounts, store))
-        store.append("routed", routed, "batch", key)
-        kept = batch.sparkSession.read.parquet(f"{store.path('routed')}/batch={key}")
-        sync_accounts(store, notices.accounts_to_sync(kept), open_client, key)
+        store.append("history", batch, "batch", key)
+        read = store.read("history", state.HISTORY, "batch", [f"batch={key}"])
+        feed = read.where("gmail_id is not null")
+        ingest.record_changes(store, feed, key)
+        owner = feed.groupBy("gmail_id").agg(F.min("account_id").alias("account_id"))
+        net = change_state(feed).where("first_add is not null and last_op = 'add'").select("gmail_id")
+        added = net.join(owner, "gmail_id").groupBy("account_id").agg(F.count("*").alias("n"))
+        ended = read.where("status is not null").groupBy("account_id").agg(
+            F.max("event_type").alias("event_type"), F.max_by("status", "at").alias("status"), F.max_by("problem", "at").alias("problem"), F.max("at").alias("at")
+        )
+        events = ended.join(added, "account_id", "left").select(
+            F.col("account_id").cast("int").alias("account_id"),
+            "event_type",
+            "status",
+            F.when(F.col("status") == "completed", F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("emails_processed"),
+            F.col("problem").alias("error_message"),
+            F.lit(None).cast("long").alias("batch"),
+            "at",
+        )
+        store.append("sync_events/phase=finished", events, "writer", key)
+
+    return _start(history, checkpoint, each, trigger or {"once": True})
+
+
+def follow_new_mail(
+    store: MailStore,
+    open_client: OpenClient,
+    checkpoint: str,
+    config: EngineConfig | None = None,
+    exclusive: bool = True,
+    files_per_batch: int = 1000,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """From the history to stored and, with ``config``, transformed mail.
+
+    ``exclusive``: only this stream stores messages, so ids it has not seen are new.  Otherwise a batch
+    is also held against all stored ids.  Ids that a batch could not fetch come along with the next.
+    """
+    spark = store.spark
+    ship_package(spark)
+    fs, folder = store._fs(store.path("history"))
+    fs.mkdirs(folder)
+    schema = spark.createDataFrame([], state.HISTORY).schema.add("batch", "string")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(store.path("history"))
+    fresh = state.first_adds(source).select(F.col("account_id").cast("int"), "gmail_id", "seq")
+
+    def each(batch: DataFrame, number: int) -> None:
+        run = stream_run(batch.sparkSession, checkpoint)
+        key, before = (batch_key("all", "mail", n, run) for n in (number, number - 1))
+        asked = batch
+        if store.exists(f"{store.path('fetched')}/batch={before}"):
+            lost = store.read("fetched", FETCHED, "batch", [f"batch={before}"]).where("problem is not null")
+            asked = asked.union(lost.select("account_id", "gmail_id", "seq"))
+        store.append("fetched", fetch(asked, open_client), "batch", key)
+        got = store.read("fetched", FETCHED, "batch", [f"batch={key}"]).where("json is not null")
+        ingest.insert_messages(store, ingest.parse_messages(got.select("account_id", "seq", "json")), key, checked=not exclusive)
         if config is not None:
-            jobs.run_transform(store, config)
+            jobs.run_transform(store, config, batch=key)
+
+    return _start(fresh, checkpoint, each, trigger or ONCE)
 
-    return _start(raw, checkpoint, each, trigger or ONCE)
+
+def follow_mailboxes(
+    raw: DataFrame,
+    accounts: DataFrame,
+    store: MailStore,
+    open_client: OpenClient,
+    checkpoint: str,
+    config: EngineConfig | None = None,
+    trigger: dict | None = None,
+) -> tuple[StreamingQuery, StreamingQuery]:
+    """Both streams, from notifications to searchable mail; without ``trigger`` the first runs to its end first."""
+    histories = follow_histories(raw, accounts, store, open_client, f"{checkpoint}/histories", trigger=trigger)
+    if trigger is None:
+        histories.awaitTermination()
+    return histories, follow_new_mail(store, open_client, f"{checkpoint}/mail", config, trigger=trigger)

@@ -283,10 +283,10 @@ def test_notices_to_transformed_mail(spark, tmp_path, config):
     raw.write.parquet(folder)
     accounts = spark.createDataFrame([(1, "a@x", 10), (2, "b@x", None), (3, "c@x", 5)], "id int, email_address string, last_history_id long")
     s = MailStore(spark, str(tmp_path / "data"))
-    open_client = Mailboxes
-    for _ in range(2):  # the second run of the same stream has nothing to do
+    for _ in range(2):  # the second run of the same streams has nothing to do
         stream = feeds.parquet_stream(spark, folder, raw.schema)
-        feeds.run_to_end(chain.follow_mailboxes(stream, accounts, s, open_client, str(tmp_path / "checkpoint"), config))
+        for query in chain.follow_mailboxes(stream, accounts, s, Mailboxes, str(tmp_path / "checkpoint"), config):
+            feeds.run_to_end(query)
     mails = {r.gmail_id: (r.account_id, r.deleted_at is not None, r.transform_completed_at is not None) for r in s.emails().collect()}
     assert mails == {"m1": (1, False, True), "m2": (1, False, True), "m3": (2, False, True), "m4": (2, False, True)}
     events = {r.account_id: (r.event_type, r.status, r.emails_processed) for r in spark.read.parquet(s.path("sync_events")).collect()}
