@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(MailEngine.capabilities(), indent=2))
     else:
         labels = store.newest("labels", jobs.LABELS)
-        engine = MailEngine(store.served(), labels, config, store.postings())
+        engine = MailEngine(store.served(), labels, config, store.index())
         if args.command == "validate":
             for line in engine.report().orderBy("account_id").toJSON().toLocalIterator():
                 print(line)

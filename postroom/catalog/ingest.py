@@ -442,35 +442,54 @@ def compacted_mail_state(spark, sf):
     f"""{_WITH}
 select gmail_id, account_id, length(body_text) as n_chars, deleted_at is not null as deleted,
   case when id % 3 <> 2 then privacy_tier end as privacy_tier,
-  case when id % 3 <> 2 then length(body_redacted) end as n_redacted
+  case when id % 3 <> 2 then snippet_redacted end as snippet_redacted
 from emails_v""",
 )
 def colocated_mail(spark, sf):
     """Mails, change states and results from one snapshot: joined bucket by bucket, without an exchange."""
     return colocated_store(spark, sf).emails().select(
         "gmail_id", "account_id", F.length("body_text").cast("long").alias("n_chars"), F.col("deleted_at").isNotNull().alias("deleted"),
-        "privacy_tier", F.length("body_redacted").cast("long").alias("n_redacted"),
+        "privacy_tier", "snippet_redacted",
     )
 
 
 def colocated_store(spark, sf) -> MailStore:
     """A store with one snapshot of the mail stand-in; a third of the mails has no result."""
     store = MailStore(spark, new_work_dir(spark, "store"), _buckets(spark))
-    mails = given.emails(spark, sf, "id", "account_id", "gmail_id", "gmail_thread_id", "subject", "body_text", "sent_at", "deleted_at", "privacy_tier", "body_redacted")
-    at = F.coalesce(F.col("sent_at"), F.lit("2024-01-01").cast("timestamp_ntz")).cast("timestamp")
-    parsed = _parsed(mails.withColumns({"seq": F.col("id"), "at": at})).drop("id", "body_text", "attachments")
-    rows = mails.select("gmail_id", "id", "body_text").join(parsed, "gmail_id")
-    store.append("messages", rows.select([f.name for f in spark.createDataFrame([], MESSAGES).schema]), "batch", batch_key(1, "given", 0))
-    gone = mails.where("deleted_at is not null").select("gmail_id", F.lit("delete").alias("op"), F.col("id").alias("seq"), F.col("deleted_at").cast("timestamp").alias("at"))
-    ingest.record_changes(store, gone, batch_key(1, "given", 0))
-    have = {"id", "gmail_id", "privacy_tier", "body_redacted"}
+    # Bodies are read by one job alone; what else is known of a mail comes from narrow columns.
+    _put_mails(store, given.emails(spark, sf, *given.BASE), batch_key(1, "given", 0))
+    _put_deletes(store, given.emails(spark, sf, "id", "gmail_id", "deleted_at"))
+    tiers = given.emails(spark, sf, "id", "gmail_id", "privacy_tier", "snippet_redacted").where("id % 3 <> 2")
     kinds = spark.createDataFrame([], TRANSFORMED).schema
-    done = mails.where("id % 3 <> 2").select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds])
+    done = tiers.select(*[F.col(f.name) if f.name in tiers.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds])
     store.append("transformed", done, "run", store.claim("transformed"))
     store.compact()
     return store
 
 
+def batched_store(spark, sf, batches: int) -> MailStore:
+    """A store whose mails come in batches by their number, indexed after each; deletes come last."""
+    store = MailStore(spark, new_work_dir(spark, "store"), _buckets(spark))
+    mails = given.emails(spark, sf, *given.BASE, "sent_at")
+    for n in range(batches):
+        _put_mails(store, mails.where(F.pmod("id", F.lit(batches)) == n), batch_key(1, "given", n))
+        store.index_news()
+    _put_deletes(store, given.emails(spark, sf, "id", "gmail_id", "deleted_at"))
+    return store
+
+
+def _put_mails(store, mails, key: str) -> None:
+    kinds = store.spark.createDataFrame([], MESSAGES).schema
+    rows = [F.col(f.name).cast(f.dataType) if f.name in mails.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in kinds]
+    store.append("messages", mails.select(*rows), "batch", key)
+
+
+def _put_deletes(store, mails) -> None:
+    gone = mails.where("deleted_at is not null")
+    feed = gone.select("gmail_id", F.lit("delete").alias("op"), F.col("id").alias("seq"), F.col("deleted_at").cast("timestamp").alias("at"))
+    ingest.record_changes(store, feed, batch_key(1, "given", 0))
+
+
 @query(
     "stream_account_windows",
     f"""with {_NOTICES_SQL}

@@ -401,13 +401,28 @@ select id, round(rank, 6) as rank from ranked""",
 )
 def postings_search(spark, sf):
     """The same rank through the written inverted index."""
-    from postroom.operators.postings import search_postings, write_postings
+    from postroom.operators.postings import search_segments, write_segment
     from postroom.session import new_work_dir
 
-    path = new_work_dir(spark, "postings")
-    write_postings(given.emails(spark, sf, "id", *_TEXT_COLUMNS), path, buckets=8)
-    found = search_postings(spark, path, "der die", buckets=8)
-    return found.select("id", F.round("rank", 6).alias("rank"))
+    segment = write_segment(given.emails(spark, sf, "id", *_TEXT_COLUMNS), new_work_dir(spark, "postings"))
+    return search_segments(spark, [segment], "der die").select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(
+    "segmented_search",
+    f"""{_WITH}, {_cover_sql("der", "nicht").replace("from searchable", "from emails_v where body_text is not null and deleted_at is null")}
+select id, round(greatest(0.1, least(1.0, rank)), 6) as score from ranked
+order by round(rank, 9) desc, sent_at desc nulls last, id limit 50""",
+)
+def segmented_search(spark, sf):
+    """Mail that comes in three batches, a segment each; deleted mail is not found."""
+    from postroom.catalog.ingest import batched_store
+    from postroom.operators.postings import search_segments
+
+    store = batched_store(spark, sf, 3)
+    matching = store.emails().where("deleted_at is null")
+    hits = search_segments(spark, store.index(), "der, NICHT der", "gmail_id")
+    return search.fulltext_top(matching, "der, NICHT der", 50, hits).select("id", F.round("score", 6).alias("score"))
 
 
 # ---- fusion ----------------------------------------------------------------------

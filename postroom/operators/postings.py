@@ -1,68 +1,117 @@
-"""A stored inverted index: the counterpart of a full-text index on the email table.
+"""A stored inverted index in segments: the counterpart of a full-text index on the email table.
 
-Postings are written partitioned by a hash of the lexeme, so a query reads only its
-words' partitions.  Tasks take ranges of (bucket, lexeme, id), so a frequent word is split
-over as many of them as its occurrences need.
+A segment holds the words of some mails: one row per word and mail with the word's positions, in
+folders by a hash of the word, so a query reads only its words' folders, and in them only the row groups
+of its words.  New mails make a new segment; segments of one size class are merged when there are
+enough of them, so a mail is rewritten a number of times that grows with the logarithm of the store.
+Deleted mails are left out when hits meet the mails' state, so a delete writes nothing here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom.functions import fulltext as ft
 
-BUCKETS = 256
+#: A folder of a segment holds about this many rows, and there are at most so many of them.
+ROWS_PER_BUCKET, MOST_BUCKETS = 4_000_000, 256
+#: A frequent word's rows are dealt over so many tasks.
+SALTS = 16
+#: So many segments of one size class are merged into one of the next.
+TIER = 8
+
+
+@dataclass(frozen=True)
+class Segment:
+    """A written segment: its folder, number of word folders, and number of rows."""
 
+    path: str
+    buckets: int
+    rows: int
 
-def email_text():
+    @property
+    def tier(self) -> int:
+        n, tier = max(1, self.rows), 0
+        while n >= TIER:
+            n, tier = n // TIER, tier + 1
+        return tier
+
+
+def email_text() -> Column:
     return ft.document_text(*[F.col(c) for c in ("subject", "from_email", "from_name", "body_text")])
 
 
-def postings(emails: DataFrame) -> DataFrame:
+def postings(emails: DataFrame, key: str = "id") -> DataFrame:
     """(id, lexeme, position): one row per word occurrence, straight from the scan."""
-    return emails.select("id", F.posexplode(ft.lexemes(email_text())).alias("position", "lexeme"))
+    return emails.select(key, F.posexplode(ft.lexemes(email_text())).alias("position", "lexeme"))
 
 
-def lexeme_bucket(lexeme, buckets: int = BUCKETS):
+def _bucket(lexeme: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
-def write_postings(emails: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Write the index; ``buckets`` is a property of the index that readers must repeat."""
-    bucket = lexeme_bucket(F.col("lexeme"), buckets)
-    (
-        postings(emails.where(F.col("body_text").isNotNull()))
-        .withColumn("bucket", bucket)
-        .repartitionByRange("bucket", "lexeme", "id")
-        .sortWithinPartitions("bucket", "lexeme", "id", "position")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+def _write(rows: DataFrame, key: str, path: str, buckets: int) -> int:
+    """Rows (key, lexeme, positions or position) into a segment; the number of its rows."""
+    # The salt comes from the mail, so one exchange serves both the grouping and the writing.
+    dealt = rows.withColumns({"bucket": _bucket(F.col("lexeme"), buckets), "salt": F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")}).repartition("bucket", "salt")
+    if "position" in rows.columns:
+        # A mail's positions of one word are bounded by its own length.
+        dealt = dealt.groupBy("bucket", "salt", "lexeme", key).agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    dealt.drop("salt").sortWithinPartitions("bucket", "lexeme", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return rows.sparkSession.read.parquet(path).count()  # from the footers
+
+
+def write_segment(emails: DataFrame, path: str, key: str = "id", buckets: int | None = None) -> Segment:
+    """Index mails with a body; ``buckets`` follows the number of mails unless it is given."""
+    mails = emails.where(F.col("body_text").isNotNull())
+    if buckets is None:
+        words = 200 * mails.select(key).count()  # a rough size is enough
+        buckets = min(MOST_BUCKETS, 1 + words // ROWS_PER_BUCKET)
+    return Segment(path, buckets, _write(postings(mails, key), key, path, buckets))
+
+
+def merge_segments(spark: SparkSession, segments: list[Segment], path: str, key: str) -> Segment:
+    """One segment with the rows of several; no text is read."""
+    buckets = min(MOST_BUCKETS, 1 + sum(s.rows for s in segments) // ROWS_PER_BUCKET)
+    rows = spark.read.parquet(segments[0].path).drop("bucket")
+    for s in segments[1:]:
+        rows = rows.unionByName(spark.read.parquet(s.path).drop("bucket"))
+    return Segment(path, buckets, _write(rows, key, path, buckets))
+
+
+def to_merge(segments: list[Segment]) -> list[Segment]:
+    """The segments of the smallest size class that has enough of them."""
+    for tier in sorted({s.tier for s in segments}):
+        own = [s for s in segments if s.tier == tier]
+        if len(own) >= TIER:
+            return own
+    return []
 
 
-def search_postings(spark, path: str, query: str, buckets: int = BUCKETS) -> DataFrame:
-    """(id, rank) of the emails that hold every query word.
+def search_segments(spark: SparkSession, segments: list[Segment], query: str, key: str = "id") -> DataFrame:
+    """(key, rank) of the mails that hold every query word.
 
-    Buckets and lexemes are literals, so only the words' partitions and row groups are
-    read; the shuffle is by email id.
+    Folders and words are literals, so only the words' row groups are read; the shuffle is by mail.
+    One word needs no position: its rank is its number of occurrences.
     """
     terms = ft.query_terms(query)
-    index = spark.read.parquet(path)
-    if not terms:
-        return index.where(F.lit(False)).select("id", F.lit(0.0).alias("rank"))
-    # Constant expressions: the optimizer folds them, so partitions are pruned statically.
-    wanted = [lexeme_bucket(F.lit(t), buckets) for t in terms]
-    hits = index.where(F.col("bucket").isin(wanted) & F.col("lexeme").isin(terms))
-    if len(terms) == 1:
-        return hits.groupBy("id").agg((F.count("*") * F.lit(ft.LEXEME_WEIGHT)).alias("rank"))
+    hits = None
+    for s in segments:
+        index = spark.read.parquet(s.path)
+        # Constant expressions: the optimizer folds them, so folders are pruned statically.
+        wanted = [_bucket(F.lit(t), s.buckets) for t in terms]
+        own = index.where(F.col("bucket").isin(wanted) & F.col("lexeme").isin(terms)) if terms else index.where(F.lit(False))
+        own = own.select(key, "lexeme", "positions")
+        hits = own if hits is None else hits.unionByName(own)
+    if hits is None:
+        return spark.createDataFrame([], f"{key} string, rank double")
+    if len(terms) <= 1:
+        return hits.select(key, (F.size("positions") * F.lit(ft.LEXEME_WEIGHT)).alias("rank"))
     numbers = F.create_map(*[x for n, t in enumerate(terms) for x in (F.lit(t), F.lit(n + 1))])
-    # An email's matches are bounded by its own length, so one list per email is safe.
-    per_email = (
-        hits.withColumn("term", F.element_at(numbers, F.col("lexeme")))
-        .groupBy("id")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("position").alias("at"), "term"))).alias("hits"))
-        .where(F.size(F.array_distinct(F.transform("hits", lambda h: h["term"]))) == len(terms))
-    )
-    return per_email.select("id", ft.cover_density_of_hits(F.col("hits"), len(terms)).alias("rank"))
+    at = F.transform("positions", lambda p: F.struct(p.alias("at"), F.element_at(numbers, F.col("lexeme")).alias("term")))
+    # A mail's matches are bounded by its own length, so one list per mail is safe.
+    per_mail = hits.groupBy(key).agg(F.collect_list(at).alias("by_term")).where(F.size("by_term") == len(terms))
+    return per_mail.select(key, ft.cover_density_of_hits(F.sort_array(F.flatten("by_term")), len(terms)).alias("rank"))

@@ -56,11 +56,12 @@ def structured_top(matching: DataFrame, k: int) -> DataFrame:
 def fulltext_top(matching: DataFrame, query: str, k: int, hits: DataFrame | None = None) -> DataFrame:
     """All query words present, by cover density, then newest.
 
-    ``hits`` (id, rank), read from the stored postings, spares reading any text.
+    ``hits`` (id or gmail_id, rank), read from the stored index, spares reading any text.
     """
     terms = ft.query_terms(query)
     if hits is not None:
-        ranked = matching.select("id", "sent_at").join(hits, "id")
+        key = hits.columns[0]
+        ranked = matching.select(*dict.fromkeys(("id", key, "sent_at"))).join(hits, key).select("id", "sent_at", "rank")
         return _fulltext_best(ranked, k)
     text = ft.document_text(*[F.col(c) for c in ("subject", "from_email", "from_name", "body_text")])
     ranked = matching.where(matches_text(text, terms)).select(

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postroom.operators.changes import fold_changes, last_op, merged_state
-from postroom.operators.postings import write_postings
+from postroom.operators.postings import Segment, merge_segments, to_merge, write_segment
 from postroom.sources.snapshots import DELTAS, KEY, Snapshot, overlay, read_bucketed, table_name, write_bucketed
 
 CHANGES = "gmail_id string, op string, seq long, at timestamp"
@@ -218,6 +218,8 @@ class MailStore:
         for name in DELTAS.values():
             found = self.folders(name)
             held = reduce(set.intersection, [self._covered(s, name, found) for s in kept])
+            if name == "messages" and (listed := self._index_list()) is not None:
+                held &= self._indexed(listed, found)  # the index reads them first
             gone += [f"{name}/{f}" for f in sorted(held)]
         named = {p for s in kept for p in s.paths.values()}
         finished = kept[-1].version
@@ -349,20 +351,59 @@ class MailStore:
         self.append("transformed", marks, "run", self.claim("transformed", run))
 
     def publish(self) -> None:
-        """Write the serving table, by account, newest mail together, and its full-text index.
+        """Write the serving table, by account, newest mail together, and index what is new.
 
         Range partitions over (account, time, id) split a dominant account evenly, and
         row groups sorted by time let date filters skip most of the data.
         """
         emails = self.emails().repartitionByRange("account_id", "sent_at", "id")
         self.replace("served", emails.sortWithinPartitions("account_id", "sent_at", "id"))
-        number = self.versions("served")[-1]
-        write_postings(self.served(), f"{self.path('postings')}/version={number}")
+        self.index_news()
 
-    def postings(self) -> str | None:
-        """Path of the full-text index of the served table."""
-        number = (self.versions("served") or [None])[-1]
-        return f"{self.path('postings')}/version={number}" if number in self.versions("postings") else None
+    # ---- full text -----------------------------------------------------------
+
+    def _index_list(self) -> DataFrame | None:
+        return self.newest("indexes")
+
+    def _indexed(self, listed: DataFrame | None, folders: list[str]) -> set[str]:
+        if listed is None or not folders:
+            return set()
+        return {r[0] for r in listed.where((F.col("kind") == "batch") & F.col("name").isin(folders)).select("name").collect()}
+
+    def index(self) -> list[Segment] | None:
+        """The segments that hold all indexed mails; None before the first ``index_news``."""
+        listed = self._index_list()
+        if listed is None:
+            return None
+        found = listed.where("kind = 'segment'").orderBy("name").collect()  # few: sizes grow by tiers
+        return [Segment(self.path(f"segments/{r['name']}"), r["buckets"], r["rows"]) for r in found]
+
+    def index_news(self) -> int:
+        """Index the message batches that no segment holds; the number of batches.
+
+        The new list is written last, so a crash leaves the index of before.
+        """
+        listed = self._index_list()
+        folders = [f for f in self.folders("messages") if self.exists(f"{self.path('messages')}/{f}/_SUCCESS")]
+        snap = self.snapshot()
+        if listed is None and snap is not None:  # the snapshot's mails may have no folders any more
+            mails, fresh = self.messages(), folders
+        else:
+            fresh = sorted(set(folders) - self._indexed(listed, folders))
+            mails = self.read("messages", MESSAGES, "batch", fresh)
+        if not fresh and (listed is not None or snap is None):
+            return 0
+        name = f"segment={self.claim('segments')}"
+        segments = [*(self.index() or []), write_segment(mails, self.path(f"segments/{name}"), KEY)]
+        while due := to_merge(segments):
+            path = self.path(f"segments/segment={self.claim('segments')}")
+            segments = [s for s in segments if s not in due] + [merge_segments(self.spark, due, path, KEY)]
+        rows = [("segment", s.path.rsplit("/", 1)[1], s.buckets, s.rows) for s in segments] + [("batch", f, 0, 0) for f in fresh]
+        news = self.spark.createDataFrame(rows, "kind string, name string, buckets int, rows long")
+        if listed is not None:
+            news = news.union(listed.where("kind = 'batch'"))
+        self.replace("indexes", news.coalesce(1))
+        return len(fresh)
 
     def served(self) -> DataFrame:
         found = self.newest("served")

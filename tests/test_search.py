@@ -123,19 +123,21 @@ def test_cover_density_equals_brute_force(spark, seed):
 def test_postings_equal_scan(spark, sf, tmp_path):
     cols = ("subject", "from_email", "from_name", "body_text")
     mail = given.emails(spark, sf, "id", *cols)
-    postings.write_postings(mail, str(tmp_path / "p"), buckets=4)
+    # Two segments, and one that is merged from both.
+    parts = [postings.write_segment(mail.where(F.pmod("id", F.lit(2)) == n), str(tmp_path / f"p{n}"), buckets=4 - n) for n in range(2)]
+    merged = postings.merge_segments(spark, parts, str(tmp_path / "m"), "id")
+    assert merged.rows == sum(s.rows for s in parts)
     text = ft.document_text(*[F.col(c) for c in cols])
     for q in ("the", "of the and", "zzzz the"):
         terms = ft.query_terms(q)
         scan = mail.where(filters.matches_text(text, terms)).select(
             "id", F.round(ft.cover_density(text, terms), 9)
         )
-        index = postings.search_postings(spark, str(tmp_path / "p"), q, buckets=4).select(
-            "id", F.round("rank", 9)
-        )
-        assert sorted(map(tuple, scan.collect())) == sorted(map(tuple, index.collect()))
-    assert postings.search_postings(spark, str(tmp_path / "p"), " ", buckets=4).count() == 0
-    plan = postings.search_postings(spark, str(tmp_path / "p"), "the", buckets=4)
+        for segments in (parts, [merged]):
+            index = postings.search_segments(spark, segments, q).select("id", F.round("rank", 9))
+            assert sorted(map(tuple, scan.collect())) == sorted(map(tuple, index.collect()))
+    assert postings.search_segments(spark, parts, " ").count() == 0 == postings.search_segments(spark, [], "the").count()
+    plan = postings.search_segments(spark, parts[:1], "the")
     shown = plan._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ = \d", shown)
 

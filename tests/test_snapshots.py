@@ -258,3 +258,32 @@ def test_ids_are_new_once(spark, tmp_path):
         feeds.run_to_end(out.trigger(availableNow=True).start())
         got.append(sorted(r.gmail_id for r in spark.read.schema(kinds).parquet(f"{root}/out").collect()))
     assert got == [["a"], ["a", "b"]]
+
+
+def test_index_segments_grow_by_tiers_and_outlive_their_batches(spark, tmp_path, monkeypatch):
+    from postroom.operators import postings
+
+    monkeypatch.setattr(postings, "TIER", 2)
+    store = MailStore(spark, str(tmp_path / "data"), 2)
+    assert store.index() is None and store.index_news() == 0
+    put(store, "1-a-0-0", ["m1"])
+    store.compact()  # indexed from the snapshot
+    assert store.index_news() == 1 and store.index_news() == 0
+    before = store.index()
+    put(store, "1-a-0-1", ["m2"])
+    assert store.index_news() == 1
+    (segment,) = store.index()  # both merged; the text of the first batch was not read again
+    assert segment.path != before[0].path and segment.rows == 6
+
+    def found(query):
+        return sorted(r.gmail_id for r in postings.search_segments(spark, store.index(), query, "gmail_id").collect())
+
+    assert found("body of") == ["m1", "m2"] and found("m2") == ["m2"]
+    # A batch that is in a snapshot but not in the index stays.
+    put(store, "1-a-0-2", ["m3"])
+    store.compact()
+    assert store.drop_old(keep=0).count("messages/batch=1-a-0-1") == 1 and store.exists(f"{store.root}/messages/batch=1-a-0-2")
+    assert store.index_news() == 1 and found("m3") == ["m3"]
+    files = [sorted(spark.read.parquet(s.path).inputFiles()) for s in store.index()]
+    put(store, "1-a-0-3", [], [("m1", "delete", 4)])
+    assert store.index_news() == 0 and files == [sorted(spark.read.parquet(s.path).inputFiles()) for s in store.index()]

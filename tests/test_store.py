@@ -114,7 +114,7 @@ def test_transform_is_idempotent(transformed, config):
 
 
 def engine_of(store, config):
-    return MailEngine(store.served(), store.newest("labels", jobs.LABELS), config, store.postings())
+    return MailEngine(store.served(), store.newest("labels", jobs.LABELS), config, store.index())
 
 
 def test_worklist_moves_no_text(transformed):
@@ -127,7 +127,7 @@ def test_search_through_the_published_index(transformed, config):
     scanned = engine_of(transformed, config).unified("budget plan", methods=["fulltext", "fulltext"])
     transformed.publish()
     indexed = engine_of(transformed, config)
-    assert indexed.postings is not None
+    assert indexed.index is not None
     again = indexed.unified("budget plan", methods=["fulltext"])
     assert [(r["id"], r["final_score"]) for r in again["results"]] == [(r["id"], r["final_score"]) for r in scanned["results"]]
     assert again["results"] and indexed.unified("absent", methods=["fulltext"])["results"] == []
