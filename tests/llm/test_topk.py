@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from postroom.llm import topk
 
@@ -58,3 +59,27 @@ def test_bounds_prune_blocks_without_changing_the_answer():
         full = sorted((-int(s), i) for i, s in enumerate(vectors @ queries[q]) if i != ids[q])[:10]
         assert [(-int(s), int(i)) for s, i in zip(scores[q], found[q], strict=True)] == full
     assert index.scored < 0.3 * 10 * 4000
+
+
+def test_queries_reach_only_ranges_that_can_win(spark):
+    """Clustered vectors end to end: most ranges get no query, most pairs are never scored."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (24, 16))
+    own = np.repeat(centres, 60, 0) + rng.normal(0, 0.02, (24 * 60, 16))
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found, cost = topk.search(df, every=20, range_rows=60, block=20)
+    assert rows_of(found) == plain(rows, every=20)
+    assert cost.queries == 72 and cost.ranges >= 12
+    assert cost.share < 0.5 and cost.shipped < 0.5 * cost.queries * cost.ranges
+
+
+def test_scores_and_components_beyond_64_bits_are_errors(spark):
+    for rows in ([(100, [1e16, 1.0]), (1, [1e16, 2.0]), (2, [1.0, 1.0])], [(100, [3e38]), (1, [1.0])], [(100, [4e9, 4e9]), (1, [4e9, 4e9])]):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        with pytest.raises(Exception, match="does not fit 64 bits"):
+            topk.top_k(df).collect()
+    # Large scores that fit are exact.
+    rows = [(100, [2e6, 1.0]), (1, [1e6, 2.0]), (2, [1e6, 3.0]), (3, [-1e6, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert [r[3] for r in rows_of(topk.top_k(df))] == [2048000000 * 1024000000 + 1024 * c for c in (3072, 2048)] + [-2048000000 * 1024000000]
