@@ -166,6 +166,65 @@ class LanguageModel:
         return found
 
 
+    def fits(self, texts: list[str | None]) -> list[tuple[str, float, float, int]]:
+        """(language, posterior, log-probability per letter in that language, words) per text."""
+        found = []
+        for part in by_size(texts):
+            for text, (lang, score) in zip(part, self.answers(part), strict=True):
+                words = words_of(text or "") if lang != UNDETERMINED else []
+                rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                total = float(self.table[rows, self.languages.index(lang)].sum()) if words else 0.0
+                found.append((lang, score, total / max(1, sum(map(len, words)) + len(words)), len(words)))
+        return found
+
+
+def training_ids(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """Rows (doc_id, lang) of at most ``train_docs`` ids per language, in the order of a hash of their id."""
+    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").distinct()
+    # One language may hold most rows: its shares are ranked apart before they meet.
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(RANKED_APART)).alias("_share")
+    for keys in (["lang", "_share"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ranked = ids.select("doc_id", "lang", share).withColumn("_n", F.row_number().over(order))
+        ids = ranked.where(F.col("_n") <= train_docs).select("doc_id", "lang")
+    return ids
+
+
+def norms(docs: DataFrame, model: LanguageModel, train_docs: int = TRAIN_DOCS) -> dict[str, tuple[float, float, float]]:
+    """By language: mean log-probability per letter of its training texts, its spread between texts, and per word.
+
+    The spread per word is that of the difference from the mean times the root of the number of words.
+    Languages whose texts hold no letter are missing.
+    """
+    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(training_ids(docs, train_docs)), ["doc_id", "lang"])
+    own = fitted(sample.select("lang", "text"), model, ("lang",)).where("lang = lang_pred and words > 0")
+    mean = own.groupBy("lang").agg(F.avg("per_letter").alias("mean"))
+    away = F.col("per_letter") - F.col("mean")
+    spread = own.join(F.broadcast(mean), "lang").groupBy("lang", "mean").agg(  # a row per language
+        F.coalesce(F.stddev(F.when(F.col("words") >= 50, away)), F.lit(0.0)).alias("between"), F.coalesce(F.stddev(away * F.sqrt("words")), F.lit(0.0)).alias("by_word")
+    )
+    return {r.lang: (r.mean, r.between, r.by_word) for r in spread.collect()}
+
+
+def fitted(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...]) -> DataFrame:
+    """``identify`` with ``per_letter`` and ``words`` (see ``LanguageModel.fits``)."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    answered = docs.select(*keep, F.col("text").alias("_text"))
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("per_letter", "double").add("words", "long")
+    kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            found = own.fits(batch.column(batch.num_columns - 1).to_pylist())
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns += [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score", "per_letter", "words"])
+
+    return answered.mapInArrow(run, schema)
+
+
 def learn(docs: DataFrame, vocabulary: str | None = None, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """Piece probabilities from ``docs`` (doc_id, text, lang), rows without a lang left out.
 
@@ -176,13 +235,7 @@ def learn(docs: DataFrame, vocabulary: str | None = None, train_docs: int = TRAI
 
     prepare(docs.sparkSession)
     path = vocabulary or default_vocabulary()
-    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").distinct()
-    # One language may hold most rows: its shares are ranked apart before they meet.
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(RANKED_APART)).alias("_share")
-    for keys in (["lang", "_share"], ["lang"]):
-        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
-        ranked = ids.select("doc_id", "lang", share).withColumn("_n", F.row_number().over(order))
-        ids = ranked.where(F.col("_n") <= train_docs).select("doc_id", "lang")
+    ids = training_ids(docs, train_docs)
     # At most ``train_docs`` narrow rows per language, less than the model itself: texts stay where they are read.
     sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
     rows = count_pieces(sample, path).collect()

@@ -92,6 +92,11 @@ def scan_texts(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return texts.select("blob", F.array_sort(F.concat(*found)).alias("spans"))
 
 
+def may_hold(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """True where a text passes a rule's gate, never null."""
+    return reduce(or_, [F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r.gate)) for r in rules])
+
+
 def _ledger(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(LEDGER).parquet(path)
@@ -112,8 +117,7 @@ def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULE
     spark = versions.sparkSession
     known = _ledger(spark, path).where(F.col("rule_version") == version).select("blob").distinct()
     text = F.coalesce("text", F.lit(""))
-    gate = reduce(or_, [F.regexp_like(text, F.lit(r.gate)) for r in rules])
-    addressed = versions.select(F.sha2(text, 256).alias("blob"), F.when(gate, text).alias("text"))
+    addressed = versions.select(F.sha2(text, 256).alias("blob"), F.when(may_hold(text, rules), text).alias("text"))
     # Copies are merged before anything is joined: a join first would send them all to one task.
     blobs = addressed.groupBy("blob").agg(F.any_value("text").alias("text"))
     unseen = blobs.join(known, "blob", "left_anti")

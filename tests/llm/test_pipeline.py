@@ -15,8 +15,17 @@ def test_stages_match_a_plain_version(spark, sf):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     rows = [tuple(r) for r in docs.collect()]
     model = language.learn(docs.where(~language.held_out()))
-    answers = model.answers([r[1] for r in rows])
-    rows = [r for r, a in zip(rows, answers, strict=True) if a[0] != "und" and a[1] >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
+    norms = language.norms(docs.where(~language.held_out()), model)
+
+    def like(lang, score, per_letter, words):
+        if lang not in norms:
+            return lang != "und"
+        mean, between, by_word = norms[lang]
+        return per_letter >= mean - 16 * max(between, 0.04) - 5 * by_word / max(1, words) ** 0.5
+
+    before = len(rows)
+    rows = [r for r, a in zip(rows, model.fits([r[1] for r in rows]), strict=True) if like(*a)]
+    assert len(rows) >= 0.98 * before
     fps = [(r[0], plain_fingerprint(r[1])) for r in rows]
     groups = plain_components(fps)
     rows = [r for r, (d, fp) in zip(rows, fps, strict=True) if groups[fp] == d]
@@ -41,7 +50,7 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, sf, tmp_path):
     base = spark.read.parquet(f"{sf}/documents.parquet").limit(80)
     odd = [(None, "and the of this that from", "en"), (None, None, None), (9001, None, "en"), (9002, "", "fr"), (9003, "12 34", "de"), (9004, "the and of " * 9000, "en"), (9004, "the and of " * 9000, "en")]
     odd = spark.createDataFrame(odd, "doc_id bigint, text string, lang string")
-    docs = base.unionByName(odd, allowMissingColumns=True).selectExpr("*", "'x' as spans", "1 as score", "2L as fp", "'b' as blob", "doc_id as component_id")
+    docs = base.unionByName(odd, allowMissingColumns=True).selectExpr("*", "'x' as spans", "'k' as _key", "'r' as _row", "7 as `a.b`", "1 as score", "2L as fp", "'b' as blob", "doc_id as component_id")
     folder = f"file://{tmp_path}"
     spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     start = docs
@@ -51,6 +60,7 @@ def test_stages_keep_columns_and_survive_odd_rows(spark, sf, tmp_path):
         assert stage(spark, docs.limit(0), folder).count() == 0
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+    assert {(r._key, r._row, r["a.b"]) for r in docs.collect()} == {("k", "r", 7)}
     kept = [r.doc_id for r in docs.collect()]
     assert kept.count(9004) == 1 and not {9001, 9002, 9003} & set(kept)
     assert docs.where("doc_id is not null").count() == docs.select("doc_id").where("doc_id is not null").distinct().count()
@@ -90,3 +100,22 @@ def test_leaks_drop_by_text_where_ids_are_null_or_shared(spark, tmp_path):
     rows = [(None, f"some {item} more", "leak"), (None, "a clean text", "a"), (4, f"held {item}", "leak"), (4, "other clean text", "b"), (5, None, "c")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     assert sorted(r.source for r in corpus_pipeline.drop_leaks(spark, docs, f"file://{tmp_path}").collect()) == ["a", "b", "c"]
+
+
+def test_texts_of_no_learned_language_go_and_short_clean_ones_stay(spark, sf):
+    prepare(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    short = [r.text.split(".")[0][:40] for r in docs.where("lang is not null").limit(20).collect()]
+    noise = ["xkcd zzptq wrtgh bbvnm qwrtp sdfgh kljhg mnbvc " * 3, "Быстрая коричневая лиса прыгает через ленивую собаку и убегает в лес", "ждёт нас " * 40]
+    rows = [(10_000 + i, t, None) for i, t in enumerate(short)] + [(20_000 + i, t, None) for i, t in enumerate(noise)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, both, sf).collect()}
+    assert {i for i, _, _ in rows if i in kept} == {10_000 + i for i in range(len(short))}
+    assert docs.count() - len({i for i in kept if i < 10_000}) <= 4
+
+
+def test_short_items_drop_only_texts_of_just_their_words(spark, tmp_path):
+    prepare(spark)
+    spark.createDataFrame([(1, "who wrote hamlet")], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "We asked who wrote Hamlet and nobody knew it."), (3, "")], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, f"file://{tmp_path}").collect()) == [2, 3]
