@@ -315,8 +315,10 @@ def pack(
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # One row per task, with at most ``capacity`` entries; they grow with the tasks, so they are not broadcast.
+    firsts = first.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "first"))).alias("firsts"))
     kept = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-    ranked = cut.join(first, ["part", "length"]).select(*kept, (F.col("first") + F.col("place")).alias("rank"))
+    ranked = cut.join(firsts.hint("merge"), "part").select(*kept, (F.element_at("firsts", F.col("length")) + F.col("place")).alias("rank"))
     ddl = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, " + "ids binary, " * keep_ids
     return ranked.mapInArrow(seat, ddl + "sequence_id bigint, offset bigint")
 
