@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from postroom.catalog.registry import EMAILS_SQL, SENDER_SQL, query
 from postroom.catalog.text import (
+    _prompt_sql,
     _BODIES_SQL, _CLEAN_SQL, _TIER_SQL, _language_sql, _sql_pii, _sql_secrets, _sql_strip,
 )
-from postroom.functions import chunking, tiering, vectors
+from postroom.functions import chunking, vectors
 from postroom.functions.embedding import embedding_udf
 from postroom.operators import aggregates, changes
 from postroom.operators.labels import with_label_names
@@ -168,10 +169,8 @@ def transform_worklist(spark, sf):
     return plan.worklist(rows).select("id")
 
 
-def _config() -> EngineConfig:
-    return EngineConfig(
-        limits=Limits(embed_max_tokens=_MAX, chunk_target_tokens=_TARGET, input_most=tiering.CONTRACT_INPUT), dim=_DIM
-    )
+def _config(long_texts: str = "parts") -> EngineConfig:
+    return EngineConfig(limits=Limits(embed_max_tokens=_MAX, chunk_target_tokens=_TARGET, long_texts=long_texts), dim=_DIM)
 
 
 _INPUT = (
@@ -186,9 +185,9 @@ def _mails(spark, sf):
     return rows.withColumn("body_text", given.adorned(F.col("body_text"), F.col("id")))
 
 
-def _results(spark, sf, force=True):
+def _results(spark, sf, force=True, long_texts="parts"):
     todo = with_label_names(plan.worklist(_mails(spark, sf), force=force), given.account_labels(spark, sf))
-    return plan.transform(todo, _config())
+    return plan.transform(todo, _config(long_texts))
 
 
 _LANG_CTE = _language_sql().strip().removeprefix("with ").rsplit("select doc_id, labelled", 1)
@@ -203,6 +202,12 @@ pii as (
 ),
 {_LANG_CTE[0].replace("from documents", "from (select id as doc_id, lang, clean as text from todo)")},
 languages as (select doc_id, labelled{_LANG_CTE[1]}),
+named as (
+  select * replace ([lang, source, case when (id % 25) % 3 = id % 3 then (select n_name from nation where n_nationkey = id % 25)
+    else 'L' || (id % 25) end] as labels) from todo join (select doc_id as id, source from documents) using (id)
+),
+-- A subject that fills the prompt by itself leaves no room for the least preview of the body.
+prompts as (select id, length({_prompt_sql("''")}) + least(length({_sql_strip("body_text")}), 205) as n from named),
 results as (
   select t.id, case tier when 'SENSITIVE' then 1 when 'PERSONAL' then 2 else 3 end as privacy_tier,
     {_sql_secrets("p")} as body_redacted,
@@ -211,8 +216,8 @@ results as (
     case when clean = '' then 'none' when ceil(length(clean) / 4.0) <= {_MAX} then 'full' else 'chunked' end
       as body_kind,
     (select count(*) from chunks c where c.k = t.id) as n_chunks, l.detected as lang,
-    case when length({_sql_strip("coalesce(subject, '')")}) > 1000 then 'subject is too long' end as problem
-  from todo t join tiers using (id) join pii using (id) join languages l on l.doc_id = t.id
+    case when ceil(n / 4.0) > {Limits().prompt_tokens} then 'Classification prompt exceeds token limit after truncation' end as problem
+  from todo t join prompts using (id) join tiers using (id) join pii using (id) join languages l on l.doc_id = t.id
 )"""
 
 
@@ -257,42 +262,89 @@ def embed_items(spark, sf):
     return aggregates.embed_items(plan.prepare(todo, _config()))
 
 
-# A chunk of one over-long sentence is embedded by as much of it as fits the token limit.
-_VECTORS_SQL = f"""{_TRANSFORM_SQL},
-fitted as (
-  select k, chunk, case when ceil(length(txt) / 4.0) > {_MAX}
-    then substr(txt, 1, cast(floor(length(txt) * {_MAX}.0 / ceil(length(txt) / 4.0)) as bigint)) else txt end as txt
-  from chunks
+# A chunk of one over-long sentence is embedded in halves, or halves of halves, until each fits the limit ...
+_TOO_LONG = f"ceil(length(txt) / 4.0) > {_MAX} and length(txt) > 256"
+_PARTS_SQL = f"""parts as (
+  select k, chunk, '' as part, txt from chunks
+  union all
+  select k, chunk, part || h.side, case h.side when 'a' then substr(txt, 1, length(txt) // 2) else substr(txt, length(txt) // 2 + 1) end
+  from parts, (values ('a'), ('b')) h(side) where {_TOO_LONG}
 ),
+fitted as (select * from parts where not ({_TOO_LONG}))"""
+
+
+def _fit_sql(text: str) -> str:
+    n = f"length({text})"
+    return f"case when ceil({n} / 4.0) > {_MAX} then cast(floor({n} * {_MAX}.0 / ceil({n} / 4.0)) as bigint) else {n} end"
+
+
+# ... or, as the service contract has it, by as much of it as fits.
+_PREFIX_SQL = f"""fitted as (
+  select k, chunk, '' as part, substr(txt, 1, {_fit_sql("txt")}) as txt from chunks
+)"""
+
+
+def _vectors_sql(fitted: str) -> str:
+    return f"""{_TRANSFORM_SQL},
+{fitted},
 slots as (
-  select k, chunk, slot, cast(count(*) as double) as s from (
-    select k, chunk, cast('0x' || substr(md5(w), 1, 8) as ubigint) % {_DIM} as slot
-    from (select k, chunk, unnest(regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}]+')) as w from fitted)
+  select k, chunk, part, slot, cast(count(*) as double) as s from (
+    select k, chunk, part, cast('0x' || substr(md5(w), 1, 8) as ubigint) % {_DIM} as slot
+    from (select k, chunk, part, unnest(regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}]+')) as w from fitted)
   ) group by all
 ),
-totals as (select k, chunk, sum(s) / sqrt(sum(s * s)) as total from slots group by k, chunk),
+totals as (select k, chunk, part, sum(s) / sqrt(sum(s * s)) as total from slots group by k, chunk, part),
+by_chunk as (
+  select k, chunk, sum(length(txt) * coalesce(total, 0)) / sum(length(txt)) as total
+  from fitted left join totals using (k, chunk, part) group by k, chunk
+),
 pooled as (
-  select k, sum(coalesce(total, 0) * case when chunk = 0 then 2 else 1 end) / sum(case when chunk = 0 then 2 else 1 end) as s
-  from fitted left join totals using (k, chunk) group by k
+  select k, sum(total * case when chunk = 0 then 2 else 1 end) / sum(case when chunk = 0 then 2 else 1 end) as s
+  from by_chunk group by k
 )
 select r.id, problem is null and {_sql_strip("coalesce(subject, '')")} <> '' as has_subject,
   problem is null and body_kind = 'full' as has_body, problem is null and body_kind = 'chunked' as has_pooled,
-  case when problem is null and body_kind = 'chunked' then round(s, 2) end as s
-from results r join todo using (id) left join pooled on pooled.k = r.id"""
+  case when problem is null and body_kind = 'chunked' then round(s, 2) end as s"""
 
 
-@query("transform_vectors", _VECTORS_SQL)
-def transform_vectors(spark, sf):
-    """Which vectors every mail ends up with, and the sum of its pooled vector."""
-    return _results(spark, sf).select(
+def _vectors(results):
+    return results.select(
         "id",
         F.col("subject_embedding").isNotNull().alias("has_subject"),
         F.col("body_embedding").isNotNull().alias("has_body"),
         F.col("body_pooled_embedding").isNotNull().alias("has_pooled"),
         F.round(F.aggregate("body_pooled_embedding", F.lit(0.0), lambda a, x: a + x), 2).alias("s"),
+        F.round("vector_covers", 6).alias("covers"),
     )
 
 
+_FROM_SQL = "from results r join todo using (id) left join pooled on pooled.k = r.id"
+
+
+@query("transform_vectors", f"{_vectors_sql(_PARTS_SQL)}, cast(1 as double) as covers {_FROM_SQL}")
+def transform_vectors(spark, sf):
+    """Which vectors every mail ends up with, over whole texts, and the sum of its pooled vector."""
+    return _vectors(_results(spark, sf))
+
+
+_COVERS_SQL = f"""case when problem is not null then 1 else
+    round(coalesce((kept.n + own.full_n + {_fit_sql("own.sub")}) / nullif(cast(kept.all_n + own.full_n + length(own.sub) as double), 0), 1), 6) end as covers
+from results r join todo using (id) left join pooled on pooled.k = r.id
+  join (
+    select t.id, {_sql_strip("coalesce(subject, '')")} as sub, case when body_kind = 'full' then length(clean) else 0 end as full_n
+    from todo t join results using (id)
+  ) own on own.id = r.id
+  left join (
+    select c.k, sum(length(f.txt)) as n, sum(length(c.txt)) as all_n from chunks c join fitted f using (k, chunk) group by c.k
+  ) k2 on k2.k = r.id, lateral (select coalesce(k2.n, 0) as n, coalesce(k2.all_n, 0) as all_n) kept"""
+
+
+@query("transform_vectors_prefix", f"{_vectors_sql(_PREFIX_SQL)}, {_COVERS_SQL}")
+def transform_vectors_prefix(spark, sf):
+    """The service contract's form: an over-long text by its beginning, and how much of a mail its vectors cover."""
+    return _vectors(_results(spark, sf, long_texts="prefix"))
+
+
 # ---- derived-state maintenance ---------------------------------------------------------
 
 

@@ -147,13 +147,12 @@ def clean_body(
     tracking: bool = True,
     invisible: bool = True,
     extract_main=None,
-    extract_most: int | None = 12_000,
+    extract_most: int | None = None,
 ) -> Column:
     """The full cleaning chain that precedes redaction, chunking and embedding.
 
-    ``extract_main`` is an optional Column -> Column model step; it sees null for texts of
-    more than ``extract_most`` characters (None: no bound), and a null or empty answer keeps
-    the input.
+    ``extract_main`` is an optional Column -> Column model step; a null or empty answer keeps the
+    input.  Under ``extract_most`` it sees null for texts of more characters (None: no bound).
     """
     text = strip(F.coalesce(c, F.lit("")))
     if invisible:

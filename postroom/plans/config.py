@@ -24,9 +24,9 @@ class Limits:
     #: No limit by default: the classifier sees a bounded preview anyway, and no mail is left out.
     input_most: tuple[int | None, int | None, int | None, int | None] = (None, None, None, None)
 
-    #: Texts over the embedder's limits: ``prefix`` embeds as much as fits (the service contract),
-    #: ``parts`` embeds all of it in parts and averages their vectors by length.
-    long_texts: str = "prefix"
+    #: Texts over the embedder's limits: ``parts`` embeds all of it in parts and averages their vectors
+    #: by length, ``prefix`` embeds as much as fits (the service contract).  ``vector_covers`` tells.
+    long_texts: str = "parts"
 
     @property
     def prompt_tokens(self) -> int:

@@ -7,7 +7,7 @@ reason in ``problem`` and leaves all other rows alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postroom import fixed_values as fv
@@ -19,7 +19,7 @@ from postroom.plans.config import EngineConfig
 
 RESULT_COLUMNS = (
     "id", "privacy_tier", "body_redacted", "snippet_redacted", "subject_embedding",
-    "body_embedding", "body_pooled_embedding", "chunks", "body_kind", "lang", "problem",
+    "body_embedding", "body_pooled_embedding", "chunks", "body_kind", "lang", "problem", "vector_covers",
 )
 
 
@@ -132,6 +132,7 @@ def embed(prepared: DataFrame, config: EngineConfig) -> DataFrame:
         F.when(ok & is_full, F.array("clean")).otherwise(none),
         F.when(ok, F.transform("chunks", lambda c: c["text"])).otherwise(none),
     )
+    whole, covers = texts, F.lit(1.0)
     fit = fits = None
     cap = min(lim.embed_max_tokens or fv.EMBED_MAX_TOKENS, fv.EMBED_MAX_TOKENS)
     if lim.long_texts == "parts":
@@ -147,14 +148,18 @@ def embed(prepared: DataFrame, config: EngineConfig) -> DataFrame:
         )
     else:
         texts = F.transform(texts, lambda t: F.substring(t, 1, lim.embed_max_chars))
-    if lim.long_texts == "prefix" and not tok.length_based and lim.embed_max_tokens:
+    if lim.long_texts == "prefix":
+        covers = F.coalesce(_characters(texts) / F.nullif(_characters(whole), F.lit(0)), F.lit(1.0))
+        if not tok.length_based and lim.embed_max_tokens:
+            covers = F.lit(None).cast("double")  # only the model's tokenizer knows
 
-        def fit():
-            encode = tok.open()
-            return lambda t: tokens.fit_to_tokens(t, encode, cap)
+            def fit():
+                encode = tok.open()
+                return lambda t: tokens.fit_to_tokens(t, encode, cap)
 
     answer = embedding_udf(config.embedder, fit=fit, fits=fits)(F.col("texts"))
-    embedded = prepared.withColumn("texts", texts).withColumn("answer", answer)
+    # Share of the characters of all texts that their vectors stand for.
+    embedded = prepared.withColumns({"texts": texts, "vector_covers": covers}).withColumn("answer", answer)
     embedded = embedded.withColumns({"vectors": F.col("answer.vectors"), "embed_problem": F.col("answer.problem")})
     lead = has_subject.cast("int")
     chunk_vectors = F.slice(
@@ -231,6 +236,10 @@ def embed(prepared: DataFrame, config: EngineConfig) -> DataFrame:
     return with_vectors.withColumn("problem", problem)
 
 
+def _characters(texts: Column) -> Column:
+    return F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+
+
 def transform(emails: DataFrame, config: EngineConfig, keep: tuple[str, ...] = ()) -> DataFrame:
     """Results per mail, with the columns ``keep`` of the mail."""
     return embed(prepare(emails, config), config).select(*RESULT_COLUMNS, *keep)

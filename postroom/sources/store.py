@@ -47,7 +47,7 @@ TRANSFORMED = (
     "subject_embedding array<float>, body_embedding array<float>, "
     "body_pooled_embedding array<float>, "
     "chunks array<struct<text:string,position:int,weight:double,embedding:array<float>>>, "
-    "body_kind string, lang string, problem string, completed_at timestamp"
+    "body_kind string, lang string, problem string, vector_covers double, completed_at timestamp"
 )
 THREADS = (
     "account_id int, gmail_thread_id string, subject string, message_count long, "

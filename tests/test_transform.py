@@ -188,16 +188,15 @@ def test_model_tokenizers_are_cut_to_the_cap(spark):
 
 
 def test_long_texts_can_be_embedded_whole(spark):
-    """With ``parts`` the tail of an over-long sentence counts; by default it is cut."""
+    """By default the tail of an over-long sentence counts; the contract's ``prefix`` cuts it and says how far it got."""
     head, tail = "alpha beta " * 300, "omega " * 300
     row = (1, 1, head + tail, None, "a@b.c", "A", ["x"], "", False)
     mails = spark.createDataFrame([row], "id long, account_id int, body_text string, subject string, from_email string, from_name string, labels array<string>, snippet string, has_attachments boolean")
     limits = Limits(embed_max_tokens=200, chunk_target_tokens=150, embed_max_chars=900)
     embed = HashEmbedder(64).embed
-    whole, cut = (
-        plan.transform(mails, EngineConfig(limits=replace(limits, long_texts=kind), dim=64)).first().body_pooled_embedding
-        for kind in ("parts", "prefix")
-    )
+    rows = [plan.transform(mails, EngineConfig(limits=replace(limits, long_texts=kind), dim=64)).first() for kind in ("parts", "prefix")]
+    whole, cut = (r.body_pooled_embedding for r in rows)
+    assert limits.long_texts == "parts" and rows[0].vector_covers == 1 and 0.1 < rows[1].vector_covers < 0.5
     (omega,), slot = embed(["omega"]), lambda v: v[int(np.argmax(embed(["omega"])[0]))]
     assert slot(omega) > 0 and slot(cut) == 0 and slot(whole) > 0.2
     short = mails.withColumn("body_text", F.lit("alpha beta"))
