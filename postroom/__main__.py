@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 
+from postroom.operators.aggregates import against_mailbox
 from postroom.plans import jobs
 from postroom.plans.config import EngineConfig, Limits
 from postroom.plans.engine import MailEngine
@@ -25,6 +26,12 @@ def _parser() -> argparse.ArgumentParser:
     sync.add_argument("account_id", type=int)
     sync.add_argument("path")
     sync.add_argument("--batch", type=int, required=True)
+    sync.add_argument("--limit", type=int, help="take only so many messages")
+    labels = sub.add_parser("labels", help="replace the labels of accounts (JSON lines: account_id, label_id, label_name)")
+    labels.add_argument("path")
+    sub.add_parser("compact", help="fold what is new into a snapshot")
+    drop = sub.add_parser("drop-old", help="remove what only older snapshots name")
+    drop.add_argument("--keep", type=int, default=1)
     tr = sub.add_parser("transform")
     tr.add_argument("account_id", type=int, nargs="?")
     tr.add_argument("--email-id", type=int)
@@ -33,7 +40,8 @@ def _parser() -> argparse.ArgumentParser:
     reset = sub.add_parser("reset-transform")
     reset.add_argument("account_id", type=int, nargs="?")
     sub.add_parser("publish")
-    sub.add_parser("validate")
+    check = sub.add_parser("validate", help="report per account; exit code 1 if a given mailbox total differs")
+    check.add_argument("--total", action="append", default=[], metavar="ACCOUNT=MESSAGES")
     sub.add_parser("capabilities")
     get = sub.add_parser("get-email")
     get.add_argument("id")
@@ -55,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
     limits = Limits.load(args.capabilities) if args.capabilities else Limits()
     config = EngineConfig(limits=limits, dim=args.dim)
     if args.command == "sync":
-        n = jobs.full_sync(store, mailbox.read_export(spark, args.path), args.account_id, args.batch)
+        n = jobs.full_sync(store, mailbox.read_export(spark, args.path), args.account_id, args.batch, args.limit)
         print(json.dumps({"new": n}))
     elif args.command == "transform":
         print(
@@ -67,6 +75,12 @@ def main(argv: list[str] | None = None) -> int:
         )
     elif args.command == "reset-transform":
         store.reset(args.account_id)
+    elif args.command == "labels":
+        jobs.sync_labels(store, spark.read.schema(jobs.LABELS).json(args.path))
+    elif args.command == "compact":
+        print(json.dumps({"snapshot": store.compact()}))
+    elif args.command == "drop-old":
+        print(json.dumps({"removed": store.drop_old(args.keep)}))
     elif args.command == "publish":
         store.publish()
     elif args.command == "capabilities":
@@ -75,8 +89,16 @@ def main(argv: list[str] | None = None) -> int:
         labels = store.newest("labels", jobs.LABELS)
         engine = MailEngine(store.served(), labels, config, store.index())
         if args.command == "validate":
-            for line in engine.report().orderBy("account_id").toJSON().toLocalIterator():
+            report = MailEngine(store.emails(), labels, config).report()
+            if args.total:
+                pairs = [tuple(map(int, t.split("="))) for t in args.total]
+                totals = spark.createDataFrame(pairs, "account_id int, messages_total long")
+                report = against_mailbox(report, totals).join(totals.select("account_id"), "account_id")
+            bad = False
+            for line in report.orderBy("account_id").toJSON().toLocalIterator():
                 print(line)
+                bad |= not json.loads(line).get("matches", True)
+            return int(bad)
         elif args.command == "get-email":
             found = engine.show(args.id, args.raw, args.full).toJSON().take(1)
             print(found[0] if found else "not found", file=sys.stdout if found else sys.stderr)

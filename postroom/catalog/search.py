@@ -213,6 +213,24 @@ def validate_report(spark, sf):
     return aggregates.mailbox_report(rows, classify_chars=600, embed_chars=2400)
 
 
+@query(
+    "validate_mailbox",
+    f"""{_WITH},
+stored as (select account_id, count(*) as messages from emails_v where deleted_at is null group by account_id),
+mailbox as (select cast(n_regionkey as integer) as account_id, count(*) * 190 as messages_total from nation group by n_regionkey)
+select account_id, coalesce(messages, 0) as messages, coalesce(messages_total, 0) as messages_total,
+  coalesce(messages, 0) - coalesce(messages_total, 0) as difference, coalesce(messages, 0) = coalesce(messages_total, 0) as matches
+from stored full join mailbox using (account_id)""",
+)
+def validate_mailbox(spark, sf):
+    """Stored mails per account against what the mailboxes count; the nations of a region stand in for those."""
+    rows = given.emails(spark, sf, "account_id", "body_text", "deleted_at")
+    n = given.table(spark, sf, "nation").groupBy(F.col("n_regionkey").cast("int").alias("account_id"))
+    totals = n.agg((F.count("*") * 190).alias("messages_total"))
+    compared = aggregates.against_mailbox(aggregates.mailbox_report(rows), totals)
+    return compared.select("account_id", "messages", "messages_total", "difference", "matches")
+
+
 # ---- vector --------------------------------------------------------------------
 
 

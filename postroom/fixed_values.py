@@ -179,3 +179,9 @@ SEARCH_CAPABILITIES = {
     "supported_modes": ["search", "count", "aggregate"],
     "supported_group_by_fields": ["from_email", "from_name"],
 }
+
+# Messages of the tools' answers.
+EMAIL_NOT_FOUND = "Email not found"
+THREAD_NOT_FOUND = "Thread not found"
+NOTHING_TO_SUMMARIZE = "No emails or thread specified."
+NO_EMAILS = "No emails to summarize."

@@ -7,6 +7,7 @@ rows and the whole transform stays free of shuffles.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ class PayloadTooLarge(Exception):
 MIN_CHARS_TO_HALVE = 256
 
 
-RESULT = "struct<vectors:array<array<float>>,problem:string>"
+RESULT = "struct<vectors:array<array<float>>,problem:string,ms:double>"
 
 
 def embed_texts(embed, texts: list[str]) -> list:
@@ -89,7 +90,7 @@ def _joined(made: dict, parts: list[list[str]]) -> dict:
 
 
 def embedding_udf(embedder, batch_size: int = 64, fit=None, fits=None):
-    """``array<string> -> struct<vectors, problem>``; the client opens once per task.
+    """``array<string> -> struct<vectors, problem, ms>``; the client opens once per task.
 
     ``fit()`` gives a function that cuts a text to the model's token limit, where the
     tokenizer needs the text itself.  ``fits()`` gives a test instead; a longer text is embedded in
@@ -108,12 +109,15 @@ def embedding_udf(embedder, batch_size: int = 64, fit=None, fits=None):
             split = [[parts_that_fit(t, test) if test else [t] for t in m] for m in mails]
             flat_mails = [[p for own in m for p in own] for m in split]
             made: list[dict] = []
+            took: list[float] = []  # a mail's share of its request's time
             for at in range(0, len(mails), batch_size):
-                made.extend(embed_mails(embed, flat_mails[at : at + batch_size], batch_size))
+                own, began = flat_mails[at : at + batch_size], time.perf_counter()
+                made.extend(embed_mails(embed, own, batch_size))
+                took += [(time.perf_counter() - began) * 1000 / len(own)] * len(own)
             made = [_joined(r, parts) for r, parts in zip(made, split, strict=True)]
             flat = pa.array([v for m in made for v in m["vectors"]], pa.list_(pa.float32()))
             ends = pa.array(np.cumsum([0, *(len(m["vectors"]) for m in made)]), pa.int32())
-            columns = [pa.ListArray.from_arrays(ends, flat), pa.array([m["problem"] for m in made], pa.string())]
-            yield pa.StructArray.from_arrays(columns, ["vectors", "problem"])
+            columns = [pa.ListArray.from_arrays(ends, flat), pa.array([m["problem"] for m in made], pa.string()), pa.array(took, pa.float64())]
+            yield pa.StructArray.from_arrays(columns, ["vectors", "problem", "ms"])
 
     return vectors

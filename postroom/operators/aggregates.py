@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postroom import fixed_values as fv
@@ -48,18 +48,31 @@ def mailbox_report(
     )
 
 
-def transform_counters(results: DataFrame) -> DataFrame:
-    """Outcome of a transform run: rows by tier, by body kind and failures."""
+def against_mailbox(report: DataFrame, totals: DataFrame) -> DataFrame:
+    """A report per account next to what the mailbox itself counts (account_id, messages_total).
+
+    ``difference`` is stored minus mailbox; an account that only one side knows counts 0 on the other.
+    """
+    stored, own = F.coalesce("messages", F.lit(0)), F.coalesce("messages_total", F.lit(0))
+    joined = report.join(totals.select("account_id", "messages_total"), "account_id", "full")
+    compared = joined.withColumns({"messages": stored, "messages_total": own}).withColumn("difference", F.col("messages") - F.col("messages_total"))
+    return compared.withColumn("matches", F.col("difference") == 0)
+
+
+def counter_columns() -> list[Column]:
     ok = F.col("problem").isNull()
-    return results.agg(
+    tiers = {"sensitive": fv.SENSITIVE, "personal": fv.PERSONAL, "public": fv.PUBLIC}
+    return [
         F.count_if(ok).alias("transformed"),
         F.count_if(~ok).alias("failed"),
-        F.count_if(ok & (F.col("privacy_tier") == fv.SENSITIVE)).alias("sensitive"),
-        F.count_if(ok & (F.col("privacy_tier") == fv.PERSONAL)).alias("personal"),
-        F.count_if(ok & (F.col("privacy_tier") == fv.PUBLIC)).alias("public"),
-        F.count_if(ok & (F.col("body_kind") == "full")).alias("body_full"),
-        F.count_if(ok & (F.col("body_kind") == "chunked")).alias("body_chunked"),
-    )
+        *[F.count_if(ok & (F.col("privacy_tier") == t)).alias(name) for name, t in tiers.items()],
+        *[F.count_if(ok & (F.col("body_kind") == k)).alias(f"body_{k}") for k in ("full", "chunked")],
+    ]
+
+
+def transform_counters(results: DataFrame) -> DataFrame:
+    """Outcome of a transform run: rows by tier, by body kind and failures."""
+    return results.agg(*counter_columns())
 
 
 def embed_items(results: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from postroom.operators import aggregates
@@ -13,6 +13,7 @@ from postroom.plans.config import EngineConfig
 from postroom.session import ship_package
 from postroom.sources.store import MESSAGES, TRANSFORMED, MailStore, batch_key
 
+COUNTERS = ("transformed", "failed", "sensitive", "personal", "public", "body_full", "body_chunked")
 LABELS = "account_id int, label_id string, label_name string"
 
 
@@ -59,7 +60,7 @@ def run_transform(
 
     With ``batch`` only that batch's messages are looked at, whatever the store holds: the form for
     micro-batches.  What fails there is left to the next run without ``batch``.  Results are written
-    once; counters and chunks are read back from that copy.
+    once, and nothing is read back; counters and mean latency are kept in ``transform_runs``.
     """
     ship_package(store.spark)
     run = store.claim("transformed", run)
@@ -70,8 +71,15 @@ def run_transform(
     else:
         todo = store.read("messages", MESSAGES, "batch", [f"batch={batch}"]).drop("batch").where("body_text is not null")
     named = with_label_names_by_id(todo, store.newest("labels", LABELS))
-    results = plan.transform(named, config, keep=("gmail_id",)).withColumn("completed_at", F.current_timestamp())
+    results = plan.transform(named, config, keep=("gmail_id", "answer")).withColumn("completed_at", F.current_timestamp())
+    # Counters and the mean latency of the model call come out of the write itself.
+    seen = Observation(f"transform-{run}")
+    latency = F.avg(F.col("answer.ms")).alias("mean_ms")
     columns = [f.name for f in store.spark.createDataFrame([], TRANSFORMED).schema]
-    store.append("transformed", results.select(*columns), "run", run)
-    written = store.spark.read.schema(TRANSFORMED).parquet(f"{store.path('transformed')}/run={run}")
-    return aggregates.transform_counters(written).first().asDict()
+    store.append("transformed", results.observe(seen, *aggregates.counter_columns(), latency).select(*columns), "run", run)
+    found = seen.get
+    counts = {c: int(found.get(c) or 0) for c in COUNTERS}
+    row = [(batch, account_id, *counts.values(), found.get("mean_ms"))]
+    ddl = "batch string, account_id int, " + ", ".join(f"{c} long" for c in COUNTERS) + ", mean_ms double"
+    store.append("transform_runs", store.spark.createDataFrame(row, ddl), "run", run)
+    return counts

@@ -1,7 +1,7 @@
 """Mailbox sources: message listing, message fetch, attachments, history stream.
 
 A client is any picklable ``open()`` factory that returns an object with
-``list_messages(page_token)``, ``get_message(id)``, ``get_attachment(id, attachment)``,
+``list_messages(page_token, query)``, ``get_message(id)``, ``get_attachment(id, attachment)``,
 ``get_history(start, page_token)``, ``get_profile()`` and ``list_labels()``.  Calls run in
 tasks; neither ids nor messages pass through the driver.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
 from typing import Any
 
 import pyarrow as pa
@@ -52,6 +52,68 @@ def history_changes(page: dict, at: datetime | None = None) -> Iterator[tuple[st
                     yield message["id"], op, seq, at
 
 
+LISTED = "account_id int, after date, before date, gmail_id string, status string, problem string"
+
+
+def _dated(query: str, after: date, before: date) -> str:
+    return f"{query} after:{after:%Y/%m/%d} before:{before:%Y/%m/%d}".strip()
+
+
+def split_ranges(ranges: DataFrame, open_client: Callable[[int], Any], query: str = "", most: int = 5_000) -> DataFrame:
+    """Stretches of time (account_id, after, before) halved until the mailbox expects at most ``most`` messages in each.
+
+    One request per stretch that is looked at; a single day is not split any more.  ``after`` is part of
+    a stretch, ``before`` is not.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for account, after, before in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                client, left = open_client(account), [(after, before)]
+                while left:
+                    a, b = left.pop()
+                    if (b - a).days > 1 and int(client.list_messages(None, _dated(query, a, b)).get("resultSizeEstimate") or 0) > most:
+                        middle = a + (b - a) // 2
+                        left += [(middle, b), (a, middle)]
+                    else:
+                        out.append((account, a, b))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.date32(), pa.date32()), strict=True)], ["account_id", "after", "before"])
+
+    own = ranges.select(F.col("account_id").cast("int"), F.col("after").cast("date"), F.col("before").cast("date"))
+    return own.mapInArrow(run, "account_id int, after date, before date")
+
+
+def list_ranges(ranges: DataFrame, open_client: Callable[[int], Any], query: str = "", tasks: int | None = None) -> DataFrame:
+    """Rows (account_id, after, before, gmail_id, status, problem) of the messages in each stretch of time.
+
+    Every stretch is one chain of pages; a page is one batch, so no task holds a listing.  The last row
+    of a stretch has no id and a status, ``completed`` or ``failed``: only completed stretches are whole.
+    """
+
+    def run(batches):
+        kinds = (pa.int32(), pa.date32(), pa.date32(), pa.string(), pa.string(), pa.string())
+
+        def rows(stretch: tuple, ids: list, status=None, problem=None) -> pa.RecordBatch:
+            columns = [[v] * len(ids) for v in stretch] + [ids, [status] * len(ids), [problem] * len(ids)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in LISTED.split(", ")])
+
+        for batch in batches:
+            for stretch in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                try:
+                    client, asked = open_client(stretch[0]), _dated(query, *stretch[1:])
+                    for page in pages(lambda token, c=client, q=asked: c.list_messages(token, q)):
+                        yield rows(stretch, [m["id"] for m in page.get("messages") or []])
+                    yield rows(stretch, [None], "completed")
+                except Exception as e:  # the other stretches go on
+                    yield rows(stretch, [None], "failed", f"{type(e).__name__}: {e}")
+
+    own = ranges.select("account_id", "after", "before")
+    by = ["account_id", "after"]
+    return (own.repartition(tasks, *by) if tasks else own.repartition(*by)).mapInArrow(run, LISTED)
+
+
 class _Range(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end

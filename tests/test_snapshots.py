@@ -239,7 +239,7 @@ def test_a_micro_batch_reads_its_own_folder_only(spark, tmp_path, monkeypatch):
 
     def watched(emails, config, keep=()):
         seen.extend(emails.inputFiles())
-        return store.spark.createDataFrame([], TRANSFORMED).drop("completed_at")
+        return store.spark.createDataFrame([], f"{TRANSFORMED}, answer struct<ms:double>").drop("completed_at")
 
     monkeypatch.setattr(transform, "transform", watched)
     jobs.run_transform(store, EngineConfig(dim=8), batch="1-a-0-1")

@@ -172,10 +172,34 @@ def test_lookup_thread_summary(transformed, config):
     assert e.summarize(message_ids=["none"]).first()["summary"] == "No emails to summarize."
     shown = e.show("m2", raw=True).first()
     assert shown["privacy_tier"] == "SENSITIVE" and "hunter22" in shown["body"]
+    assert e.get_response("m4")["title"] == "No subject" and e.summarize_response(thread_id="t1") == {"summary": text}
+    assert e.get_response("nope") == {"success": False, "error": "Email not found"}
+    assert e.get_response("m4", account_id=2) == {"success": False, "error": "Email not found"}
+    assert e.thread_response("nope") == {"success": False, "error": "Thread not found"}
+    assert e.summarize_response() == {"success": False, "error": "No emails or thread specified."}
+    whole = e.thread_response("t1", most=1)
+    assert whole["message_count"] == 2 and [m["id"] for m in whole["messages"]] == ["m1"]
     report = e.report().first()
     assert report["messages"] == 4 and report["with_body"] == 4
 
 
+def test_default_account_and_validate_by_command_line(transformed, config, capsys, monkeypatch):
+    from dataclasses import replace
+
+    from postroom import __main__ as command
+
+    other = engine_of(transformed, replace(config, default_account=7))
+    assert other.unified(mode="count")["count"] == 0 and other.count(account_id=1).first()[0] == 4
+    monkeypatch.setattr(command, "build_session", lambda *_: transformed.spark)
+    assert command.main(["--store", transformed.root, "validate", "--total", "1=4"]) == 0
+    assert json.loads(capsys.readouterr().out)["matches"] is True
+    assert command.main(["--store", transformed.root, "validate", "--total", "1=6", "--total", "2=0"]) == 1
+    lines = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
+    assert [(r["account_id"], r["difference"]) for r in lines] == [(1, -2), (2, 0)]
+    runs = transformed.spark.read.parquet(transformed.path("transform_runs")).where("run = 1").first()
+    assert runs.transformed == 4 and runs.mean_ms > 0
+
+
 def test_deletes_resets_and_publish(spark, transformed, config):
     at = F.timestamp_seconds(F.lit(1_700_000_000))
     feed = spark.createDataFrame(
@@ -294,3 +318,41 @@ def test_notices_to_transformed_mail(spark, tmp_path, config):
     assert {r.account_id: r.last_history_id for r in chain.cursors(s).collect()} == {1: 50, 2: 50}
     known = {r.id: r.last_history_id for r in chain.with_cursors(accounts, s).collect()}
     assert known == {1: 50, 2: 50, 3: 5}
+
+
+class Archive:
+    """A mailbox of 20,000 messages over a year, a page of 500 at a time; one day is broken."""
+
+    def __init__(self, account):
+        self.asked = 0
+
+    def list_messages(self, token, query=""):
+        from datetime import date
+
+        (a, b) = (date(*map(int, query.split(f"{side}:")[1].split()[0].split("/"))) for side in ("after", "before"))
+        assert query.startswith("label:INBOX ")
+        days = [d.toordinal() for d in (a, b)]
+        ids = [f"m{i}" for i in range(20_000) if days[0] <= date(2024, 1, 1).toordinal() + i % 366 < days[1]]
+        at = int(token or 0)
+        if at and a <= date(2024, 5, 5) < b:
+            raise RuntimeError("page lost")
+        page = {"messages": [{"id": i} for i in ids[at : at + 500]], "resultSizeEstimate": len(ids)}
+        return {**page, "nextPageToken": str(at + 500)} if at + 500 < len(ids) else page
+
+
+def test_a_listing_is_split_by_dates(spark):
+    from datetime import date
+
+    from postroom.sources import mailbox
+
+    year = spark.sql("select 1 as account_id, date'2024-01-01' as after, date'2025-01-01' as before")
+    ranges = mailbox.split_ranges(year, Archive, "label:INBOX", most=3_000).cache()
+    spans = sorted((r.after, r.before) for r in ranges.collect())
+    assert len(spans) == 8 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    listed = mailbox.list_ranges(ranges, Archive, "label:INBOX", tasks=8)
+    done = {(r.after, r.before): r.status for r in listed.where("status is not null").collect()}
+    assert sorted(done) == spans and sorted(done.values()) == ["completed"] * 7 + ["failed"]
+    whole = listed.join(listed.where("status = 'completed'").select("after"), "after").where("gmail_id is not null")
+    bad = next(k for k, v in done.items() if v == "failed")
+    want = sum(not bad[0].toordinal() <= date(2024, 1, 1).toordinal() + i % 366 < bad[1].toordinal() for i in range(20_000))
+    assert whole.count() == whole.select("gmail_id").distinct().count() == want
