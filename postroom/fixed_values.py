@@ -185,3 +185,17 @@ EMAIL_NOT_FOUND = "Email not found"
 THREAD_NOT_FOUND = "Thread not found"
 NOTHING_TO_SUMMARIZE = "No emails or thread specified."
 NO_EMAILS = "No emails to summarize."
+
+# Paths and settings of the model services.
+EMBED_PATH = "/embed"
+TOKENIZE_PATH = "/tokenize"
+NER_PATH = "/ner"
+DETECT_PATH = "/detect"
+CHAT_PATH = "/chat/completions"
+CHAT_SETTINGS = {
+    "max_tokens": 64,
+    "temperature": 0.0,
+    "top_p": 1.0,
+    "seed": 42,
+    "chat_template_kwargs": {"enable_thinking": False},
+}

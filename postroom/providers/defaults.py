@@ -72,9 +72,8 @@ class HashEmbedder:
 def read_entities(answer) -> list[dict]:
     """Entities out of any of the accepted response shapes."""
     if isinstance(answer, dict):
-        raw = next((answer[k] for k in fv.ENTITY_LIST_KEYS if answer.get(k)), [])
-    else:
-        raw = [e for e in answer or [] if isinstance(e, dict)]
+        answer = next((answer[k] for k in fv.ENTITY_LIST_KEYS if answer.get(k)), [])
+    raw = [e for e in answer or [] if isinstance(e, dict)]
 
     def pick(entity: dict, keys: tuple[str, ...]):
         # A plain "start"/"end" counts even at zero; its aliases count only when non-zero.
