@@ -2,7 +2,8 @@
 
 A segment holds the words of some mails: one row per word and mail with the word's positions, in
 folders by a hash of the word, so a query reads only its words' folders, and in them only the row groups
-of its words.  New mails make a new segment; segments of one size class are merged when there are
+of its words.  A word's rows lie by falling number of occurrences, and a small table counts them by that
+number, so a search for the best mails can start with few rows and stop early (``best_of_segments``).  New mails make a new segment; segments of one size class are merged when there are
 enough of them, so a mail is rewritten a number of times that grows with the logarithm of the store.
 Deleted mails are left out when hits meet the mails' state, so a delete writes nothing here.
 """
@@ -10,6 +11,7 @@ Deleted mails are left out when hits meet the mails' state, so a delete writes n
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,8 +62,12 @@ def _write(rows: DataFrame, key: str, path: str, buckets: int) -> int:
     if "position" in rows.columns:
         # A mail's positions of one word are bounded by its own length.
         dealt = dealt.groupBy("bucket", "salt", "lexeme", key).agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    dealt.drop("salt").sortWithinPartitions("bucket", "lexeme", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return rows.sparkSession.read.parquet(path).count()  # from the footers
+    counted = dealt.drop("salt").withColumn("tf", F.size("positions"))
+    counted.sortWithinPartitions("bucket", "lexeme", F.desc("tf"), key).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
+    written = rows.sparkSession.read.parquet(f"{path}/rows")
+    sums = written.groupBy("bucket", "lexeme", "tf").agg(F.count("*").alias("n")).repartition("bucket").sortWithinPartitions("lexeme")
+    sums.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/counts")
+    return written.count()  # from the footers
 
 
 def write_segment(emails: DataFrame, path: str, key: str = "id", buckets: int | None = None) -> Segment:
@@ -76,9 +82,7 @@ def write_segment(emails: DataFrame, path: str, key: str = "id", buckets: int |
 def merge_segments(spark: SparkSession, segments: list[Segment], path: str, key: str) -> Segment:
     """One segment with the rows of several; no text is read."""
     buckets = min(MOST_BUCKETS, 1 + sum(s.rows for s in segments) // ROWS_PER_BUCKET)
-    rows = spark.read.parquet(segments[0].path).drop("bucket")
-    for s in segments[1:]:
-        rows = rows.unionByName(spark.read.parquet(s.path).drop("bucket"))
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(f"{s.path}/rows").drop("bucket", "tf") for s in segments])
     return Segment(path, buckets, _write(rows, key, path, buckets))
 
 
@@ -91,27 +95,76 @@ def to_merge(segments: list[Segment]) -> list[Segment]:
     return []
 
 
-def search_segments(spark: SparkSession, segments: list[Segment], query: str, key: str = "id") -> DataFrame:
-    """(key, rank) of the mails that hold every query word.
+def _of_terms(spark: SparkSession, segments: list[Segment], terms: list[str], part: str) -> DataFrame:
+    """Rows of the words in the part ``rows`` or ``counts`` of all segments.
 
-    Folders and words are literals, so only the words' row groups are read; the shuffle is by mail.
-    One word needs no position: its rank is its number of occurrences.
+    Folders and words are constant expressions that the optimizer folds, so they are pruned statically.
     """
-    terms = ft.query_terms(query)
-    hits = None
+    found = []
     for s in segments:
-        index = spark.read.parquet(s.path)
-        # Constant expressions: the optimizer folds them, so folders are pruned statically.
         wanted = [_bucket(F.lit(t), s.buckets) for t in terms]
-        own = index.where(F.col("bucket").isin(wanted) & F.col("lexeme").isin(terms)) if terms else index.where(F.lit(False))
-        own = own.select(key, "lexeme", "positions")
-        hits = own if hits is None else hits.unionByName(own)
-    if hits is None:
-        return spark.createDataFrame([], f"{key} string, rank double")
-    if len(terms) <= 1:
-        return hits.select(key, (F.size("positions") * F.lit(ft.LEXEME_WEIGHT)).alias("rank"))
+        found.append(spark.read.parquet(f"{s.path}/{part}").where(F.col("bucket").isin(wanted) & F.col("lexeme").isin(terms)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _ranked(hits: DataFrame, terms: list[str], key: str) -> DataFrame:
+    """(key, rank) of the mails with a row for every term.  One term needs no position: its rank is its count."""
+    if len(terms) == 1:
+        return hits.select(key, (F.col("tf") * F.lit(ft.LEXEME_WEIGHT)).alias("rank"))
     numbers = F.create_map(*[x for n, t in enumerate(terms) for x in (F.lit(t), F.lit(n + 1))])
     at = F.transform("positions", lambda p: F.struct(p.alias("at"), F.element_at(numbers, F.col("lexeme")).alias("term")))
     # A mail's matches are bounded by its own length, so one list per mail is safe.
     per_mail = hits.groupBy(key).agg(F.collect_list(at).alias("by_term")).where(F.size("by_term") == len(terms))
     return per_mail.select(key, ft.cover_density_of_hits(F.sort_array(F.flatten("by_term")), len(terms)).alias("rank"))
+
+
+def search_segments(spark: SparkSession, segments: list[Segment], query: str, key: str = "id") -> DataFrame:
+    """(key, rank) of the mails that hold every query word; the shuffle is by mail."""
+    terms = ft.query_terms(query)
+    if not terms or not segments:
+        return spark.createDataFrame([], f"{key} string, rank double")
+    return _ranked(_of_terms(spark, segments, terms, "rows"), terms, key)
+
+
+@dataclass(frozen=True)
+class Best:
+    """Hits that hold the best mails, and the share of the words' rows that was read for them."""
+
+    hits: DataFrame
+    read: float
+
+
+def best_of_segments(spark: SparkSession, segments: list[Segment], query: str, k: int, matching: DataFrame, key: str = "id") -> Best:
+    """(key, rank) of at least the ``k`` best mails of ``matching``, ties of the last one included.
+
+    A minimal cover holds each word, and for each occurrence of a word as its first one there are at most as
+    many covers as there are words.  So a mail in which some word occurs fewer than x times ranks at
+    most weight * words * (x - 1), and the walk stops at the x where the k-th rank so far is higher.
+    It starts where each word has a few times k rows, and halves x: few rounds, each a job over fewer rows
+    than the next.
+    """
+    terms = ft.query_terms(query)
+    if not terms or not segments or k < 1:
+        return Best(search_segments(spark, segments, "", key), 0.0)
+    by_tf = _of_terms(spark, segments, terms, "counts").groupBy("lexeme", "tf").agg(F.sum("n").alias("n")).collect()  # a row per word and count
+    counts = {t: sorted((r.tf, r.n) for r in by_tf if r.lexeme == t) for t in terms}
+    total = sum(n for own in counts.values() for _, n in own)
+    if not all(counts.values()):
+        return Best(search_segments(spark, segments, "", key), 0.0)
+
+    def rows_from(x: int, t: str) -> int:
+        return sum(n for tf, n in counts[t] if tf >= x)
+
+    rows, ids = _of_terms(spark, segments, terms, "rows"), matching.select(key)
+    x = max(tf for own in counts.values() for tf, _ in own)
+    while x > 1 and any(rows_from(x, t) < 4 * k for t in terms):
+        x //= 2
+    while True:
+        hits = _ranked(rows.where(F.col("tf") >= x), terms, key)
+        read = sum(rows_from(x, t) for t in terms) / total
+        if x <= 1:
+            return Best(hits, read)
+        top = hits.join(ids, key, "left_semi").orderBy(F.desc("rank")).limit(k).agg(F.count("*").alias("n"), F.min("rank").alias("least")).first()
+        if top.n == k and top.least > ft.LEXEME_WEIGHT * len(terms) * (x - 1) + 1e-9:
+            return Best(hits, read)
+        x //= 2

@@ -142,6 +142,30 @@ def test_postings_equal_scan(spark, sf, tmp_path):
     assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ = \d", shown)
 
 
+def test_early_ending_gives_the_same_best(spark, tmp_path):
+    """Skewed counts: a few mails hold the words often; ties at the end are all there."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        often = 40 - i if i < 40 else 1
+        words = ["aa", "bb"] * often + [rng.choice(["aa", "bb", "cc", "x", "y", "z"]) for _ in range(20)]
+        rng.shuffle(words) if i % 2 else None
+        rows.append((i, " ".join(words)))
+    mail = spark.createDataFrame(rows, "id long, body_text string").selectExpr("id", "body_text", "null as subject", "'' as from_email", "null as from_name")
+    parts = [postings.write_segment(mail.where(F.pmod("id", F.lit(2)) == n), str(tmp_path / f"p{n}"), buckets=2) for n in range(2)]
+    matching = mail.where("id % 3 <> 0")
+    for query, k in (("aa", 5), ("aa bb", 5), ("bb aa", 12), ("cc aa bb", 4), ("aa none", 3), ("", 3), ("aa bb", 500)):
+        best = postings.best_of_segments(spark, parts, query, k, matching)
+
+        def top(hits, n=k):
+            found = hits.join(matching.select("id"), "id").collect()
+            return sorted(((-round(r.rank, 9), r.id) for r in found))[:n]
+
+        assert top(best.hits) == top(postings.search_segments(spark, parts, query)), query
+        if k <= 5 and query in ("aa", "aa bb"):
+            assert 0 < best.read < 0.1
+
+
 def test_query_terms_and_words_are_whole(column):
     assert ft.query_terms("Don't, DON'T é2") == ["don", "t", "é2"]
     v = F.col("v")

@@ -284,6 +284,6 @@ def test_index_segments_grow_by_tiers_and_outlive_their_batches(spark, tmp_path,
     store.compact()
     assert store.drop_old(keep=0).count("messages/batch=1-a-0-1") == 1 and store.exists(f"{store.root}/messages/batch=1-a-0-2")
     assert store.index_news() == 1 and found("m3") == ["m3"]
-    files = [sorted(spark.read.parquet(s.path).inputFiles()) for s in store.index()]
+    files = [sorted(spark.read.parquet(f"{s.path}/rows").inputFiles()) for s in store.index()]
     put(store, "1-a-0-3", [], [("m1", "delete", 4)])
-    assert store.index_news() == 0 and files == [sorted(spark.read.parquet(s.path).inputFiles()) for s in store.index()]
+    assert store.index_news() == 0 and files == [sorted(spark.read.parquet(f"{s.path}/rows").inputFiles()) for s in store.index()]
