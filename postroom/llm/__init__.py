@@ -1 +1 @@
-"""Training-data operators and their registered queries (``op1_`` to ``op10_``, ``pipeline``)."""
+"""Training-data operators and their registered queries (``op1_`` to ``op13_``, ``pipeline``)."""

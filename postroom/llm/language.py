@@ -25,8 +25,8 @@ TRAIN_DOCS = 3000
 RANKED_APART = 64
 #: Added to every piece's count.
 SMOOTHING = 0.1
-#: Words whose scores a Python worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 500_000
+#: Words, and bytes of their scores, that a Python worker remembers; beyond either the memory is emptied and filled anew.
+REMEMBERED, REMEMBERED_BYTES = 500_000, 64_000_000
 UNDETERMINED = "und"
 #: Words of up to so many letters stay within the range of floating point without scaling.
 PLAIN_LETTERS = 28
@@ -136,7 +136,8 @@ class LanguageModel:
     def remember(self, words: set[str]) -> None:
         """Make sure that the scores of all the words are in the table."""
         new = words.difference(self.known)
-        if self.table is None or (new and len(self.known) > REMEMBERED):
+        most = min(REMEMBERED, REMEMBERED_BYTES // (8 * max(1, len(self.languages))))
+        if self.table is None or (new and len(self.known) > most):
             self.known.clear()
             self.table = np.empty((1 << 12, len(self.languages)))
             new = words
