@@ -29,34 +29,45 @@ THRESHOLD = 0.8
 
 @dataclass(frozen=True)
 class Template:
-    """``phrase``: its words must stand consecutively, and every such place is reported."""
+    """``phrase``: its words must stand consecutively, and every such place is reported.
+
+    ``row``: a block counts only if the words stand consecutively in it.
+    """
 
     label: str
     text: str
     threshold: float = 1.0
     phrase: bool = False
+    row: bool = False
 
     @property
     def words(self) -> list[bytes]:
         return words_of(self.text.encode())
 
 
-# The three base phrases; names of public licenses (all words of the name in one
-# short block); opening or notice paragraphs of public license texts (at least THRESHOLD of the words).
+#: Templates that a table of them may have: what is broadcast is bounded.
+MOST_TEMPLATES = 10_000
+
+# The three base phrases; names of public licenses (all words of the name in a
+# row); paragraphs of public license texts (at least THRESHOLD of the words).
 BASE = (
     Template("mit", "under the mit license", phrase=True),
     Template("apache-2", "apache license version 2", phrase=True),
     Template("cc-by-nc", "cc by nc", phrase=True),
 )
 NAMES = (
-    Template("gpl-2", "gnu general public license version 2"),
-    Template("gpl-3", "gnu general public license version 3"),
-    Template("lgpl", "gnu lesser general public license"),
-    Template("agpl-3", "gnu affero general public license"),
-    Template("mpl-2", "mozilla public license version 2"),
-    Template("cc-by-nc", "creative commons attribution noncommercial license"),
-    Template("cc-by-sa", "creative commons attribution sharealike license"),
-    Template("bsd", "redistributed under the bsd license"),
+    Template("gpl-2", "gnu general public license version 2", row=True),
+    Template("gpl-3", "gnu general public license version 3", row=True),
+    Template("lgpl", "gnu lesser general public license", row=True),
+    Template("agpl-3", "gnu affero general public license", row=True),
+    Template("mpl-2", "mozilla public license version 2", row=True),
+    Template("cc-by-nc", "creative commons attribution noncommercial license", row=True),
+    Template("cc-by-sa", "creative commons attribution sharealike license", row=True),
+    Template("gpl-2", "gnu gpl version 2", row=True),
+    Template("gpl-3", "gnu gpl version 3", row=True),
+    Template("apache-2", "apache 2 0 license", row=True),
+    Template("isc", "under the isc license", row=True),
+    Template("bsd", "redistributed under the bsd license", row=True),
 )
 PARAGRAPHS = (
     Template(
@@ -96,10 +107,97 @@ PARAGRAPHS = (
         "sell or distribute this software",
         THRESHOLD,
     ),
+    Template(
+        "mit",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "software",
+        THRESHOLD,
+    ),
+    Template(
+        "mit",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+        "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or "
+        "copyright holders be liable for any claim damages or other liability whether in an action of contract tort or "
+        "otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        THRESHOLD,
+    ),
+    Template(
+        "apache-2",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an "
+        "as is basis without warranties or conditions of any kind either express or implied see the license for the specific "
+        "language governing permissions and limitations under the license",
+        THRESHOLD,
+    ),
+    Template(
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+        "disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution",
+        THRESHOLD,
+    ),
+    Template(
+        "bsd",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties "
+        "including but not limited to the implied warranties of merchantability and fitness for a particular purpose are "
+        "disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental "
+        "special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+        "loss of use data or profits or business interruption however caused and on any theory of liability whether in "
+        "contract strict liability or tort including negligence or otherwise arising in any way out of the use of this "
+        "software even if advised of the possibility of such damage",
+        THRESHOLD,
+    ),
+    Template(
+        "isc",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all "
+        "implied warranties of merchantability and fitness in no event shall the author be liable for any special direct "
+        "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an "
+        "action of contract negligence or other tortious action arising out of or in connection with the use or performance of "
+        "this software",
+        THRESHOLD,
+    ),
+    Template(
+        "gpl",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied "
+        "warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        THRESHOLD,
+    ),
+    Template(
+        "mpl-2",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not "
+        "distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        THRESHOLD,
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable "
+        "for any damages arising from the use of this software permission is granted to anyone to use this software for any "
+        "purpose including commercial applications and to alter it and redistribute it freely subject to the following "
+        "restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original "
+        "software if you use this software in a product an acknowledgment in the product documentation would be appreciated "
+        "but is not required altered source versions must be plainly marked as such and must not be misrepresented as being "
+        "the original software this notice may not be removed or altered from any source distribution",
+        THRESHOLD,
+    ),
 )
 TEMPLATES = BASE + NAMES + PARAGRAPHS
 
 
+def templates_from(rows: DataFrame) -> tuple[Template, ...]:
+    """Templates out of a table (label, text[, threshold, phrase, row]); more than ``MOST_TEMPLATES`` are an error.
+
+    Rows without a label or a word are left out; a missing threshold is ``THRESHOLD`` (1 for ``phrase`` and ``row``).
+    """
+    found = rows.limit(MOST_TEMPLATES + 1).collect()
+    if len(found) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    made = []
+    for r in (f.asDict() for f in found):
+        strict = bool(r.get("phrase") or r.get("row"))
+        share = 1.0 if strict else r.get("threshold") if r.get("threshold") is not None else THRESHOLD
+        made.append(Template(r["label"], r["text"] or "", share, bool(r.get("phrase")), bool(r.get("row"))))
+    return tuple(t for t in made if t.label and t.words)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words of UTF-8 bytes; only A-Z are lowered."""
     return _WORD.findall(text.lower())
@@ -113,6 +211,10 @@ def block_step(template: Template) -> int:
     return 1 << max(2, (len(template.words) - 1).bit_length())
 
 
+def in_a_row(phrase: list[bytes], words: list[bytes]) -> bool:
+    return any(words[at : at + len(phrase)] == phrase for at in range(len(words) - len(phrase) + 1))
+
+
 class Index:
     """Prefix index over the templates, for one global order of their words."""
 
@@ -163,6 +265,8 @@ class Index:
         for k, first, size, common in self.matches(words):
             template = self.templates[k]
             if not template.phrase:
+                if template.row and not in_a_row(self.words[k], words[first : first + size]):
+                    continue
                 blocks.append({"label": template.label, "start": first, "words": size, "containment": common / len(self.ordered[k])})
                 continue
             phrase = self.words[k]
@@ -238,10 +342,12 @@ def _oracle() -> str:
             )
         else:
             step = block_step(t)
+            held = f"w[k * {step} + 1:(k + 2) * {step}]"
+            row = f" and contains(' ' || array_to_string({held}, ' ') || ' ', ' {' '.join(words)} ')" if t.row else ""
             templates.append(
-                f"select doc_id, '{t.label}' as label, c / {len(set(words))} as containment from (select doc_id, "
-                f"len(list_intersect(w[k * {step} + 1:(k + 2) * {step}], {listed})) as c from d, "
-                f"unnest(range(0, (len(w) - 1) // {step} + 1)) as u(k) where list_has_any(w, {listed})) where c >= {needed_words(t)}"
+                f"select doc_id, '{t.label}' as label, c / {len(set(words))} as containment from (select doc_id, w, k, "
+                f"len(list_intersect({held}, {listed})) as c from d, "
+                f"unnest(range(0, (len(w) - 1) // {step} + 1)) as u(k) where list_has_any(w, {listed})) where c >= {needed_words(t)}{row}"
             )
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w

@@ -52,3 +52,37 @@ def test_nulls_long_repeated_rows_and_whole_paragraphs(spark):
     assert got[4] == (None, 5, [("cc-by-nc", 0)], []) and got[5][2:] == ([], []) and got[6][2] == []
     assert got[7][:3] == (3, 4, [("mit", 0)])
     assert licenses.scan(docs.limit(0)).collect() == []
+
+
+def labels(text: str, templates=licenses.TEMPLATES) -> list[str]:
+    return sorted({b["label"] for b in licenses.Index(templates, {}).scan(licenses.words_of(text.encode()))[1]})
+
+
+def test_names_stand_in_a_row():
+    assert labels("not under the gnu general public license; see version 2 of our guide") == []
+    assert labels("GNU General Public License version 3 replaced version 2") == ["gpl-3"]
+    assert labels("the GNU General Public License, Version 2, applies") == ["gpl-2"]
+    assert labels("a license of the gnu public general version 2 kind") == []
+
+
+def test_paragraphs_of_full_texts_and_clean_prose():
+    for t in licenses.PARAGRAPHS:
+        words = t.text.split()
+        words[len(words) // 2] = "changed"
+        assert t.label in labels("Some code. " * 9 + " ".join(words))
+    prose = "The authors of this report are liable for its claims. Permission to use the hall was granted by the state, without any warranty. " * 20
+    assert labels(prose) == []
+
+
+def test_templates_out_of_a_table(spark, monkeypatch):
+    import pytest
+
+    rows = spark.createDataFrame([("own", "our own special terms apply here", None, False), ("own-2", "own terms", None, True), (None, "x", None, False), ("none", None, None, False)], "label string, text string, threshold double, row boolean")
+    made = licenses.templates_from(rows)
+    assert [(t.label, t.threshold, t.row) for t in made] == [("own", 0.8, False), ("own-2", 1.0, True)]
+    assert labels("Our own special terms may apply here.", made) == ["own"] and labels("own terms", made) == ["own-2"]
+    docs = spark.createDataFrame([(1, "these are own terms")], "doc_id long, text string")
+    assert [b.label for b in licenses.scan(docs, made).first().blocks] == ["own-2"]
+    monkeypatch.setattr(licenses, "MOST_TEMPLATES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        licenses.templates_from(rows)
