@@ -207,7 +207,10 @@ def test_a_failed_account_is_tried_again_by_its_timer(spark, tmp_path):
     run = chain.follow_histories(raw, accounts, store, lambda a: Flaky(a, place), str(tmp_path / "checkpoint"), 0.5, {"processingTime": "0 seconds"})
 
     def events():
-        found = spark.read.parquet(store.path("sync_events")).collect() if store.exists(store.path("sync_events")) else []
+        if not store.exists(store.path("sync_events")):
+            return set()
+        reader = spark.read.schema("status string, emails_processed long").option("recursiveFileLookup", "true")
+        found = reader.parquet(store.path("sync_events")).collect()
         return {(r.status, r.emails_processed) for r in found}
 
     def wait(status):

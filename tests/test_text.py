@@ -99,7 +99,9 @@ def test_clean_body_switches(column):
     kept = text.clean_body(V, quotes=False, signatures=False, tracking=False, invisible=False)
     assert column([body], kept) == [body.strip()]
     model = text.clean_body(V, extract_main=lambda c: F.when(c.isNotNull(), F.lit(" core ")))
-    assert column([body, "x" * 13000], model) == ["core", "x" * 13000]
+    assert column([body, "x" * 13000], model) == ["core", "core"]  # no text is left out by default
+    bounded = text.clean_body(V, extract_main=lambda c: F.when(c.isNotNull(), F.lit(" core ")), extract_most=12_000)
+    assert column([body, "x" * 13000], bounded) == ["core", "x" * 13000]
 
 
 PII_CASES = {
