@@ -37,6 +37,8 @@ def route(decoded: DataFrame, accounts: DataFrame, with_cursor: bool = False) ->
     The stored cursor wins over the notification's own history id.  One busy account may
     send a third of all notices, so notices are salted and the accounts (one row per
     address) copied per salt; micro-batches have no adaptive skew handling to rely on.
+    Both sides are shuffled: the copies outgrow what Spark takes them for, so a broadcast of
+    them would fill the driver.
     ``with_cursor`` adds the account's own ``last_history_id``.
     """
     known = accounts.select(
@@ -46,7 +48,7 @@ def route(decoded: DataFrame, accounts: DataFrame, with_cursor: bool = False) ->
         F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"),
     )
     spread_out = F.pmod(F.xxhash64("history_id", *decoded.columns[:1]), F.lit(_SALTS)).cast("int")
-    joined = decoded.withColumn("salt", spread_out).join(known, ["email_address", "salt"], "left")
+    joined = decoded.withColumn("salt", spread_out).join(known.hint("merge"), ["email_address", "salt"], "left")
     return joined.select(
         *[c for c in decoded.columns if c != "status"],
         "account_id",

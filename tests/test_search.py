@@ -328,6 +328,12 @@ def test_notices(spark):
     assert due == {1: (5, 2), 2: (7, 1)}
 
 
+def test_notices_never_broadcast_the_copied_accounts(spark, sf):
+    routed = notices.route(notices.decode(given.notifications(spark, sf)), given.accounts(spark, sf))
+    plan = routed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 class FakeClient:
     """Two listing pages, two history pages, one message that cannot be read."""
 
