@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postroom import fixed_values as fv
-from postroom.functions.text import fold_case, has_text, let, mentions, strip
+from postroom.functions.text import edged, fold_case, has_text, let, mentions, strip
 
 
 # What a text must hold before a rule can match it at all, by position in the fixed lists.
@@ -67,16 +67,20 @@ def _apply(c: Column, rules, needs, gates) -> Column:
     return state["text"]
 
 
-def redact_pii(c: Column) -> Column:
-    """E-mail, phone, card, SSN and nine-digit ids; the order decides the outcome."""
-    rules = [(p, k, "U") for p, k in fv.PII]
+def redact_pii(c: Column, ascii_edges: bool = False) -> Column:
+    """E-mail, phone, card, SSN and nine-digit ids; the order decides the outcome.
+
+    ``ascii_edges``, here and below: a word's edge lies between ASCII letters, digits and underscores
+    and anything else, so a secret that touches an accented letter goes too.
+    """
+    rules = [(edged(p, ascii_edges), k, "U") for p, k in fv.PII]
     # ``c`` is often a long chain itself: bind it before it is read twice.
     return let(c, lambda t: _apply(t, rules, _PII_NEEDS, _PII_GATES))
 
 
-def redact_secrets(c: Column) -> Column:
+def redact_secrets(c: Column, ascii_edges: bool = False) -> Column:
     """Links first (so reset links stay readable as [LINK]), then keys and tokens."""
-    rules = [(p, k, "Ui" if i else "U") for p, k, i in (fv.LINK, *fv.SECRETS)]
+    rules = [(edged(p, ascii_edges), k, "Ui" if i else "U") for p, k, i in (fv.LINK, *fv.SECRETS)]
     return let(c, lambda t: _apply(t, rules, _SECRET_NEEDS, _SECRET_GATES))
 
 
@@ -121,21 +125,21 @@ def entity_redactor(ner):
     return redact
 
 
-def redact_for_display(c: Column, lang: Column | None = None, ner=None) -> Column:
+def redact_for_display(c: Column, lang: Column | None = None, ner=None, ascii_edges: bool = False) -> Column:
     """Personal data, then named entities (when a recogniser is given), then secrets."""
-    text = redact_pii(F.coalesce(c, F.lit("")))
+    text = redact_pii(F.coalesce(c, F.lit("")), ascii_edges)
     if ner is not None:
         text = entity_redactor(ner)(text, F.lit("en") if lang is None else lang)
-    return redact_secrets(text)
+    return redact_secrets(text, ascii_edges)
 
 
-def snippet_for_tier(snippet: Column, tier: Column, lang: Column | None = None, ner=None) -> Column:
+def snippet_for_tier(snippet: Column, tier: Column, lang: Column | None = None, ner=None, ascii_edges: bool = False) -> Column:
     """Placeholder for the two private tiers, redacted snippet otherwise, '' as null."""
     private = tier.isin(fv.SENSITIVE, fv.PERSONAL)
     shown = F.when(has_text(snippet), strip(snippet)).otherwise(F.lit(""))
     return F.nullif(
         F.when(private, F.lit(fv.SNIPPET_PLACEHOLDER)).otherwise(
-            redact_for_display(shown, lang, ner)
+            redact_for_display(shown, lang, ner, ascii_edges)
         ),
         F.lit(""),
     )

@@ -165,6 +165,22 @@ def test_redaction_equals_python_on_real_texts(spark, sf):
         assert not re.search(fv.PII[0][0], r.pii)
 
 
+def test_word_edges_of_the_redacting_queries(spark, tmp_path):
+    run, kept = "erschlichereinbelichen", "\u00e9" + "erschlichereinbelichen" + "\u00e9"
+    texts = [f"x {run} y", f"x {run}\u00dfen y", f"\u00e9{run} y", "x 123456789\u00fc y"]
+    spark.createDataFrame([(9 * i, "de", "web", t) for i, t in enumerate(texts)], "doc_id long, lang string, source string, text string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    want = ["x [REDACTED] y", "x [REDACTED]\u00dfen y", "\u00e9[REDACTED] y", "x 123456789\u00fc y"]
+    ids = [*want[:3], "x [ID]\u00fc y"]
+    for name, texts_found in (("redact_secrets", want), ("redact_for_display", ids), ("redact_entities", ids), ("snippet_by_tier", ids)):
+        found = {r["id"] // 9: r[1] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        for i, text_found in enumerate(texts_found):
+            assert found[i] == "Content redacted" if name == "snippet_by_tier" and i in (1, 2) else found[i].startswith(text_found)
+    # The operator itself follows Unicode, as the reference does.
+    assert spark.createDataFrame([(kept,)], "v string").select(redaction.redact_secrets(V)).first()[0] == kept
+
+
 def test_entities(column):
     assert read_entities({"ents": [{"start_char": 3, "end_char": 9, "type": "person"}]}) == [
         {"start": 3, "end": 9, "label": "PERSON"}
