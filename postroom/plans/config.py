@@ -142,6 +142,8 @@ class EngineConfig:
     tokenizer: Any = field(default_factory=CharTokenizer)
     embedder: Any = None
     ner: Any = None
+    #: Redaction takes only ASCII letters, digits and underscores for parts of a word (see ``redaction.redact_pii``).
+    ascii_edges: bool = False
     language: Any = None
     classifier: Any = field(default_factory=RuleClassifier)
     prompts: Prompts = field(default_factory=Prompts.load)

@@ -73,11 +73,13 @@ def prepare(emails: DataFrame, config: EngineConfig) -> DataFrame:
         )
         .withColumn("prompt", tiering.full_prompt(config.prompts, values(F.col("preview"))))
     )
+    # Rules have no context to fill, so they see the body as a whole.
+    seen = F.col("prompt_body") if getattr(config.classifier, "whole_bodies", False) else F.col("preview")
     # A column of its own: the parser reads it many times, and would repeat an inlined answer.
     asked = prompted.withColumn(
         "answer_text",
         config.classifier.answer(
-            tiering.normalized_sender(F.col("sender")), subject, F.col("preview"), F.col("prompt")
+            tiering.normalized_sender(F.col("sender")), subject, seen, F.col("prompt")
         ),
     )
     answered = asked.withColumns(
@@ -100,9 +102,9 @@ def prepare(emails: DataFrame, config: EngineConfig) -> DataFrame:
     ).withColumn("privacy_tier", tiering.tier_code(F.col("tier_word")))
     return answered.withColumns(
         {
-            "body_redacted": redaction.redact_for_display(F.col("clean"), F.col("lang"), config.ner),
+            "body_redacted": redaction.redact_for_display(F.col("clean"), F.col("lang"), config.ner, config.ascii_edges),
             "snippet_redacted": redaction.snippet_for_tier(
-                F.col("snippet"), F.col("privacy_tier"), F.col("lang"), config.ner
+                F.col("snippet"), F.col("privacy_tier"), F.col("lang"), config.ner, config.ascii_edges
             ),
             "subject_text": text.strip(subject),
             "body_kind": chunking.body_kind(F.col("clean"), tok, lim.embed_max_tokens),
@@ -204,10 +206,11 @@ def embed(prepared: DataFrame, config: EngineConfig) -> DataFrame:
     )
     expect_subject = has_subject & (F.col("privacy_tier") != fv.SENSITIVE)
     expect_body = F.col("clean") != ""
+    has_vector = getattr(config.embedder, "has_vector", lambda _: F.lit(True))
     chunk_problems = F.filter(
         F.transform(
             "chunks",
-            lambda c: vectors.vector_problem(c["embedding"], "chunk embedding", F.lit(True), config.dim),
+            lambda c: vectors.vector_problem(c["embedding"], "chunk embedding", has_vector(c["text"]), config.dim),
         ),
         lambda p: p.isNotNull(),
     )
@@ -215,7 +218,7 @@ def embed(prepared: DataFrame, config: EngineConfig) -> DataFrame:
         "prepare_problem",
         "embed_problem",
         vectors.vector_problem(
-            F.col("subject_embedding"), "subject_embedding", expect_subject, config.dim
+            F.col("subject_embedding"), "subject_embedding", expect_subject & has_vector(F.col("subject_text")), config.dim
         ),
         F.when(
             expect_body & F.col("body_embedding").isNull() & F.col("body_pooled_embedding").isNull(),
@@ -223,12 +226,14 @@ def embed(prepared: DataFrame, config: EngineConfig) -> DataFrame:
         ),
         F.when(
             F.col("body_embedding").isNotNull(),
-            vectors.vector_problem(F.col("body_embedding"), "body_embedding", expect_body, config.dim),
+            vectors.vector_problem(
+                F.col("body_embedding"), "body_embedding", expect_body & has_vector(F.col("clean")), config.dim
+            ),
         ),
         F.when(
             F.col("body_pooled_embedding").isNotNull(),
             vectors.vector_problem(
-                F.col("body_pooled_embedding"), "body_pooled_embedding", expect_body, config.dim
+                F.col("body_pooled_embedding"), "body_pooled_embedding", expect_body & has_vector(F.col("clean")), config.dim
             ),
         ),
         F.try_element_at(chunk_problems, F.lit(1)),

@@ -4,9 +4,11 @@ A provider is any object with the same attributes:
 
 * tokenizer: ``length_based``; either ``count_column(Column)`` and
   ``count_length(Column)``, or ``open() -> callable(text) -> list`` (per worker)
-* embedder: ``dim`` and ``open() -> callable(list[str]) -> list of vectors``
+* embedder: ``dim`` and ``open() -> callable(list[str]) -> list of vectors``; where some texts
+  have the zero vector by design, ``has_vector(Column)`` tells the others
 * ner: ``open() -> callable(text, lang) -> list[{start, end, label}]``
-* classifier: ``answer(DataFrame column dict) -> Column`` holding the raw model text
+* classifier: ``answer(DataFrame column dict) -> Column`` holding the raw model text; with
+  ``whole_bodies`` it is given the body itself in place of the preview that fits a prompt
 """
 
 from __future__ import annotations
@@ -60,6 +62,10 @@ class HashEmbedder:
     def open(self):
         return self.embed
 
+    def has_vector(self, text: Column) -> Column:
+        """A text without tokens, such as a line of dashes, has the zero vector."""
+        return text.rlike(r"[\p{L}\p{N}]")
+
     def embed(self, texts: list[str]) -> list[np.ndarray]:
         return [self._one(t) for t in texts]
 
@@ -115,6 +121,8 @@ class PatternNer:
 class RuleClassifier:
     """Answers with the tier word that the ordered rules give."""
 
+    whole_bodies = True
+
     def answer(self, sender: Column, subject: Column, body: Column, prompt: Column) -> Column:
         return rule_based_answer(sender, subject, body)
 

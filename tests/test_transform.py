@@ -9,6 +9,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postroom import fixed_values as fv
@@ -104,6 +105,17 @@ def test_a_bad_vector_fails_only_its_row(spark, sf):
     assert any(p and "wrong dim 3 (expected 64)" in p for p in problems)
 
 
+def test_texts_without_words_and_word_edges_like_the_sql(spark, sf):
+    rows = given.emails(spark, sf, *_INPUT).limit(4).withColumns({"deleted_at": F.lit(None).cast("timestamp"), "subject": F.lit("---")})
+    bodies = ["word " * 8000 + "token = abcdef " + "word " * 400 + ". | " * 7000, "|||", "id 123-45-6789\u00fc", "run erschlichereinbelichen\u00df"]
+    numbered = rows.withColumn("id", F.row_number().over(Window.orderBy("id")) - 1)
+    mails = numbered.withColumn("body_text", F.get(F.array(*map(F.lit, bodies)), F.col("id")))
+    found = {r.id: r for r in plan.transform(mails, _config()).collect()}
+    assert [found[i].problem for i in range(4)] == [None] * 4
+    assert found[0].privacy_tier == 1  # what stands in the middle of a long body counts
+    assert found[2].privacy_tier == 1 and found[3].body_redacted == "run [REDACTED]\u00df"
+
+
 def test_too_large_requests_are_split():
     calls = []
 
