@@ -5,7 +5,7 @@ that prefix alone, so it is computed once per trie node and shared by all pre-to
 Walking the pre-tokens in sorted order visits the trie depth first: only the current path is kept.
 What stays is each pre-token's count, and a text's count is a sum of look-ups.
 
-The scores are learned: expectation maximisation over the words of a bounded sample, by the same forward
+The scores are learned: expectation maximisation over the words of all texts, by the same forward
 pass with sums in place of maxima, from a start where rank r of the vocabulary has a share of 1 / r.
 """
 
@@ -15,7 +15,9 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +26,10 @@ from postroom.llm.registry import by_size, prepare, query, table, written
 
 #: Pre-tokens whose counts a Python worker remembers; beyond it the memory is emptied and filled anew.
 REMEMBERED = 800_000
-#: Texts, by a hash of their id, and their most frequent words that the scores are learned from; words of
-#: more letters are not learned from.
-TRAIN_DOCS, TRAIN_WORDS, TRAIN_LETTERS = 5_000, 100_000, 30
+#: Distinct words that a task counts before it hands them on.
+COUNTED = 200_000
+#: Letters of equally long words that learning takes together; pieces of longer words are looked up twice instead of kept.
+GROUPED_LETTERS, KEPT_LETTERS = 40_000, 1_000
 ROUNDS = 4
 #: Added to every piece's expected count.
 SMOOTHING = 0.1
@@ -44,14 +47,17 @@ class UnigramCounter:
     byte_score: float
     longest: int
     known: dict[str, int] = field(default_factory=dict, repr=False)
-    #: Log-probability per letter of the sample's words before each round of learning.
+    #: Log-probability per letter of all words before each round of learning.
     per_letter: list[float] = field(default_factory=list)
 
-    @property
-    def shares(self) -> dict[str, float]:
-        if not hasattr(self, "_shares"):
-            self._shares = {p: math.exp(s) for p, s in self.scores.items()}
-        return self._shares
+    @cached_property
+    def places(self) -> dict[str, int]:
+        return {p: i for i, p in enumerate(self.scores)}
+
+    @cached_property
+    def logs(self) -> np.ndarray:
+        """Scores by place; the place after them stands for everything else."""
+        return np.array([*self.scores.values(), -np.inf])
 
     def grow(self, words: set[str]) -> None:
         """Walk the trie of the words and keep the count at each word's end."""
@@ -110,71 +116,110 @@ def unigram(vocabulary: str) -> UnigramCounter:
     return UnigramCounter(scores, byte_score, max(map(len, scores), default=1))
 
 
+def expect(counter: UnigramCounter, words: dict[str, int], sums: np.ndarray) -> float:
+    """Adds the expected number of each piece, over all segmentations of all words, to ``sums``; the log-likelihood.
+
+    ``sums`` has a place per score and one for characters outside the vocabulary.  Words of a length go
+    together, a column each; sums of probabilities stay logarithms, so words may be of any length.
+    """
+    groups: dict[int, list[str]] = {}
+    for word in words:
+        groups.setdefault(len(word) + 1, []).append(word)
+    return sum(
+        _expect_equally_long(counter, size, part, np.array([words[w] for w in part], float), sums)
+        for size, group in groups.items()
+        for at in range(0, len(group), max(1, GROUPED_LETTERS // size))
+        for part in [group[at : at + max(1, GROUPED_LETTERS // size)]]
+    )
+
+
 def expected(counter: UnigramCounter, word: str) -> tuple[dict[str, float], float]:
     """Expected number of each piece in a word over all its segmentations, and its log-probability."""
-    text, size = _START + word, len(word) + 1
-    shares = counter.shares
+    sums = np.zeros(len(counter.scores) + 1)
+    log = expect(counter, {word: 1}, sums)
+    return {p: float(sums[i]) for p, i in counter.places.items() if sums[i]}, log
+
 
-    def edges(i: int) -> Iterator[tuple[int, str, float]]:
+def _expect_equally_long(counter: UnigramCounter, size: int, words: list[str], n: np.ndarray, sums: np.ndarray) -> float:
+    texts, places, logs, none = [_START + w for w in words], counter.places, counter.logs, len(counter.scores)
+    ends: dict[int, list] = {}
+
+    def edges(i: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(start, pieces, their scores) of the pieces that end at ``i``."""
+        if i in ends:
+            return ends[i]
+        found = []
         for j in range(max(0, i - counter.longest), i):
-            p = shares.get(text[j:i])
-            if p is None and j == i - 1:
-                p = math.exp(counter.byte_score * len(text[j].encode()))
-            if p is not None:
-                yield j, text[j:i], p
-
-    all_edges = [list(edges(i)) for i in range(1, size + 1)]
-    ahead, behind = [1.0] + [0.0] * size, [0.0] * size + [1.0]
-    for i, own in enumerate(all_edges, 1):
-        ahead[i] = sum(ahead[j] * p for j, _, p in own)
+            own = np.fromiter((places.get(t[j:i], none) for t in texts), np.int64, len(texts))
+            scores = logs[own]
+            if j == i - 1:
+                scores = np.where(own == none, [counter.byte_score * len(t[j].encode()) for t in texts], scores)
+            elif (own == none).all():
+                continue
+            found.append((j, own, scores))
+        if size <= KEPT_LETTERS:
+            ends[i] = found
+        return found
+
+    ahead, behind = np.full((2, size + 1, len(texts)), -np.inf)
+    ahead[0] = behind[size] = 0.0
+    for i in range(1, size + 1):
+        ahead[i] = np.logaddexp.reduce([ahead[j] + scores for j, _, scores in edges(i)])
     for i in range(size, 0, -1):
-        for j, _, p in all_edges[i - 1]:
-            behind[j] += behind[i] * p
-    found: Counter = Counter()
-    for i, own in enumerate(all_edges, 1):
-        for j, piece, p in own:
-            found[piece] += ahead[j] * p * behind[i] / ahead[size]
-    return found, math.log(ahead[size])
+        for j, own, scores in edges(i):
+            behind[j] = np.logaddexp(behind[j], behind[i] + scores)
+            np.add.at(sums, own, n * np.exp(ahead[j] + scores + behind[i] - ahead[size]))
+    return float(ahead[size] @ n)
 
 
-def learn(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS) -> UnigramCounter:
-    """Scores of the vocabulary's pieces from ``docs`` (doc_id, text); without words those of ``unigram``.
-
-    The sample is the ``TRAIN_WORDS`` most frequent words of at most ``TRAIN_DOCS`` ids; each round is a job over
-    it whose sums, one row per piece, reach the driver.
-    """
-    prepare(docs.sparkSession)
-    counter = unigram(vocabulary or default_vocabulary())
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+def count_words(docs: DataFrame) -> DataFrame:
+    """Rows (word, n) over all texts, counted in the tasks before the shuffle."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+
+        def given() -> pa.RecordBatch:
+            columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["word", "n"])
+
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(w for w in (text.as_py() or "").split() if len(w) <= TRAIN_LETTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            for part in by_size(batch.column(0).to_pylist()):
+                for text in part:
+                    counts.update((text or "").split())
+                if len(counts) > COUNTED:
+                    yield given()
+                    counts.clear()
+        yield given()
+
+    return docs.select("text").mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    texts = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    counted = texts.mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    sample = written(counted.orderBy(F.desc("n"), "word").limit(TRAIN_WORDS).repartition("word"), "words")
+def learn(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS) -> UnigramCounter:
+    """Scores of the vocabulary's pieces from all words of ``docs`` (text); without words those of ``unigram``.
+
+    Words are counted once and written; each round is a job over the distinct words whose sums, one row
+    per piece, reach the driver.
+    """
+    prepare(docs.sparkSession)
+    counter = unigram(vocabulary or default_vocabulary())
+    counted = written(count_words(docs), "words")
     byte_cost = counter.byte_score
     for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(counter)
 
         def one(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, sums, letters, total = shared.value, Counter(), 0, 0.0
+            own, letters, total = shared.value, 0, 0.0
+            sums = np.zeros(len(own.scores) + 1)
             for batch in batches:
-                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found, log = expected(own, word)
-                    total, letters = total + n * log, letters + n * len(word)
-                    for piece, share in found.items():
-                        sums[piece] += n * share
+                words = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                total += expect(own, words, sums)
+                letters += sum(n * len(w) for w, n in words.items())
             # Two rows without a piece of the vocabulary carry the likelihood.
-            rows = [*sums.items(), ("\n", total), ("\n\n", float(letters))]
+            rows = [(p, float(sums[i])) for p, i in own.places.items() if sums[i]] + [("\n", total), ("\n\n", float(letters))]
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64())], ["piece", "n"])
 
-        sums = {r.piece: r.n for r in sample.mapInArrow(one, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+        sums = {r.piece: r.n for r in counted.mapInArrow(one, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
         letters = sums.get("\n\n", 0.0)
         if not letters:
             break

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import lru_cache
 
+import numpy as np
+
 from postroom.llm import tokencounts
 from postroom.llm.registry import QUERIES
 
@@ -86,3 +89,49 @@ def test_expected_counts_are_those_of_all_segmentations():
         assert abs(log - math.log(total)) < 1e-9
         for piece in got:
             assert abs(got[piece] - sum(w * c.count(piece) for c, w in ways) / total) < 1e-9
+
+
+def plain_expected(counter, text):
+    """(probability, pieces) of every segmentation, one after another."""
+    def cuts(rest):
+        if not rest:
+            yield 1.0, []
+        for k in range(1, min(len(rest), counter.longest) + 1):
+            score = counter.scores.get(rest[:k])
+            if score is None and k == 1:
+                score = counter.byte_score * len(rest[0].encode())
+            if score is not None:
+                yield from ((math.exp(score) * p, [rest[:k], *own]) for p, own in cuts(rest[k:]))
+
+    every = list(cuts(text))
+    total = sum(p for p, _ in every)
+    found = Counter()
+    for p, own in every:
+        for piece in own:
+            found[piece] += p / total
+    return found, math.log(total)
+
+
+def test_expected_pieces_match_all_segmentations():
+    counter = tokencounts.unigram(tokencounts.default_vocabulary())
+    words = {"abacus": 3, "zebra": 1, "the": 7, "日本": 2, "\U0001f600x": 1}
+    sums, want, log = np.zeros(len(counter.scores) + 1), Counter(), 0.0
+    got = tokencounts.expect(counter, words, sums)
+    for word, n in words.items():
+        found, own = plain_expected(counter, "▁" + word)
+        log += n * own
+        for piece, share in found.items():
+            want[piece] += n * share
+    assert abs(got - log) < 1e-9
+    assert all(abs(sums[i] - want[p]) < 1e-9 for p, i in counter.places.items())
+    assert np.isfinite(tokencounts.expect(counter, {"\U0001f600" * 400: 1, "a" * 3000: 1}, sums))
+
+
+def test_scores_are_learned_from_every_word_of_every_text(spark, monkeypatch):
+    monkeypatch.setattr(tokencounts, "COUNTED", 5)
+    rows = [(None if i % 2 else i, f"word{i} " + "x" * 50) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counted = {r.word: r.n for r in tokencounts.count_words(docs).collect()}
+    assert counted == {**{f"word{i}": 1 for i in range(6000)}, "x" * 50: 6000}
+    alone = spark.createDataFrame([(None, "zebra " * 9)], "doc_id bigint, text string")
+    assert len(tokencounts.learn(alone).per_letter) == 4
