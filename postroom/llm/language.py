@@ -18,10 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postroom.llm.registry import by_size, prepare, query, table
+from postroom.llm.registry import by_size, prepare, query, table, written
 
-#: Texts per language that the piece counts are learned from, whole, by a hash of their id.
-TRAIN_DOCS = 3000
 RANKED_APART = 64
 #: Added to every piece's count.
 SMOOTHING = 0.1
@@ -179,7 +177,13 @@ class LanguageModel:
         return found
 
 
-def training_ids(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def training_rows(docs: DataFrame, train_docs: int | None = None) -> DataFrame:
+    """Rows (doc_id, lang, text) to learn from: all with an id and a lang, or those of ``training_ids``."""
+    rows = docs.select("doc_id", "lang", "text").where("lang is not null and doc_id is not null")
+    return rows if train_docs is None else rows.join(training_ids(docs, train_docs), ["doc_id", "lang"])
+
+
+def training_ids(docs: DataFrame, train_docs: int) -> DataFrame:
     """Rows (doc_id, lang) of at most ``train_docs`` ids per language, in the order of a hash of their id."""
     ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang").distinct()
     # One language may hold most rows: its shares are ranked apart before they meet.
@@ -191,14 +195,15 @@ def training_ids(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     return ids
 
 
-def norms(docs: DataFrame, model: LanguageModel, train_docs: int = TRAIN_DOCS) -> dict[str, tuple[float, float, float]]:
+def norms(docs: DataFrame, model: LanguageModel, train_docs: int | None = None) -> dict[str, tuple[float, float, float]]:
     """By language: mean log-probability per letter of its training texts, its spread between texts, and per word.
 
     The spread per word is that of the difference from the mean times the root of the number of words.
     Languages whose texts hold no letter are missing.
     """
-    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(training_ids(docs, train_docs)), ["doc_id", "lang"])
-    own = fitted(sample.select("lang", "text"), model, ("lang",)).where("lang = lang_pred and words > 0")
+    rows = training_rows(docs, train_docs).select("lang", "text")
+    # Written, narrow: the texts are scored once for both passes.
+    own = written(fitted(rows, model, ("lang",)).where("lang = lang_pred and words > 0").select("lang", "per_letter", "words"), "norms")
     mean = own.groupBy("lang").agg(F.avg("per_letter").alias("mean"))
     away = F.col("per_letter") - F.col("mean")
     spread = own.join(F.broadcast(mean), "lang").groupBy("lang", "mean").agg(  # a row per language
@@ -226,20 +231,17 @@ def fitted(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...]) -> Data
     return answered.mapInArrow(run, schema)
 
 
-def learn(docs: DataFrame, vocabulary: str | None = None, train_docs: int = TRAIN_DOCS) -> LanguageModel:
-    """Piece probabilities from ``docs`` (doc_id, text, lang), rows without a lang left out.
+def learn(docs: DataFrame, vocabulary: str | None = None, train_docs: int | None = None) -> LanguageModel:
+    """Piece probabilities from ``docs`` (doc_id, text, lang), rows without an id or a lang left out.
 
-    At most ``train_docs`` ids per language are read, in the order of a hash of their id; what
-    reaches the driver is at most one row per piece and language.
+    All other rows are learned from, or (``train_docs``) so many ids per language, in the order of a
+    hash of their id; what reaches the driver is at most one row per piece and language.
     """
     import sentencepiece
 
     prepare(docs.sparkSession)
     path = vocabulary or default_vocabulary()
-    ids = training_ids(docs, train_docs)
-    # At most ``train_docs`` narrow rows per language, less than the model itself: texts stay where they are read.
-    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
-    rows = count_pieces(sample, path).collect()
+    rows = count_pieces(training_rows(docs, train_docs), path).collect()
     languages = sorted({r.lang for r in rows})
     pieces = sentencepiece.SentencePieceProcessor(model_file=path)
     vocabulary_pieces = [

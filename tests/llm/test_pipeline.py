@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from postroom.llm import language, secrets
+from postroom.llm import language, secrets, tokencounts
 from postroom.llm.registry import prepare
 from test_decontaminate import plain_leaks
 from test_packing import check_seats, plain_pieces
@@ -119,3 +119,19 @@ def test_short_items_drop_only_texts_of_just_their_words(spark, tmp_path):
     spark.createDataFrame([(1, "who wrote hamlet")], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "We asked who wrote Hamlet and nobody knew it."), (3, "")], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs, f"file://{tmp_path}").collect()) == [2, 3]
+
+
+def test_norms_and_counts_come_from_all_training_texts(spark):
+    prepare(spark)
+    rows = [(i, "en", "the same words again and again") for i in range(3500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    assert language.training_rows(docs).count() == 3500 and language.training_rows(docs, 50).count() == 50
+    once = language.learn(docs.limit(1))
+    again = language.learn(docs)  # more texts weigh more against the smoothing
+    piece = max(once.pieces, key=lambda p: once.pieces[p])
+    most = 3500 * sum(r.n for r in language.count_pieces(docs.limit(1), language.default_vocabulary()).where(f"piece = '{piece}'").collect())
+    total = 3500 * sum(r.n for r in language.count_pieces(docs.limit(1), language.default_vocabulary()).collect())
+    smoothed = total + language.SMOOTHING * len(tokencounts.unigram(language.default_vocabulary()).scores)
+    assert abs(again.pieces[piece][0] - most / smoothed) < 1e-4  # 3,000 texts give 0.006 less
+    mean, between, by_word = language.norms(docs, again)["en"]
+    assert mean < 0 and between == 0 and by_word < 1e-6
