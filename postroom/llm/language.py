@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +26,8 @@ SMOOTHING = 0.1
 #: Words, and bytes of their scores, that a Python worker remembers; beyond either the memory is emptied and filled anew.
 REMEMBERED, REMEMBERED_BYTES = 500_000, 64_000_000
 UNDETERMINED = "und"
+#: Distinct words that a task counts before it cuts them into pieces.
+COUNTED = 100_000
 #: Words of up to so many letters stay within the range of floating point without scaling.
 PLAIN_LETTERS = 28
 
@@ -52,6 +54,26 @@ def words_of(text: str) -> list[str]:
     return _MEMORY["words"](text.lower())
 
 
+def pieces_of(texts: Iterable[tuple[str, str | None]], encode, most: int = COUNTED) -> Counter:
+    """Numbers of the (lang, piece) of (lang, text): words are counted first, so that one that recurs is cut once."""
+    counts: Counter = Counter()
+    words: Counter = Counter()
+
+    def cut() -> None:
+        for (lang, _), n, found in zip(words, words.values(), encode([w for _, w in words]), strict=True):
+            for piece in found:
+                counts[lang, piece] += n
+        words.clear()
+
+    for lang, text in texts:
+        for word, n in Counter(words_of(text or "")).items():
+            words[lang, word] += n
+        if len(words) > most:
+            cut()
+    cut()
+    return counts
+
+
 def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Rows (lang, piece, n) over ``docs`` (lang, text), counted in the tasks before the shuffle."""
 
@@ -59,11 +81,8 @@ def count_pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
         import sentencepiece
 
         pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-        counts: Counter = Counter()
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for piece in pieces.encode(" ".join(words_of(text or "")), out_type=str):
-                    counts[lang, piece] += 1
+        texts = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        counts = pieces_of(texts, lambda words: pieces.encode(words, out_type=str))
         rows = [(lang, piece, n) for (lang, piece), n in counts.items()]
         columns = list(zip(*rows, strict=True)) or [[]] * 3
         kinds = [pa.string(), pa.string(), pa.int64()]

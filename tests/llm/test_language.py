@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from postroom.llm import language
 from postroom.llm.registry import QUERIES
@@ -56,3 +57,20 @@ def test_ties_go_to_the_first_language(spark):
     docs = spark.createDataFrame([(1, "same words here", "b"), (2, "same words here", "a")], "doc_id bigint, text string, lang string")
     got = language.identify(docs, language.learn(docs)).collect()
     assert {(r.lang_pred, r.score) for r in got} == {("a", 0.5)}
+
+
+def test_a_word_that_recurs_is_cut_once_and_counts_are_those_of_whole_texts():
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=language.default_vocabulary())
+    texts = [("de", "Über die Brücke, über die Brücken. ﷺ"), ("en", "over the bridge " * 50), ("en", None), ("fr", " ")] * 3
+    cut: list[str] = []
+
+    def encode(words):
+        cut.extend(words)
+        return pieces.encode(words, out_type=str)
+
+    want = Counter((lang, p) for lang, t in texts for p in pieces.encode(" ".join(language.words_of(t or "")), out_type=str))
+    assert language.pieces_of(texts, encode) == want
+    assert sorted(cut) == sorted(["über", "die", "brücke", "brücken", "ﷺ", "over", "the", "bridge"])
+    assert language.pieces_of(texts, encode, most=2) == want
