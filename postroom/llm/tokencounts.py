@@ -1,8 +1,9 @@
 """Token counts by dynamic programming over a trie of pre-tokens (operator 9).
 
-The distinct pre-tokens of a batch form a trie.  The best unigram score of a prefix depends on
-that prefix alone, so it is computed once per trie node and shared by all pre-tokens below it.
-Walking the pre-tokens in sorted order visits the trie depth first: only the current path is kept.
+Distinct pre-tokens of one length are walked together over a trie of the pieces, a column each.  The
+others form a trie themselves: the best unigram score of a prefix depends on that prefix alone, so it is
+computed once per trie node and shared by all pre-tokens below it.  Walking them in sorted order visits
+the trie depth first: only the current path is kept.
 What stays is each pre-token's count, and a text's count is a sum of look-ups.
 
 The scores are learned: expectation maximisation over the words of all texts, by the same forward
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -30,12 +31,91 @@ REMEMBERED = 800_000
 COUNTED = 200_000
 #: Letters of equally long words that learning takes together; pieces of longer words are looked up twice instead of kept.
 GROUPED_LETTERS, KEPT_LETTERS = 40_000, 1_000
+#: Distinct words that learning groups by their length at once, and fewest words of a length that are counted together.
+GROUPED_WORDS, GROUPED_LEAST = 50_000, 64
+#: Words of up to so many letters are summed as plain probabilities, unless one's falls below the second number.
+PLAIN_LETTERS, LEAST = 40, 1e-250
+#: Entries of a table of the trie's steps; a larger trie is searched in its sorted steps.
+MOST_STEPS = 30_000_000
 ROUNDS = 4
 #: Added to every piece's expected count.
 SMOOTHING = 0.1
 _START = "▁"
 
 
+class PieceTrie:
+    """The trie of the pieces as arrays, walked for many words at once; state 0 is off the trie."""
+
+    def __init__(self, pieces: Iterable[str]):
+        states: dict[str, int] = {}
+        ends, steps, classes = [], [], {}
+        for k, piece in enumerate(pieces):
+            at = 0
+            for i, letter in enumerate(piece):
+                after = states.setdefault(piece[: i + 1], len(states) + 1)
+                if i and after == len(states):
+                    steps.append((at, classes.setdefault(letter, len(classes) + 1), after))
+                at = after
+            ends.append((at, k))
+        #: By state: the piece that ends there, else their number.
+        self.piece = np.full(len(states) + 1, len(ends))
+        for state, k in ends:
+            self.piece[state] = k
+        self.piece[0] = len(ends)
+        most = max(map(ord, "".join(states)), default=0) + 2
+        #: By letter: the state after it at the start of a piece, and its number elsewhere in one.
+        self.first, self.classes = np.zeros((2, most), np.int64)
+        for prefix, state in states.items():
+            if len(prefix) == 1:
+                self.first[ord(prefix)] = state
+        for letter, k in classes.items():
+            self.classes[ord(letter)] = k
+        self.width = len(classes) + 1
+        states_, classes_, after = np.array(steps, np.int64).reshape(-1, 3).T
+        keys = states_ * self.width + classes_
+        if (len(states) + 1) * self.width <= MOST_STEPS:
+            self.table = np.zeros((len(states) + 1) * self.width, np.int32)
+            self.table[keys] = after
+        else:
+            self.table, order = None, np.argsort(keys)
+            self.keys, self.after = np.append(keys[order], -1), np.append(after[order], 0)
+
+    def step(self, states: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        keys = states * self.width + classes
+        if self.table is not None:
+            return self.table[keys]
+        at = np.searchsorted(self.keys[:-1], keys)
+        return np.where(self.keys[at] == keys, self.after[at], 0)
+
+    def edges(self, letters: np.ndarray, longest: int) -> Iterator[tuple[int, int, np.ndarray | slice, np.ndarray]]:
+        """(start, end, words, pieces) by start; ``letters`` has a column per word.  Single letters come for all words."""
+        size = len(letters)
+        known = np.minimum(letters, len(self.first) - 1)
+        first, classes = self.first[known], self.classes[known]
+        none = self.piece[0]
+        for j in range(size):
+            states, own = first[j], self.piece[first[j]]
+            yield j, j + 1, slice(None), own
+            words = np.flatnonzero(states)
+            states = states[words]
+            for i in range(j + 1, min(size, j + longest)):
+                states = self.step(states, classes[i][words])
+                on = np.flatnonzero(states)
+                if not len(on):
+                    break
+                words, states = words[on], states[on]
+                own = self.piece[states]
+                ending = np.flatnonzero(own != none)
+                if len(ending):
+                    yield j, i + 1, words[ending], own[ending]
+
+
+def _columns(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of equally long words, a column each with the start mark on top, and the letters' sizes in bytes."""
+    letters = np.array([_START + w for w in words], f"<U{size}").view(np.uint32).reshape(len(words), size).T.copy()
+    return letters, 1 + (letters >= 0x80).astype(int) + (letters >= 0x800) + (letters >= 0x10000)
+
+
 @dataclass
 class UnigramCounter:
     """Counts of the likeliest segmentation; of equally likely ones the one with fewer tokens.
@@ -54,11 +134,50 @@ class UnigramCounter:
     def places(self) -> dict[str, int]:
         return {p: i for i, p in enumerate(self.scores)}
 
+    @cached_property
+    def trie(self) -> PieceTrie:
+        return PieceTrie(self.scores)
+
     @cached_property
     def logs(self) -> np.ndarray:
         """Scores by place; the place after them stands for everything else."""
         return np.array([*self.scores.values(), -np.inf])
 
+    @cached_property
+    def shares(self) -> np.ndarray:
+        return np.exp(self.logs)
+
+    def learn_counts(self, words: set[str]) -> None:
+        """Keep the count of each word: many words of a length together, the others in sorted order."""
+        groups: dict[int, list[str]] = {}
+        for word in words:
+            groups.setdefault(len(word) + 1, []).append(word)
+        for size, group in groups.items():
+            if size > PLAIN_LETTERS + 1 or len(group) < GROUPED_LEAST:
+                continue
+            words = words.difference(group)
+            most = max(1, GROUPED_LETTERS // size)
+            for at in range(0, len(group), most):
+                part = group[at : at + most]
+                self.known.update(zip(part, self._counts_of_equally_long(size, part), strict=True))
+        self.grow(words)
+
+    def _counts_of_equally_long(self, size: int, words: list[str]) -> list[int]:
+        letters, in_bytes = _columns(words, size)
+        none = len(self.scores)
+        best, count = np.full((size + 1, len(words)), -np.inf), np.zeros((size + 1, len(words)), np.int64)
+        best[0] = 0.0
+        for j, i, at, own in self.trie.edges(letters, self.longest):
+            score, tokens = self.logs[own], 1
+            if i == j + 1:
+                score = np.where(own == none, in_bytes[j] * self.byte_score, score)
+                tokens = np.where(own == none, in_bytes[j], 1)
+            score, tokens = best[j][at] + score, count[j][at] + tokens
+            so_far, fewest = best[i][at], count[i][at]
+            better = (score > so_far) | ((score == so_far) & (tokens < fewest))
+            best[i][at], count[i][at] = np.where(better, score, so_far), np.where(better, tokens, fewest)
+        return count[size].tolist()
+
     def grow(self, words: set[str]) -> None:
         """Walk the trie of the words and keep the count at each word's end."""
         get, longest, known = self.scores.get, self.longest, self.known
@@ -91,7 +210,7 @@ class UnigramCounter:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
                 new = set().union(*texts)
-            self.grow(new)
+            self.learn_counts(new)
         return [sum(map(self.known.__getitem__, words)) for words in texts]
 
 
@@ -120,17 +239,50 @@ def expect(counter: UnigramCounter, words: dict[str, int], sums: np.ndarray) ->
     """Adds the expected number of each piece, over all segmentations of all words, to ``sums``; the log-likelihood.
 
     ``sums`` has a place per score and one for characters outside the vocabulary.  Words of a length go
-    together, a column each; sums of probabilities stay logarithms, so words may be of any length.
+    together, a column each; where a word's probability leaves the range of floating point, sums are taken of logarithms,
+    so words may be of any length.
     """
     groups: dict[int, list[str]] = {}
     for word in words:
         groups.setdefault(len(word) + 1, []).append(word)
-    return sum(
-        _expect_equally_long(counter, size, part, np.array([words[w] for w in part], float), sums)
-        for size, group in groups.items()
-        for at in range(0, len(group), max(1, GROUPED_LETTERS // size))
-        for part in [group[at : at + max(1, GROUPED_LETTERS // size)]]
-    )
+    total = 0.0
+    for size, group in groups.items():
+        most = max(1, GROUPED_LETTERS // size)
+        for at in range(0, len(group), most):
+            part = group[at : at + most]
+            if size <= PLAIN_LETTERS + 1:
+                log, part = _expect_plainly(counter, size, part, np.array([words[w] for w in part], float), sums)
+                total += log
+            if part:
+                total += _expect_equally_long(counter, size, part, np.array([words[w] for w in part], float), sums)
+    return total
+
+
+def _expect_plainly(counter: UnigramCounter, size: int, words: list[str], n: np.ndarray, sums: np.ndarray) -> tuple[float, list[str]]:
+    """``_expect_equally_long`` with plain probabilities; the words that are too improbable for them are handed back."""
+    letters, in_bytes = _columns(words, size)
+    none, shares = len(counter.scores), counter.shares
+    outside = np.exp(counter.byte_score * in_bytes)
+    ahead, behind = np.zeros((2, size + 1, len(words)))
+    ahead[0] = behind[size] = 1.0
+    edges = []
+    for j, i, at, own in counter.trie.edges(letters, counter.longest):
+        share = shares[own]
+        if i == j + 1:
+            share = np.where(own == none, outside[j], share)
+        reached = ahead[j][at] * share
+        ahead[i][at] += reached
+        edges.append((j, i, at, own, share, reached))
+    fits = ahead[size] >= LEAST
+    weight = np.where(fits, n, 0.0) / np.where(fits, ahead[size], 1.0)
+    found = []
+    for j, i, at, _, share, reached in reversed(edges):
+        after = behind[i][at]
+        behind[j][at] += after * share
+        found.append(reached * after * weight[at])
+    sums += np.bincount(np.concatenate([e[3] for e in reversed(edges)]), np.concatenate(found), none + 1)
+    left = [words[k] for k in np.flatnonzero(~fits)]
+    return float(np.log(ahead[size][fits]) @ n[fits]), left
 
 
 def expected(counter: UnigramCounter, word: str) -> tuple[dict[str, float], float]:
@@ -210,10 +362,15 @@ def learn(docs: DataFrame, vocabulary: str | None = None, rounds: int = ROUNDS)
         def one(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, letters, total = shared.value, 0, 0.0
             sums = np.zeros(len(own.scores) + 1)
+            words: dict[str, int] = {}  # of many batches: a group of a length is worth its steps only if it is large
             for batch in batches:
-                words = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-                total += expect(own, words, sums)
-                letters += sum(n * len(w) for w, n in words.items())
+                words.update(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                if len(words) >= GROUPED_WORDS:
+                    total += expect(own, words, sums)
+                    letters += sum(n * len(w) for w, n in words.items())
+                    words.clear()
+            total += expect(own, words, sums)
+            letters += sum(n * len(w) for w, n in words.items())
             # Two rows without a piece of the vocabulary carry the likelihood.
             rows = [(p, float(sums[i])) for p, i in own.places.items() if sums[i]] + [("\n", total), ("\n\n", float(letters))]
             columns = list(zip(*rows, strict=True))

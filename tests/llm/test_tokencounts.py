@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections import Counter
 from functools import lru_cache
 
@@ -135,3 +136,35 @@ def test_scores_are_learned_from_every_word_of_every_text(spark, monkeypatch):
     assert counted == {**{f"word{i}": 1 for i in range(6000)}, "x" * 50: 6000}
     alone = spark.createDataFrame([(None, "zebra " * 9)], "doc_id bigint, text string")
     assert len(tokencounts.learn(alone).per_letter) == 4
+
+
+def test_plain_sums_equal_those_of_logarithms_and_are_faster(monkeypatch):
+    counter = tokencounts.unigram(tokencounts.default_vocabulary())
+    words = {p.strip("▁") * k + e: k for p in list(counter.scores)[::7] for k, e in ((1, ""), (2, "ing"), (1, "é日\U0001f600"))}
+    words |= {"\U0001f600" * 30: 2, "a" * 300: 1, "x\0": 1}
+    by_logs = np.zeros(len(counter.scores) + 1)
+    with monkeypatch.context() as patch:
+        patch.setattr(tokencounts, "PLAIN_LETTERS", 0)
+        began = time.process_time()
+        want = tokencounts.expect(counter, words, by_logs)
+        slow = time.process_time() - began
+    for most in (tokencounts.MOST_STEPS, 0):
+        monkeypatch.setattr(tokencounts, "MOST_STEPS", most)
+        counter.__dict__.pop("trie", None)
+        sums = np.zeros_like(by_logs)
+        counter.trie  # noqa: B018
+        began = time.process_time()
+        assert math.isclose(tokencounts.expect(counter, words, sums), want, rel_tol=1e-9)
+        assert most == 0 or time.process_time() - began < slow / 2
+        assert np.allclose(sums, by_logs, rtol=1e-8, atol=1e-12)
+
+
+def test_words_counted_together_have_the_counts_of_the_walk(monkeypatch):
+    monkeypatch.setattr(tokencounts, "GROUPED_LEAST", 1)
+    counter = tokencounts.unigram(tokencounts.default_vocabulary())
+    words = {p.strip("▁") * k + e for p in list(counter.scores)[::50] for k, e in ((1, ""), (2, "ing"), (1, "é日\U0001f600"))} - {""}
+    words |= {"x\0", "\U0001f600" * 30, "a" * 300}
+    counter.learn_counts(words)
+    assert counter.known == {w: plain_count(counter, w) for w in words}
+    tied = tokencounts.UnigramCounter({"▁": -1.0, "a": -1.0, "aa": -2.0, "▁aa": -3.0}, -9.0, 3)
+    assert tied.counts([["aa", "a"]]) == [3]
