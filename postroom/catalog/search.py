@@ -401,14 +401,11 @@ def lexeme_postings(spark, sf):
     """The stored full-text column: lexemes with counts and first positions per email."""
     from postroom.operators.postings import postings
 
-    rows = given.emails(spark, sf, "id", *_TEXT_COLUMNS).where("body_text is not null")
-    return (
-        postings(rows)
-        .groupBy("id", "lexeme")
-        .agg(
-            F.count("*").alias("occurrences"),
-            F.min("position").cast("long").alias("first_position"),
-        )
+    return postings(given.emails(spark, sf, "id", *_TEXT_COLUMNS)).select(
+        "id",
+        "lexeme",
+        F.size("positions").cast("long").alias("occurrences"),
+        F.get("positions", F.lit(0)).cast("long").alias("first_position"),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +25,40 @@ def lexemes(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def lexeme_positions(text: Column) -> Column:
+    """``array<struct<lexeme, positions>>``: a text's distinct lexemes, each with its places from 0.
+
+    The words are sorted once with their places, so equal ones stand together and each is walked once.
+    """
+    placed = F.transform(lexemes(text), lambda t, i: F.struct(t.alias("lexeme"), i.alias("at")))
+
+    def cut(words: Column) -> Column:
+        return _once(words["lexeme"], lambda names: _once(words["at"], lambda places: runs(names, places)))
+
+    def runs(names: Column, places: Column) -> Column:
+        begins = F.transform(names, lambda t, i: F.when(~t.eqNullSafe(F.get(names, i - 1)), i))
+
+        def of(begin: Column) -> Column:
+            return F.transform(
+                begin,
+                lambda b, j: F.struct(
+                    F.get(names, b).alias("lexeme"),
+                    F.slice(
+                        places, b + 1, F.coalesce(F.get(begin, j + 1), F.size(names)) - b
+                    ).alias("positions"),
+                ),
+            )
+
+        return _once(F.filter(begins, lambda b: b.isNotNull()), of)
+
+    return _once(F.sort_array(placed), cut)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def query_terms(query: str) -> list[str]:
     """Distinct query lexemes in order of appearance."""
     return list(dict.fromkeys(re.findall(r"[^\W_]+", (query or "").lower())))

@@ -46,9 +46,31 @@ def email_text() -> Column:
     return ft.document_text(*[F.col(c) for c in ("subject", "from_email", "from_name", "body_text")])
 
 
+def repeated_keys(emails: DataFrame, key: str = "id") -> DataFrame:
+    """The mail ids that more than one row has; reads that column only."""
+    return emails.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+
+
 def postings(emails: DataFrame, key: str = "id") -> DataFrame:
-    """(id, lexeme, position): one row per word occurrence, straight from the scan."""
-    return emails.select(key, F.posexplode(ft.lexemes(email_text())).alias("position", "lexeme"))
+    """(id, lexeme, positions) of the mails with a body: one row per mail and word, positions in rising order.
+
+    A mail's words are grouped inside its row, so nothing is shuffled.  Only ids that several rows share
+    have to be brought together, and those rows alone are.
+    """
+    texts = emails.where(F.col("body_text").isNotNull()).select(key, email_text().alias("text"))
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.select(key, F.inline(ft.lexeme_positions(F.col("text"))))
+
+    shared = repeated_keys(emails, key)
+    if shared.isEmpty():
+        return grouped(texts)
+    # Null ids are one id, as in a grouping.
+    same = F.col(f"t.{key}").eqNullSafe(F.col(f"s.{key}"))
+    once = texts.alias("t").join(shared.alias("s"), same, "left_anti")
+    more = texts.alias("t").join(shared.alias("s"), same, "left_semi")
+    merged = grouped(more).groupBy(key, "lexeme").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return grouped(once).unionByName(merged)
 
 
 def _bucket(lexeme: Column, buckets: int) -> Column:
@@ -56,12 +78,8 @@ def _bucket(lexeme: Column, buckets: int) -> Column:
 
 
 def _write(rows: DataFrame, key: str, path: str, buckets: int) -> int:
-    """Rows (key, lexeme, positions or position) into a segment; the number of its rows."""
-    # The salt comes from the mail, so one exchange serves both the grouping and the writing.
+    """Rows (key, lexeme, positions) into a segment; the number of its rows."""
     dealt = rows.withColumns({"bucket": _bucket(F.col("lexeme"), buckets), "salt": F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")}).repartition("bucket", "salt")
-    if "position" in rows.columns:
-        # A mail's positions of one word are bounded by its own length.
-        dealt = dealt.groupBy("bucket", "salt", "lexeme", key).agg(F.sort_array(F.collect_list("position")).alias("positions"))
     counted = dealt.drop("salt").withColumn("tf", F.size("positions"))
     counted.sortWithinPartitions("bucket", "lexeme", F.desc("tf"), key).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
     written = rows.sparkSession.read.parquet(f"{path}/rows")
@@ -72,11 +90,10 @@ def _write(rows: DataFrame, key: str, path: str, buckets: int) -> int:
 
 def write_segment(emails: DataFrame, path: str, key: str = "id", buckets: int | None = None) -> Segment:
     """Index mails with a body; ``buckets`` follows the number of mails unless it is given."""
-    mails = emails.where(F.col("body_text").isNotNull())
     if buckets is None:
-        words = 200 * mails.select(key).count()  # a rough size is enough
+        words = 200 * emails.count()  # a rough size is enough
         buckets = min(MOST_BUCKETS, 1 + words // ROWS_PER_BUCKET)
-    return Segment(path, buckets, _write(postings(mails, key), key, path, buckets))
+    return Segment(path, buckets, _write(postings(emails, key), key, path, buckets))
 
 
 def merge_segments(spark: SparkSession, segments: list[Segment], path: str, key: str) -> Segment:
